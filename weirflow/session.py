@@ -39,17 +39,22 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's own size estimate, or None where a session hides it."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Sum of the optimizer's sizes of what a plan reads, or None where a session hides it.
+
+    The inputs are summed, not the result estimated: that estimate multiplies the
+    sides of every join, and the joins here look keys up, they do not multiply rows.
+    """
     try:
-        plan = df._jdf.queryExecution().optimizedPlan()
-        return int(plan.stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        sizes = [leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())]
     except AttributeError:
         return None
+    return sum(int(str(size)) for size in sizes)
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     return size is not None and size <= ONE_TASK_BYTES
 
 
