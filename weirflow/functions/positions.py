@@ -22,7 +22,7 @@ def parse_lsn(lsn: Column | str) -> Column:
 
 def format_lsn(value: Column | str) -> Column:
     """BIGINT to upper-case 'HI/LO' without padding."""
-    number = F.col(value) if isinstance(value, str) else value
+    number = (F.col(value) if isinstance(value, str) else value).cast("bigint")
     high = F.hex(F.shiftrightunsigned(number, 32))
     low = F.hex(number.bitwiseAND(F.lit(_WORD - 1)))
     return F.concat(high, F.lit("/"), low)

@@ -47,7 +47,7 @@ def _segment_number(order: Sequence[str], limit: int) -> Column:
         width = F.floor((high - low) / pieces) + 1
         cut = F.floor((F.col(order[i]) - low) / width).cast("bigint")
         number = F.when(high > low, cut).otherwise(number)
-    return number + 1
+    return F.when(F.col("_n").isNotNull(), number + 1)
 
 
 def cut_hot_groups(
