@@ -53,34 +53,26 @@ def _segment_number(order: Sequence[str], limit: int) -> Column:
 def cut_hot_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
 ) -> DataFrame:
-    """Add ``_seg``: 0 for ordinary groups, 1.. in reading order for hot ones.
+    """Add ``_seg``: 0 for ordinary groups, increasing in reading order for hot ones.
 
-    Two passes: a segment that is still hot (many rows on few positions, such as
-    one huge poll or transaction) is cut again by its own range.
+    A segment that is still hot (many rows on few positions, such as one huge
+    poll or transaction) is cut again by its own range: once more by the first
+    order column, then by the next one.
     """
     wide = list(df.columns)
-    first = hot_groups(df, keys, order, limit)
-    cut = (
-        df.join(F.broadcast(first), list(keys), "left")
-        .withColumn(SEG, F.coalesce(_segment_number(order, limit), F.lit(0)))
-        .select(*wide, SEG)
-    )
-    only_hot = (
-        df.select(*dict.fromkeys([*keys, *order]))
-        .join(F.broadcast(first), list(keys))
-        .withColumn(SEG, _segment_number(order, limit))
-    ).select(*keys, *[c for c in order if c not in keys], SEG)
-    second = hot_groups(only_hot, [*keys, SEG], order, limit)
-    return (
-        cut.join(F.broadcast(second), [*keys, SEG], "left")
-        .withColumn(
-            SEG,
-            F.when(F.col(SEG) > 0, F.col(SEG) * _SUB)
-            .otherwise(F.lit(0))
-            + F.coalesce(_segment_number(order, limit), F.lit(0)),
+    cut = df.withColumn(SEG, F.lit(0).cast("bigint"))
+    for level in range(len(order) + 1):
+        narrow = cut.select(*dict.fromkeys([*keys, *order, SEG]))
+        if level:
+            narrow = narrow.filter(F.col(SEG) > 0)
+        hot = hot_groups(narrow, [*keys, SEG], order, limit)
+        inner = F.coalesce(_segment_number(order, limit), F.lit(0))
+        cut = (
+            cut.join(F.broadcast(hot), [*keys, SEG], "left")
+            .withColumn(SEG, F.col(SEG) * _SUB + inner)
+            .select(*wide, SEG)
         )
-        .select(*wide, SEG)
-    )
+    return cut
 
 
 class OrderedGroups:
