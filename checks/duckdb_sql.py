@@ -11,8 +11,7 @@ UPSERTS = f"v as ({fx.in_sql(fx.UPSERTS_SQL)}), stored as ({fx.in_sql(fx.STORED_
 PAIR = f"src as ({fx.in_sql(fx.SOURCE_SQL)}), cpy as ({fx.in_sql(fx.COPY_SQL)})"
 
 OP = "case when op = 'D' then 'D' else 'U' end"
-TS = "coalesce(updated_at, changed_at)"
-# In the log every entry carries updated_at, deletes included.
+TS = "case when op = 'D' then changed_at else coalesce(updated_at, changed_at) end"
 
 
 def periods(source: str, keys: str, name: str = "periods") -> str:

@@ -18,9 +18,10 @@ def canonical_op(op: Column | str) -> Column:
     return F.when(F.upper(F.left(name, F.lit(1))) == DELETE, DELETE).otherwise(UPSERT)
 
 
-def change_time(version: Column | str, logged_at: Column | str) -> Column:
-    """The row's own version where there is an image, else the log's time."""
-    return F.coalesce(version, logged_at)
+def change_time(op: Column | str, version: Column | str, logged_at: Column | str) -> Column:
+    """The row's own version where there is an image; a delete has none, only the log's time."""
+    removed = canonical_op(op) == DELETE
+    return F.when(removed, F.col(logged_at) if isinstance(logged_at, str) else logged_at).otherwise(F.coalesce(version, logged_at))
 
 
 def canonical_changes(
@@ -39,7 +40,7 @@ def canonical_changes(
         "tbl",
         canonical_op("op").alias("op"),
         key,
-        change_time(version, logged_at).alias("ts"),
+        change_time("op", version, logged_at).alias("ts"),
         *[p.cast("bigint").alias(name) for p, name in zip(places, POS, strict=True)],
         *keep,
         version,

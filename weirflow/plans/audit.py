@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow.model import DELETE
+from weirflow.operators.changes import change_time
 from weirflow.operators.history import status_periods
 from weirflow.operators.ordered import OrderedGroups, running_max_before
 from weirflow.plans.replay import KEYS, METHOD_NAMES, latest_images, positions_by_poll
@@ -86,7 +87,7 @@ def truth_counts(
         *KEYS,
         "op",
         F.col(status),
-        F.coalesce("updated_at", "changed_at").alias("ts"),
+        change_time("op", "updated_at", "changed_at").alias("ts"),
         F.col("commit_lsn").alias("pos_hi"),
         F.col("seq").alias("pos_lo"),
     )

@@ -53,7 +53,7 @@ def _captured(
         F.lit(method).alias("method"),
         *KEYS,
         op.alias("op"),
-        change_time("updated_at", "changed_at").alias("ts"),
+        change_time(op, "updated_at", "changed_at").alias("ts"),
         F.col(order[0]).cast("bigint").alias(POS_HI),
         F.col(order[1]).cast("bigint").alias(POS_LO),
         "poll_no",
