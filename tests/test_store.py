@@ -94,7 +94,7 @@ def test_a_crash_leaves_the_last_version(spark, store, monkeypatch, at):
             broken.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
         else:
             broken.setattr(
-                Store, "_append_periods", lambda *a: (_ for _ in ()).throw(OSError("lost"))
+                Store, "_write_periods", lambda *a: (_ for _ in ()).throw(OSError("lost"))
             )
         with pytest.raises(OSError, match="lost"):
             store.apply({"t": moves}, "c", "1", 0)

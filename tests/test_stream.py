@@ -40,7 +40,7 @@ def test_stream_survives_crashes(spark, sf_dir, folder, monkeypatch, crash):
     run(spark, home, store, log.schema)
     land(log, home, 4, 8)
     if crash:
-        target = {"append": "_append_periods", "publish": "_publish", "after": "apply"}[crash]
+        target = {"append": "_write_periods", "publish": "_publish", "after": "apply"}[crash]
         whole = getattr(Store, target)
 
         def broken(self, *args):

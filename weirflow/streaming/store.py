@@ -15,15 +15,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from copy import deepcopy
 from datetime import UTC, datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.model import DELETE, POS_HI, POS_LO, UPSERT, TableSpec
+from weirflow.model import TableSpec
 from weirflow.operators.history import SEEDED, bootstrap_periods, status_periods
 from weirflow.operators.upsert import (
     LIVE,
@@ -41,6 +43,7 @@ SMALL_NET_ROWS = 500_000
 # Compact when this many nets, or nets of this share of the base, have piled up.
 COMPACT_NETS = 16
 COMPACT_SHARE = 0.2
+PARALLEL_WRITES = 4
 
 
 class Files:
@@ -247,17 +250,14 @@ class Store:
             rows = rows.join(lookup_side(touched), spec.key, "left_semi")
         if not entry.get("batches"):
             return rows.select(spec.key, spec.tracked, "valid_from")
-        said = rows.select(
-            spec.key,
-            F.when(F.col("ended"), DELETE).otherwise(UPSERT).alias("op"),
-            F.col(BATCH).alias(POS_HI),
-            F.when(F.col("ended"), 0).otherwise(1).cast("bigint").alias(POS_LO),
-            spec.tracked,
-            "valid_from",
-            F.col(BATCH).alias("_version"),
+        # Within a batch the end of the old period comes before the open one.
+        last = F.max_by(
+            F.struct("ended", spec.tracked, "valid_from"), F.struct(F.col(BATCH), ~F.col("ended"))
+        )
+        said = rows.groupBy(spec.key).agg(last.alias("_last")).filter(~F.col("_last.ended"))
+        return said.select(
+            spec.key, *[F.col(f"_last.{c}").alias(c) for c in (spec.tracked, "valid_from")]
         )
-        net = net_changes(said, [spec.key], [spec.tracked, "valid_from"], "_version")
-        return net_rows(net, [spec.key], [spec.tracked, "valid_from"])
 
     def history(self, name: str, manifest: dict | None = None) -> DataFrame:
         """All periods: ``key, status, valid_from, valid_to``."""
@@ -303,11 +303,12 @@ class Store:
         self,
         changes: Mapping[str, DataFrame],
         consumer: str,
-        position: str | None,
+        position: str | None | Callable[[], str | None],
         batch_id: int | None = None,
     ) -> bool:
         """Apply one batch of typed changes per table and save the position, as one commit.
 
+        ``position`` may be a function, which then runs beside the writes.
         Returns False without doing anything when this batch of the consumer is
         already committed: replaying rows would be harmless, replaying a batch's
         history would not.
@@ -316,36 +317,45 @@ class Store:
         done = manifest["consumers"].get(consumer, {}).get("batch_id")
         if batch_id is not None and done is not None and batch_id <= done:
             return False
-        for name, batch in changes.items():
-            spec = self.specs[name]
-            self._append_net(manifest, spec, batch)
-            if spec.tracked:
-                self._append_periods(manifest, spec, batch)
-        kept = done if batch_id is None else batch_id
-        self._put_position(manifest, consumer, position, kept)
+        # The parts do not depend on each other; written side by side, published together.
+        with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+
+            def start(write, *args):
+                return pool.submit(inheritable_thread_target(self.spark)(write), *args)
+
+            nets, periods = {}, {}
+            for name, batch in changes.items():
+                spec = self.specs[name]
+                nets[name] = start(self._write_net, manifest, spec, batch)
+                if spec.tracked:
+                    periods[name] = start(self._write_periods, manifest, spec, batch)
+            saved = start(position) if callable(position) else None
+        for name, written in nets.items():
+            entry = manifest["tables"].setdefault(name, {"base": [], "nets": []})
+            entry["nets"] += [list(w) for w in [written.result()] if w[1]]
+        for name, written in periods.items():
+            empty = {"open": [], "closed": [], "batches": []}
+            entry = manifest["history"].setdefault(name, empty)
+            entry["batches"] += [list(w) for w in [written.result()] if w[1]]
+        text = saved.result() if saved else position
+        self._put_position(manifest, consumer, text, done if batch_id is None else batch_id)
         self._publish(manifest)
         return True
 
-    def _append_net(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> None:
+    def _write_net(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> tuple[str, int]:
         net = net_changes(batch, [spec.key], self._image(spec), spec.version)
         columns = [f.name for f in self._net_schema(spec)]
-        path, n = self._write(net.select(*columns), spec.name, manifest["version"])
-        entry = manifest["tables"].setdefault(spec.name, {"base": [], "nets": []})
-        if n:
-            entry["nets"].append([path, n])
+        return self._write(net.select(*columns), spec.name, manifest["version"])
 
-    def _append_periods(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> None:
+    def _write_periods(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> tuple[str, int]:
         touched = batch.select(spec.key).distinct()
         before = self.open_periods(spec.name, touched, manifest)
         periods = status_periods(batch, [spec.key], spec.tracked, open_periods=before)
         ended = F.col("valid_to").isNotNull()
+        # An open period the batch leaves as it was is not said again.
         said = periods.withColumn("ended", ended).filter(ended | ~F.col(SEEDED))
         name = self._history_name(spec.name)
-        path, n = self._write(said, name, manifest["version"], by=["ended"])
-        empty = {"open": [], "closed": [], "batches": []}
-        entry = manifest["history"].setdefault(spec.name, empty)
-        if n:
-            entry["batches"].append([path, n])
+        return self._write(said, name, manifest["version"], by=["ended"])
 
     # ---- compaction --------------------------------------------------------------
 

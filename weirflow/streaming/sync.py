@@ -33,10 +33,9 @@ def sync_once(
     to be saved by the caller after the commit that happened here.
     """
     poll = capture.poll(source, store.position(capture.name))
-    position = poll.position_text()
     batches = typed_batches(poll.changes, list(store.specs.values()))
-    store.apply(batches, capture.name, position, batch_id)
-    return capture.ack(source, position)
+    store.apply(batches, capture.name, poll.position_text, batch_id)
+    return capture.ack(source, store.position(capture.name))
 
 
 def landed_log(
@@ -67,9 +66,11 @@ def start_sync(
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        top = batch.agg(position.cast("string").alias("p")).first()["p"]
-        saved = top if top is not None else store.position(consumer)
-        applied = store.apply(to_changes(batch), consumer, saved, batch_id)
+        def newest() -> str | None:
+            top = batch.agg(position.cast("string").alias("p")).first()["p"]
+            return top if top is not None else store.position(consumer)
+
+        applied = store.apply(to_changes(batch), consumer, newest, batch_id)
         if applied and compact_when_due:
             due = [n for n in store.specs if store.due(n)]
             if due:
