@@ -20,6 +20,7 @@ def status_periods(
     ts: str = "ts",
     open_periods: DataFrame | None = None,
     hot_rows: int | None = None,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """Periods each key spent in a status: ``keys, status, valid_from, valid_to, seeded``.
 
@@ -27,6 +28,7 @@ def status_periods(
     event, a change closes one period and opens the next, a delete only closes.
     ``open_periods`` (keys, status, valid_from) are the periods open before the
     batch; a row with ``seeded`` true is such a period, closed or still open.
+    ``skewed`` says whether a key may exceed the row limit; None finds out.
     """
     state = F.when(F.col("op") == DELETE, F.lit(None)).otherwise(F.col(status))
     events = changes.select(
@@ -44,7 +46,7 @@ def status_periods(
                 F.lit(True).alias(SEEDED),
             )
         )
-    groups = OrderedGroups(events, keys, POS, hot_rows)
+    groups = OrderedGroups(events, keys, POS, hot_rows, skewed)
     # The status itself may be NULL (nothing open), so look back at it boxed.
     looked = groups.with_previous(groups.frame, F.struct(F.col("_s").alias("s")), "_prev")
     moves = looked.filter(~F.col("_s").eqNullSafe(F.col("_prev.s"))).drop("_prev")

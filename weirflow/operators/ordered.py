@@ -38,6 +38,15 @@ def hot_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit:
     return df.groupBy(*keys).agg(*bounds).filter(F.col("_n") > limit)
 
 
+def has_hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> bool:
+    """Is any group above the row limit? Inputs one task could process are not counted."""
+    if hot_rows is None and fits_one_task(df):
+        return False
+    limit = hot_rows or hot_group_rows(df.sparkSession)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return not sizes.filter(F.col("_n") > limit).isEmpty()
+
+
 def _segment_number(order: Sequence[str], limit: int) -> Column:
     """Equal-width cut of the first order column that varies; grows with the order."""
     pieces = F.least(F.ceil(F.col("_n") / F.lit(limit)) * _SPREAD, F.lit(_SUB - 2))
@@ -84,15 +93,13 @@ class OrderedGroups:
         keys: Sequence[str],
         order: Sequence[str],
         hot_rows: int | None = None,
+        skewed: bool | None = None,
     ) -> None:
         self.keys = list(keys)
         self.order = list(order)
-        self.split = False
-        limit = hot_rows or hot_group_rows(df.sparkSession)
-        if hot_rows is not None or not fits_one_task(df):
-            self.split = not hot_groups(df, keys, order, limit).isEmpty()
+        self.split = has_hot_groups(df, keys, hot_rows) if skewed is None else skewed
         if self.split:
-            df = cut_hot_groups(df, keys, order, limit)
+            df = cut_hot_groups(df, keys, order, hot_rows or hot_group_rows(df.sparkSession))
         self.frame = df
 
     def _look(

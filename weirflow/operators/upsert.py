@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow.model import DELETE, POS
-from weirflow.operators.ordered import order_struct
-from weirflow.session import fits_one_task, hot_group_rows
+from weirflow.operators.ordered import has_hot_groups, order_struct
+from weirflow.session import hot_group_rows
 
 RESET = "reset"  # the batch deleted the key at some point: the stored row is void
 LIVE = "live"  # the batch leaves a row
@@ -33,6 +33,7 @@ def net_changes(
     version: str = "updated_at",
     order: Sequence[str] = POS,
     hot_rows: int | None = None,
+    skewed: bool | None = None,
 ) -> DataFrame:
     """One row per key: ``keys, reset, live, columns.., version``.
 
@@ -44,17 +45,15 @@ def net_changes(
     """
     keys = list(keys)
     changes = changes.select(*dict.fromkeys([*keys, "op", *order, *columns, version]))
-    limit = hot_rows or hot_group_rows(changes.sparkSession)
-    if hot_rows is None and fits_one_task(changes):
+    if not (has_hot_groups(changes, keys, hot_rows) if skewed is None else skewed):
         return _net_of_ordinary(changes, keys, columns, version, order)
+    limit = hot_rows or hot_group_rows(changes.sparkSession)
     hot = (
         changes.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"), _last_delete(order).alias("_bar"))
         .filter(F.col("_n") > limit)
         .drop("_n")
     )
-    if hot.isEmpty():
-        return _net_of_ordinary(changes, keys, columns, version, order)
     ordinary = changes.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     barred = changes.join(F.broadcast(hot), keys)
     return _net_of_ordinary(ordinary, keys, columns, version, order).unionByName(

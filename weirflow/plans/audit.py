@@ -9,57 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirflow.model import DELETE
 from weirflow.operators.changes import change_time
 from weirflow.operators.history import status_periods
-from weirflow.operators.ordered import OrderedGroups, running_max_before
-from weirflow.plans.replay import KEYS, METHOD_NAMES, latest_images, positions_by_poll
-from weirflow.session import lookup_side
+from weirflow.plans.replay import KEYS, METHOD_NAMES, classify
 
 
 def capture_audit(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Per change and method: captured or why not.
-
-    ``tbl, pk, seq, poll_no`` and one verdict column per method: captured,
-    late (its number or version was already passed when it committed),
-    superseded (a newer change of the key surfaced in the same poll), delete
-    (the method cannot see deletes).
-    """
-    surfaced = latest_images(log, KEYS, ["seq", "updated_at"], by=["poll_no"])
-    marks = surfaced.groupBy("poll_no").agg(F.max("updated_at").alias("mark"))
-    by_poll = positions_by_poll(log).join(marks, "poll_no", "left")
-    prev = lookup_side(
-        running_max_before(by_poll.select("poll_no", "mark"), "poll_no", ["mark"])
-        .join(by_poll.select("poll_no", "prev_max_seq"), "poll_no")
-        .select("poll_no", "prev_mark", "prev_max_seq")
-    )
-    # Is there a later change of the key in the same poll? A look-ahead in commit order.
-    groups = OrderedGroups(
-        log.select(*KEYS, "op", "seq", "commit_lsn", "poll_no", "updated_at"),
-        [*KEYS, "poll_no"],
-        ["commit_lsn", "seq"],
-        hot_rows,
-    )
-    followed = groups.close(groups.with_next(groups.frame, F.col("seq"), "_next_seq"))
-    passed = F.col("prev_max_seq").isNotNull() & (F.col("seq") <= F.col("prev_max_seq"))
-    old = F.col("prev_mark").isNotNull() & (F.col("updated_at") <= F.col("prev_mark"))
-    polled = (
-        F.when(F.col("op") == DELETE, "delete")
-        .when(F.col("_next_seq").isNotNull(), "superseded")
-        .when(old, "late")
-        .otherwise("captured")
-    )
-    return (
-        followed.join(prev, "poll_no").select(
-            *KEYS,
-            "seq",
-            "poll_no",
-            polled.alias("high_watermark"),
-            F.when(passed, "late").otherwise("captured").alias("sequence"),
-            F.lit("captured").alias("queue"),
-            F.lit("captured").alias("commit_order"),
-        )
-    )
+    """Per change and method, captured or why not: ``tbl, pk, seq, poll_no`` and the verdicts."""
+    return classify(log, hot_rows)[0].select(*KEYS, "seq", "poll_no", *METHOD_NAMES)
 
 
 def audit_counts(audit: DataFrame, methods: Sequence[str] = METHOD_NAMES) -> DataFrame:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.model import DELETE, POS_HI, POS_LO
-from weirflow.operators.changes import canonical_op, change_time, union_tables
+from weirflow.operators.changes import canonical_changes, canonical_op, change_time
 from weirflow.operators.compare import compare_rows, diff_counts
 from weirflow.operators.history import status_periods
-from weirflow.operators.ordered import running_max_before
+from weirflow.operators.ordered import OrderedGroups, running_max_before
 from weirflow.operators.upsert import net_changes, net_rows
 from weirflow.session import lookup_side
 
@@ -46,16 +46,70 @@ def latest_images(
     )
 
 
-def _captured(
-    rows: DataFrame, method: str, order: tuple[str, str], columns: Sequence[str], op: Column
+def classify(log: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """Each change with one verdict column per method, and whether a key is hot.
+
+    captured; late (its number or version was already passed when it
+    committed); superseded (a later change of the key surfaced in the same poll);
+    delete (the method cannot see deletes). Rows are shuffled once, by key, and
+    every later step per key (look-ahead, upserts, periods) works on that.
+    """
+    groups = OrderedGroups(log, KEYS, ["commit_lsn", "seq"], hot_rows)
+    frame = groups.frame if groups.split else groups.frame.repartition(*KEYS)
+    followed = groups.close(
+        groups.with_next(frame, F.col("seq"), "_next_seq", within=["poll_no"])
+    )
+    removed = F.col("op") == DELETE
+    surfaced = F.col("_next_seq").isNull() & ~removed
+    by_poll = followed.groupBy("poll_no").agg(
+        F.max("seq").alias("max_seq"), F.max(F.when(surfaced, F.col("updated_at"))).alias("mark")
+    )
+    prev = lookup_side(
+        running_max_before(by_poll, "poll_no", ["max_seq", "mark"]).drop("max_seq", "mark")
+    )
+    passed = F.col("seq") <= F.col("prev_max_seq")
+    # The mark never falls, so an image missed when it surfaces stays missed.
+    old = F.col("updated_at") <= F.col("prev_mark")
+    polled = (
+        F.when(removed, "delete")
+        .when(F.col("_next_seq").isNotNull(), "superseded")
+        .when(old, "late")
+        .otherwise("captured")
+    )
+    verdicts = {
+        "high_watermark": polled,
+        "sequence": F.when(passed, "late").otherwise("captured"),
+        "queue": F.lit("captured"),
+        "commit_order": F.lit("captured"),
+    }
+    judged = followed.join(prev, "poll_no").withColumns(verdicts)
+    return judged.drop("_next_seq", "prev_max_seq", "prev_mark"), groups.split
+
+
+def _as_read(
+    judged: DataFrame, columns: Sequence[str], methods: Sequence[str]
 ) -> DataFrame:
-    return rows.select(
-        F.lit(method).alias("method"),
+    """A row per change and method that captured it, placed in the method's reading order."""
+    unknown = set(methods) - set(METHOD_NAMES)
+    if unknown:
+        raise ValueError(f"unknown reading methods: {sorted(unknown)}")
+    readings = [
+        F.when(
+            F.col(m) == "captured",
+            F.struct(
+                F.lit(m).alias("method"),
+                F.col("commit_lsn" if m == "commit_order" else "poll_no").alias(POS_HI),
+            ),
+        )
+        for m in methods
+    ]
+    return judged.withColumn("_read", F.explode(F.array_compact(F.array(*readings)))).select(
+        F.col("_read.method").alias("method"),
         *KEYS,
-        op.alias("op"),
-        change_time(op, "updated_at", "changed_at").alias("ts"),
-        F.col(order[0]).cast("bigint").alias(POS_HI),
-        F.col(order[1]).cast("bigint").alias(POS_LO),
+        canonical_op("op").alias("op"),
+        change_time("op", "updated_at", "changed_at").alias("ts"),
+        F.col(f"_read.{POS_HI}").cast("bigint").alias(POS_HI),
+        F.col("seq").cast("bigint").alias(POS_LO),
         "poll_no",
         "seq",
         *columns,
@@ -67,48 +121,22 @@ def capture_by_method(
     log: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHOD_NAMES
 ) -> DataFrame:
     """All changes each method captures: ``method, tbl, pk, op, ts, pos.., poll_no, seq, ..``."""
-    op = canonical_op("op")
-    parts = []
-    for method in methods:
-        if method == "commit_order":
-            parts.append(_captured(log, method, ("commit_lsn", "seq"), columns, op))
-        elif method == "queue":
-            parts.append(_captured(log, method, ("poll_no", "seq"), columns, op))
-        elif method == "sequence":
-            prev = lookup_side(positions_by_poll(log).select("poll_no", "prev_max_seq"))
-            read = log.join(prev, "poll_no").filter(
-                F.col("prev_max_seq").isNull() | (F.col("seq") > F.col("prev_max_seq"))
-            )
-            parts.append(_captured(read, method, ("poll_no", "seq"), columns, op))
-        elif method == "high_watermark":
-            surfaced = latest_images(
-                log,
-                KEYS,
-                ["seq", *columns, "updated_at", "changed_at"],
-                by=["poll_no"],
-            )
-            marks = surfaced.groupBy("poll_no").agg(F.max("updated_at").alias("mark"))
-            prev = lookup_side(
-                running_max_before(marks, "poll_no", ["mark"]).select("poll_no", "prev_mark")
-            )
-            # The mark never falls, so an image missed when it surfaces stays missed.
-            read = surfaced.join(prev, "poll_no").filter(
-                F.col("prev_mark").isNull() | (F.col("updated_at") > F.col("prev_mark"))
-            )
-            parts.append(_captured(read, method, ("poll_no", "seq"), columns, F.lit("U")))
-        else:
-            raise ValueError(f"unknown reading method {method!r}")
-    return union_tables(parts)
-
-
-def replicas(captured: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return _as_read(classify(log)[0], columns, methods)
+
+
+def replicas(
+    captured: DataFrame, columns: Sequence[str], skewed: bool | None = None
+) -> DataFrame:
     """The copy each method ends with, starting empty."""
     keys = ["method", *KEYS]
-    return net_rows(net_changes(captured, keys, columns), keys, [*columns, "updated_at"])
+    net = net_changes(captured, keys, columns, skewed=skewed)
+    return net_rows(net, keys, [*columns, "updated_at"])
 
 
-def histories(captured: DataFrame, status: str = "status") -> DataFrame:
-    return status_periods(captured, ["method", *KEYS], status).drop("seeded")
+def histories(
+    captured: DataFrame, status: str = "status", skewed: bool | None = None
+) -> DataFrame:
+    return status_periods(captured, ["method", *KEYS], status, skewed=skewed).drop("seeded")
 
 
 def truth(log: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -117,7 +145,7 @@ def truth(log: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def true_history(log: DataFrame, status: str = "status") -> DataFrame:
-    everything = capture_by_method(log, [status], ["commit_order"])
+    everything = canonical_changes(log, ["commit_lsn", "seq"], keep=[status])
     return status_periods(everything, KEYS, status).drop("seeded")
 
 
@@ -125,17 +153,18 @@ def score_methods(
     log: DataFrame, columns: Sequence[str], methods: Sequence[str] = METHOD_NAMES
 ) -> DataFrame:
     """``method, changes_applied, source_rows, missing, stale, ghost, rows_wrong, periods``."""
-    captured = capture_by_method(log, columns, methods)
+    judged, skewed = classify(log)
+    captured = _as_read(judged, columns, methods)
     image = [*columns, "updated_at"]
     # One method row per source row: a fixed fan-out by the number of methods.
     expected = truth(log, columns).withColumn(
         "method", F.explode(F.array(*[F.lit(m) for m in methods]))
     )
     keys = ["method", *KEYS]
-    compared = compare_rows(expected, replicas(captured, columns), keys, image)
+    compared = compare_rows(expected, replicas(captured, columns, skewed), keys, image)
     wrong = diff_counts(compared, ["method"])
     applied = captured.groupBy("method").agg(F.count(F.lit(1)).alias("changes_applied"))
-    periods = histories(captured).groupBy("method").agg(F.count(F.lit(1)).alias("periods"))
+    periods = histories(captured, skewed=skewed).groupBy("method").agg(F.count(F.lit(1)).alias("periods"))
     return (
         wrong.join(applied, "method", "left")
         .join(periods, "method", "left")

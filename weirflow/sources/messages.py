@@ -55,57 +55,82 @@ def _text(buf: bytes, at: int) -> tuple[str, int]:
     return buf[at:end].decode("utf-8"), end + 1
 
 
-def _values(buf: bytes, at: int) -> tuple[list[dict], int]:
-    count, at = _int(buf, at, 2), at + 2
-    values = []
-    for _ in range(count):
-        kind = VALUE_KINDS.get(buf[at])
-        if kind is None:
-            raise ValueError(f"unsupported tuple value kind {chr(buf[at])!r}")
-        at, text = at + 1, None
-        if kind == "t":
-            stop = at + 4 + _int(buf, at, 4)
-            text, at = buf[at + 4 : stop].decode("utf-8"), stop
-        values.append({"kind": kind, "value": text})
-    return values, at
-
-
-def parse_body(buf: bytes | None) -> dict | None:
-    """Relation or row message to its fields; other messages have no body here."""
-    if not buf:
-        return None
-    kind = chr(buf[0])
-    if kind == RELATION:
-        schema, at = _text(buf, 5)
-        table, at = _text(buf, at)
-        at += 1  # replica identity
-        columns, keys = [], []
+class _Values:
+    """Value lists of many messages as flat columns, the layout Arrow wants."""
+
+    def __init__(self) -> None:
+        self.kinds: list[str] = []
+        self.values: list[bytes | None] = []
+        self.starts: list[int | None] = []
+
+    def none(self) -> None:
+        self.starts.append(None)
+
+    def read(self, buf: bytes, at: int) -> int:
+        self.starts.append(len(self.kinds))
         count, at = _int(buf, at, 2), at + 2
         for _ in range(count):
-            flags = buf[at]
-            name, at = _text(buf, at + 1)
-            at += 8  # type oid and modifier
-            columns.append(name)
-            if flags & 1:
-                keys.append(name)
-        return {
-            "rel_id": _int(buf, 1, 4),
-            "schema_name": schema,
-            "table_name": table,
-            "columns": columns,
-            "key_columns": keys,
-        }
-    if kind not in ROW_KINDS:
-        return None
-    body: dict = {"rel_id": _int(buf, 1, 4)}
-    at = 5
-    if kind == "D" or (kind == "U" and buf[at] in OLD_TUPLES):
-        body["old"], at = _values(buf, at + 1)
-    if kind != "D":
-        if buf[at] != NEW_TUPLE:
-            raise ValueError(f"expected a new tuple, got {chr(buf[at])!r}")
-        body["new"], _ = _values(buf, at + 1)
-    return body
+            kind = VALUE_KINDS.get(buf[at])
+            if kind is None:
+                raise ValueError(f"unsupported tuple value kind {chr(buf[at])!r}")
+            at, value = at + 1, None
+            if kind == "t":
+                stop = at + 4 + _int(buf, at, 4)
+                value, at = buf[at + 4 : stop], stop
+            self.kinds.append(kind)
+            self.values.append(value)
+        return at
+
+    def arrow(self) -> pa.Array:
+        text = pa.array(self.values, pa.binary()).cast(pa.string())
+        pairs = pa.StructArray.from_arrays([pa.array(self.kinds, pa.string()), text], ["kind", "value"])
+        offsets = pa.array([*self.starts, len(self.kinds)], pa.int32())
+        return pa.ListArray.from_arrays(offsets, pairs)
+
+
+def _relation(buf: bytes) -> tuple[str, str, list[str], list[str]]:
+    schema, at = _text(buf, 5)
+    table, at = _text(buf, at)
+    at += 1  # replica identity
+    columns, keys = [], []
+    count, at = _int(buf, at, 2), at + 2
+    for _ in range(count):
+        flags = buf[at]
+        name, at = _text(buf, at + 1)
+        at += 8  # type oid and modifier
+        columns.append(name)
+        if flags & 1:
+            keys.append(name)
+    return schema, table, columns, keys
+
+
+def parse_bodies(data: pa.Array) -> pa.Array:
+    """Relation and row messages to their fields, a batch at a time; others become NULL fields."""
+    ids: list[int | None] = []
+    relations: list[tuple | None] = []
+    old, new = _Values(), _Values()
+    for buf in data.to_pylist():
+        kind = chr(buf[0]) if buf else ""
+        row = kind in ROW_KINDS
+        ids.append(_int(buf, 1, 4) if row or kind == RELATION else None)
+        relations.append(_relation(buf) if kind == RELATION else None)
+        at = 5
+        if row and (kind == "D" or (kind == "U" and buf[at] in OLD_TUPLES)):
+            at = old.read(buf, at + 1)
+        else:
+            old.none()
+        if row and kind != "D":
+            if buf[at] != NEW_TUPLE:
+                raise ValueError(f"expected a new tuple, got {chr(buf[at])!r}")
+            new.read(buf, at + 1)
+        else:
+            new.none()
+    fields = [
+        pa.array([r and r[i] for r in relations], field.type)
+        for i, field in enumerate(list(_body_type)[1:5])
+    ]
+    arrays = [pa.array(ids, pa.int64()), *fields, old.arrow(), new.arrow()]
+    return pa.StructArray.from_arrays(arrays, fields=list(_body_type))
 
 
 _body_type = to_arrow_type(BODY_SCHEMA)
@@ -113,7 +138,7 @@ _body_type = to_arrow_type(BODY_SCHEMA)
 
 @F.arrow_udf(BODY_SCHEMA)
 def _bodies(data: pa.Array) -> pa.Array:
-    return pa.array([parse_body(b) for b in data.to_pylist()], type=_body_type)
+    return parse_bodies(data)
 
 
 def _signed(data: Column, at: int, size: int) -> Column:
