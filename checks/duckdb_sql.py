@@ -327,6 +327,16 @@ select poll_no as batch_id, txid as xid, commit_lsn, cast(count(*) as bigint) as
 from l group by 1, 2, 3""",
     "messages_to_replica": f"""
 with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
+    "message_poll": f"""
+with {LOG}
+select case when op = 'D' then 'D' else 'U' end as op, pk, commit_lsn as pos_hi, status,
+       case when op = 'U' and seq % 11 = 0 then null else amount_cents end as amount_cents,
+       case when op <> 'D' then updated_at end as updated_at
+from l where poll_no <= {POLL} and commit_lsn > (select max(commit_lsn) from l where poll_no < {POLL})""",
+    "message_position": f"""
+with {LOG} select printf('%X/%X', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295) as position from l""",
+    "smallest_key": """
+select o_orderkey, o_custkey, o_orderstatus, o_orderdate from orders order by o_orderkey limit 1""",
     "full_reload_counts": """
 select 'orders' as tbl, cast(count(*) as bigint) as n_rows from orders
 union all select 'customer', count(*) from customer""",

@@ -201,6 +201,12 @@ def changelog_from_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return ch.changes_between(before, after, "o_orderkey", columns)
 
 
+@query
+def smallest_key(spark: SparkSession, d: str) -> DataFrame:
+    orders = fx.table(spark, d, "orders").select(*STORED_ORDERS.all_names)
+    return ch.smallest_key_row(orders, "o_orderkey")
+
+
 @query
 def time_texts(spark: SparkSession, d: str) -> DataFrame:
     events = fx.table(spark, d, "events")
@@ -480,6 +486,21 @@ def messages_to_replica(spark: SparkSession, d: str) -> DataFrame:
     return up.net_rows(up.net_changes(changes, ["pk"], COLUMNS), ["pk"], IMAGE)
 
 
+@query
+def message_poll(spark: SparkSession, d: str) -> DataFrame:
+    """Messages visible at a poll, read above the position the poll before ended with."""
+    log = _log(spark, d)
+    done = cap.visible(log, POLL - 1).agg(F.max("commit_lsn").alias("m")).first().m
+    messages = fx.message_table(cap.visible(log, POLL))
+    changes, _ = msg.poll_messages(messages, [USERS], lsn.format_lsn_text(done))
+    return changes["users"].drop("tbl", "sent", "ts", POS_LO)
+
+
+@query
+def message_position(spark: SparkSession, d: str) -> DataFrame:
+    return msg.poll_messages(fx.message_table(_log(spark, d)), [USERS], "0/0")[1]
+
+
 # ---- store and stream --------------------------------------------------------------------
 
 

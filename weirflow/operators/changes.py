@@ -112,3 +112,8 @@ def changes_between(
 
 def union_tables(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def smallest_key_row(df: DataFrame, key: str) -> DataFrame:
+    """The row with the smallest key; every task keeps one row."""
+    return df.orderBy(key).limit(1)

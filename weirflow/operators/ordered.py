@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirflow.session import fits_one_task, hot_group_rows
+from weirflow.session import fits_one_task, hot_group_rows, materialize
 
 SEG = "_seg"
 _SUB = 1 << 20  # sub-segments one segment can be cut into
@@ -66,7 +66,8 @@ def cut_hot_groups(
 
     A segment that is still hot (many rows on few positions, such as one huge
     poll or transaction) is cut again by its own range: once more by the first
-    order column, then by the next one.
+    order column, then by the next one. The hot groups found at each step are
+    written out, so the result reads ``df`` once however many steps there are.
     """
     wide = list(df.columns)
     cut = df.withColumn(SEG, F.lit(0).cast("bigint"))
@@ -74,7 +75,9 @@ def cut_hot_groups(
         narrow = cut.select(*dict.fromkeys([*keys, *order, SEG]))
         if level:
             narrow = narrow.filter(F.col(SEG) > 0)
-        hot = hot_groups(narrow, [*keys, SEG], order, limit)
+        hot = materialize(hot_groups(narrow, [*keys, SEG], order, limit), "hot")
+        if hot.isEmpty():
+            break
         inner = F.coalesce(_segment_number(order, limit), F.lit(0))
         cut = (
             cut.join(F.broadcast(hot), [*keys, SEG], "left")
@@ -99,7 +102,8 @@ class OrderedGroups:
         self.order = list(order)
         self.split = has_hot_groups(df, keys, hot_rows) if skewed is None else skewed
         if self.split:
-            df = cut_hot_groups(df, keys, order, hot_rows or hot_group_rows(df.sparkSession))
+            limit = hot_rows or hot_group_rows(df.sparkSession)
+            df = materialize(cut_hot_groups(df, keys, order, limit), "segments")
         self.frame = df
 
     def _look(
@@ -132,7 +136,7 @@ class OrderedGroups:
         )
         return (
             valued.withColumn(out, look)
-            .join(F.broadcast(carry), groups, "left")
+            .join(F.broadcast(materialize(carry, "carry")), groups, "left")
             .withColumn(out, F.coalesce(out, f"{out}__e"))
             .drop(f"{out}__v", f"{out}__e")
         )
@@ -164,6 +168,8 @@ def running_max_before(
     ``df`` has one row per ``at``. Rows are scanned in blocks of ``block``
     consecutive numbers; only one row per block goes through a single task.
     """
+    if not fits_one_task(df):
+        df = materialize(df, "by_number")
     if fits_one_task(df):
         earlier = W.orderBy(at).rowsBetween(W.unboundedPreceding, -1)
         return df.select("*", *[F.max(v).over(earlier).alias(f"prev_{v}") for v in values])

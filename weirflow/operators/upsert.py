@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weirflow.model import DELETE, POS
 from weirflow.operators.ordered import has_hot_groups, order_struct
-from weirflow.session import hot_group_rows
+from weirflow.session import hot_group_rows, materialize
 
 RESET = "reset"  # the batch deleted the key at some point: the stored row is void
 LIVE = "live"  # the batch leaves a row
@@ -54,6 +54,7 @@ def net_changes(
         .filter(F.col("_n") > limit)
         .drop("_n")
     )
+    hot = materialize(hot, "hot")
     ordinary = changes.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     barred = changes.join(F.broadcast(hot), keys)
     return _net_of_ordinary(ordinary, keys, columns, version, order).unionByName(

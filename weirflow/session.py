@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ RECOMMENDED = {
 HOT_ROWS_CONF = "spark.weirflow.hotGroupRows"
 HOT_ROWS_DEFAULT = 2_000_000
 # Inputs below this need no skew handling: one task could process all of them.
-ONE_TASK_BYTES = 64 << 20
+ONE_TASK_CONF = "spark.weirflow.oneTaskBytes"
+ONE_TASK_DEFAULT = 64 << 20
 # Most rows a lookup side may have to be broadcast; beyond it the join shuffles.
 LOOKUP_ROWS = 4_000_000
 
@@ -55,7 +57,8 @@ def input_bytes(df: DataFrame) -> int | None:
 
 def fits_one_task(df: DataFrame) -> bool:
     size = input_bytes(df)
-    return size is not None and size <= ONE_TASK_BYTES
+    limit = int(df.sparkSession.conf.get(ONE_TASK_CONF, str(ONE_TASK_DEFAULT)))
+    return size is not None and size <= limit
 
 
 def lookup_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
@@ -67,9 +70,7 @@ def lookup_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """
     if fits_one_task(df):
         return df
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -83,3 +84,16 @@ def shared_folder(spark: SparkSession) -> str:
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="weirflow-")
     return _local_folders[app]
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a step to the shared folder and go on from there.
+
+    Used where a large input feeds several later steps: it ends the lineage (a
+    lost executor re-reads, it does not recompute), keeps plans linear, and gives
+    the optimizer the true size. The files outlive the session; the folder's owner
+    clears them.
+    """
+    path = f"{shared_folder(df.sparkSession)}/weirflow/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ in memory (the open transaction, the relations seen) becomes look-ups in
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
@@ -19,10 +20,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from weirflow.functions.documents import map_fields
-from weirflow.functions.positions import server_micros_to_timestamp
+from weirflow.functions.positions import format_lsn, parse_lsn, server_micros_to_timestamp
 from weirflow.model import DELETE, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
 from weirflow.operators.ordered import OrderedGroups
-from weirflow.session import lookup_side
 
 # Message kinds that matter and the markers of a tuple and its values.
 BEGIN, COMMIT, RELATION = "B", "C", "R"
@@ -272,6 +272,26 @@ def decoded_changes(decoded: DataFrame, spec: TableSpec) -> DataFrame:
     )
 
 
+def poll_messages(
+    messages: DataFrame,
+    specs: Sequence[TableSpec],
+    position: str | None,
+    hot_rows: int | None = None,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Typed changes per table above a commit position, and the new position.
+
+    Transactions at or below the position are decoded, as later messages may
+    need their relations, and then left out; tables without a spec are not
+    captured. The position is a one-row DataFrame with the LSN text.
+    """
+    old = parse_lsn(F.lit(position or "0/0"))
+    fresh = decode_messages(messages, hot_rows).filter(F.col("commit_lsn") > old)
+    commits = messages.filter(F.decode(F.substring("data", 1, 1), "ISO-8859-1") == COMMIT)
+    last = F.max(_signed(F.col("data"), 3, 8))
+    top = commits.agg(format_lsn(F.greatest(last, old)).alias("position"))
+    return {s.name: decoded_changes(fresh, s) for s in specs}, top
+
+
 def fill_unsent(
     changes: DataFrame,
     key: str,
@@ -298,8 +318,9 @@ def fill_unsent(
             [~F.array_contains("sent", c) & F.col(f"_before_{c}").isNull() for c in columns],
         )
         needy = df.filter(~removed & lacking).select(key).distinct()
-        held = lookup_side(
-            stored.join(needy, key, "left_semi").select(key, F.struct(*columns).alias("_stored"))
+        # One row per key on this side: a hot key is left to the adaptive skew join.
+        held = stored.join(needy, key, "left_semi").select(
+            key, F.struct(*columns).alias("_stored")
         )
         df = df.join(held, key, "left")
     else:
