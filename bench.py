@@ -121,8 +121,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     consume(QUERIES["scd2_history"](spark, sf_dir))  # warm the JVM
     seconds = {}
-    for name in names:
-        seconds[name] = timed(lambda n=name: consume(QUERIES[n](spark, sf_dir)))
+    for name in names:  # the better of two runs: the first one compiles
+        run = lambda n=name: consume(QUERIES[n](spark, sf_dir))
+        seconds[name] = min(timed(run), timed(run))
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     if not wanted:
         seconds |= sync_cycles(spark, sf_dir)

@@ -4,11 +4,23 @@ from datetime import datetime
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from checks import fixtures as fx
+from checks.spark_queries import COLUMNS, USERS
 from tests import wire
-from weirflow.functions.positions import format_lsn_text
-from weirflow.model import TableSpec
-from weirflow.sources.messages import decode_messages, decoded_changes, fill_unsent, transactions
+from weirflow.functions.positions import format_lsn, format_lsn_text, parse_lsn
+from weirflow.model import MESSAGE_SCHEMA, TableSpec
+from weirflow.operators.upsert import net_changes, net_rows
+from weirflow.sources.messages import (
+    decode_messages,
+    decoded_changes,
+    fill_unsent,
+    poll_messages,
+    transactions,
+)
+from weirflow.streaming import sync
+from weirflow.streaming.store import Store
 
 
 def rows(df):
@@ -148,3 +160,53 @@ def test_unsent_values_come_from_the_state_before(spark, hot_rows):
         (1, "U", None, "b3"),
         (2, "U", None, "z"),
     ]
+
+
+def test_polling_above_a_commit_position(spark):
+    df = wire.landed(
+        spark,
+        wire.begin(100, 1), wire.relation(), wire.insert("1", "a"), wire.commit(100),
+        wire.begin(200, 2), wire.insert("2", "b"), wire.commit(200),
+        wire.begin(300, 3), wire.commit(300),
+    )
+    spec = TableSpec("orders", "order_id", (("order_id", "bigint"), ("status", "string")))
+    changes, position = poll_messages(df, [spec], "0/64")
+    assert [(r.order_id, r.status) for r in changes["orders"].collect()] == [(2, "b")]
+    assert position.first().position == "0/12C"
+    nothing, same = poll_messages(df.limit(0), [spec], "0/64")
+    assert nothing["orders"].count() == 0 and same.first().position == "0/64"
+
+
+def test_messages_stream_into_the_store(spark, sf_dir, folder):
+    """Landed messages, decoded and applied per micro-batch, restored values included."""
+    log, home = fx.derive(spark, sf_dir, fx.LOG_SQL), folder()
+    messages = fx.message_table(log)
+    store = Store(spark, f"{home}/store", [USERS])
+    for low, high in ((0, 4), (4, 99)):
+        part = messages.filter(f"batch_id >= {low} and batch_id < {high}")
+        part.write.mode("append").parquet(f"{home}/landed")
+
+        def changes(batch):
+            typed = poll_messages(batch, [USERS], store.position("wire"))[0]["users"]
+            return {"users": fill_unsent(typed, "pk", ["amount_cents"], store.table("users"))}
+
+        sync.catch_up(
+            sync.start_sync(
+                sync.landed_log(spark, f"{home}/landed", MESSAGE_SCHEMA),
+                store,
+                "wire",
+                changes,
+                format_lsn(F.max(parse_lsn("lsn"))),
+                f"{home}/checkpoint",
+            )
+        )
+    columns = ["pk", "status", "amount_cents", "updated_at"]
+    decoded = decoded_changes(decode_messages(messages), USERS)
+    expected = net_rows(
+        net_changes(fill_unsent(decoded, "pk", ["amount_cents"]), ["pk"], COLUMNS),
+        ["pk"], columns[1:],
+    )
+    got = store.table("users").select(*columns)
+    assert got.count() == expected.count()
+    assert got.exceptAll(expected).count() == 0
+    assert store.position("wire") == log.select(format_lsn(F.max("commit_lsn"))).first()[0]
