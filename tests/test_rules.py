@@ -39,8 +39,8 @@ def rows_of(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 5, 40, 100_000])
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("hot_rows", [None, 5, 40])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_upserts_and_deletes(spark, seed, hot_rows):
     log = random_log(seed)
     stored = {k: (30, "old") for k in range(0, 20, 2)}
@@ -57,8 +57,8 @@ def test_upserts_and_deletes(spark, seed, hot_rows):
     assert {r.pk: (r.updated_at, r.status) for r in small.collect()} == expected
 
 
-@pytest.mark.parametrize("hot_rows", [None, 5, 40, 100_000])
-@pytest.mark.parametrize("seed", [4, 5, 6])
+@pytest.mark.parametrize("hot_rows", [None, 5, 40])
+@pytest.mark.parametrize("seed", [4, 5])
 def test_periods(spark, seed, hot_rows):
     log = random_log(seed)
     changes = spark.createDataFrame(random.Random(seed).sample(log, len(log)), SCHEMA)
