@@ -138,17 +138,39 @@ def test_reading_does_not_depend_on_the_size_of_the_nets(spark, store, monkeypat
     assert rows_in(store) == small
 
 
-def test_compaction_is_due_after_many_nets(spark, store, monkeypatch):
-    monkeypatch.setattr(store_module, "COMPACT_NETS", 2)
-    assert not store.due("t")
-    for i in range(2):
-        store.apply({"t": batch(spark, [(1, "U", i, 0, 5 + i, "a")])}, "c", "1", i)
-    assert store.due("t")
+def test_folding_and_rewriting_keep_the_state(spark, store, monkeypatch):
+    log = random_log(23, n=200, keys=9)
+    monkeypatch.setattr(store_module, "FOLD_PARTS", 3)
+    actions = []
+    for i in range(5):
+        store.apply({"t": batch(spark, log[i * 40 : (i + 1) * 40])}, "c", str(i), i)
+        actions.append(store.due("t"))
+        if actions[-1]:
+            before = rows_in(store), periods_in(store)
+            store.fold()
+            assert (rows_in(store), periods_in(store)) == before
+    assert actions[:3] == [None, None, "fold"]
+    events = [(pk, op, ts, s) for pk, op, _, _, ts, s in log]
+    stored = {k: (1, "old") for k in range(6)}
+    assert rows_in(store) == fold_rows(events, stored)
+    assert periods_in(store) == fold_periods(events, {k: ("old", 1) for k in stored})
+    monkeypatch.setattr(store_module, "SMALL_NET_ROWS", 2)
+    assert store.due("t") == "base"
     before = rows_in(store), periods_in(store)
     store.compact()
-    assert not store.due("t")
+    assert store.due("t") is None
     assert (rows_in(store), periods_in(store)) == before
 
 
+def test_parts_are_joined_by_size():
+    def run(*sizes):
+        return store_module.newest_run([["p", n] for n in sizes])
+
+    assert run(*[5] * 7) == 0
+    assert run(*[5] * 8) == 8
+    assert run(1000, *[5] * 8) == 8  # a big old part is left alone
+    assert run(*[60] * 8, *[5] * 3) == 11
+
+
 def test_saved_positions_carry_their_time(store):
     assert isinstance(store.consumers().first().updated_at, datetime)

@@ -34,7 +34,7 @@ def land(log, folder, low, high):
 @pytest.mark.parametrize("crash", [None, "append", "publish", "after"])
 def test_stream_survives_crashes(spark, sf_dir, folder, monkeypatch, crash):
     log, home = fx.derive(spark, sf_dir, fx.LOG_SQL), folder()
-    monkeypatch.setattr(store_module, "COMPACT_NETS", 3)
+    monkeypatch.setattr(store_module, "FOLD_PARTS", 2)
     store = Store(spark, f"{home}/store", [USERS])
     land(log, home, 0, 4)
     run(spark, home, store, log.schema)

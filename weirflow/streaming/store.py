@@ -40,9 +40,10 @@ from weirflow.session import lookup_side
 BATCH = "batch_no"
 # A net up to this many rows is broadcast past the stored rows.
 SMALL_NET_ROWS = 500_000
-# Compact when this many nets, or nets of this share of the base, have piled up.
-COMPACT_NETS = 16
-COMPACT_SHARE = 0.2
+# Fold this many of the newest parts of like size into one ...
+FOLD_PARTS = 8
+# ... and rewrite the base when the nets reach this share of its rows.
+REBASE_SHARE = 0.2
 PARALLEL_WRITES = 4
 
 
@@ -85,6 +86,20 @@ class Files:
         self._context.rename(aside, self._path(path), none)
 
 
+def newest_run(parts: Sequence[Sequence]) -> int:
+    """How many of the newest parts to join: all up to a size tier, once it holds enough parts.
+
+    Tiers grow eightfold, so a row is rewritten about once per tier.
+    """
+    tiers = [(max(rows, 1).bit_length() - 1) // 3 for _, rows in parts]
+    longest = 0
+    for tier in sorted(set(tiers)):
+        run = next((i for i, t in enumerate(reversed(tiers)) if t > tier), len(tiers))
+        enough = tiers[len(tiers) - run :].count(tier) >= FOLD_PARTS
+        longest = run if enough else longest
+    return longest
+
+
 def _empty_version() -> dict:
     return {"version": 0, "tables": {}, "history": {}, "consumers": {}}
 
@@ -250,12 +265,17 @@ class Store:
             rows = rows.join(lookup_side(touched), spec.key, "left_semi")
         if not entry.get("batches"):
             return rows.select(spec.key, spec.tracked, "valid_from")
+        return self._last_said(spec, rows)
+
+    @staticmethod
+    def _last_said(spec: TableSpec, rows: DataFrame) -> DataFrame:
+        """Keys whose last word is an open period; one partial aggregate, hot keys included."""
         # Within a batch the end of the old period comes before the open one.
         last = F.max_by(
             F.struct("ended", spec.tracked, "valid_from"), F.struct(F.col(BATCH), ~F.col("ended"))
         )
-        said = rows.groupBy(spec.key).agg(last.alias("_last")).filter(~F.col("_last.ended"))
-        return said.select(
+        words = rows.filter(~F.col("ended") | F.col(SEEDED)).groupBy(spec.key)
+        return words.agg(last.alias("_last")).filter(~F.col("_last.ended")).select(
             spec.key, *[F.col(f"_last.{c}").alias(c) for c in (spec.tracked, "valid_from")]
         )
 
@@ -359,11 +379,19 @@ class Store:
 
     # ---- compaction --------------------------------------------------------------
 
-    def due(self, name: str) -> bool:
-        """Have enough nets piled up to make reading dearer than rewriting?"""
-        entry = self.current()["tables"].get(name, {"base": [], "nets": []})
+    def due(self, name: str) -> str | None:
+        """What is worth doing: "base" (rewrite it), "fold" (join newest parts) or nothing.
+
+        A base is rewritten only once the nets have grown with it, whatever the
+        number of batches; until then small parts are joined into bigger ones.
+        """
+        manifest = self.current()
+        entry = manifest["tables"].get(name, {"base": [], "nets": []})
         base, nets = (sum(n for _, n in entry[k]) for k in ("base", "nets"))
-        return len(entry["nets"]) >= COMPACT_NETS or nets > max(SMALL_NET_ROWS, base * COMPACT_SHARE)
+        if nets > max(SMALL_NET_ROWS, base * REBASE_SHARE):
+            return "base"
+        batches = manifest["history"].get(name, {}).get("batches", [])
+        return "fold" if newest_run(entry["nets"]) or newest_run(batches) else None
 
     def compact(self, names: Sequence[str] | None = None) -> None:
         """New bases out of bases and nets; periods closed since then become one part."""
@@ -386,3 +414,35 @@ class Store:
                 self._put_open(manifest, spec, still)
                 manifest["history"][name]["closed"] = [*closed, *([[path, n]] if n else [])]
         self._publish(manifest)
+
+    def fold(self, names: Sequence[str] | None = None) -> None:
+        """Join the newest parts of like size; bases and older parts stay as they are."""
+        manifest = self._next()
+        version = manifest["version"]
+        for name in names or list(self.specs):
+            spec = self.specs[name]
+            entry = manifest["tables"].get(name, {"nets": []})
+            run = newest_run(entry["nets"])
+            if run:
+                paths = [p for p, _ in entry["nets"][-run:]]
+                nets = self._read(name, paths, self._net_schema(spec))
+                net = fold_nets(nets, [spec.key], self._image(spec), spec.version)
+                columns = [f.name for f in self._net_schema(spec)]
+                part = self._write(net.select(*columns), name, version)
+                entry["nets"][-run:] = [list(part)]
+            entry = manifest["history"].get(name, {"batches": []})
+            run = newest_run(entry["batches"])
+            if run:
+                rows = self._periods(spec, {"batches": entry["batches"][-run:]}, ["batches"])
+                # Ended periods all stay; of the open ones only those open after the last batch.
+                still = self._last_said(spec, rows).withColumns(
+                    {
+                        "valid_to": F.lit(None).cast(rows.schema["valid_to"].dataType),
+                        SEEDED: F.lit(False),
+                        "ended": F.lit(False),
+                    }
+                )
+                joined = rows.filter("ended").drop(BATCH).unionByName(still)
+                part = self._write(joined, self._history_name(name), version, by=["ended"])
+                entry["batches"][-run:] = [list(part)]
+        self._publish(manifest)

@@ -72,9 +72,12 @@ def start_sync(
 
         applied = store.apply(to_changes(batch), consumer, newest, batch_id)
         if applied and compact_when_due:
-            due = [n for n in store.specs if store.due(n)]
-            if due:
-                store.compact(due)
+            for name in store.specs:
+                due = store.due(name)
+                if due == "base":
+                    store.compact([name])
+                elif due == "fold":
+                    store.fold([name])
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
