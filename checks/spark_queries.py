@@ -18,7 +18,7 @@ from weirflow.operators import history as hist
 from weirflow.operators import quality as qc
 from weirflow.operators import upsert as up
 from weirflow.plans import audit, replay
-from weirflow.session import shared_folder
+from weirflow.session import materialize, shared_folder
 from weirflow.sources import capture as cap
 from weirflow.sources import messages as msg
 from weirflow.sources.snapshot import declared_columns
@@ -69,6 +69,11 @@ def _log(spark: SparkSession, d: str, hot: bool = False) -> DataFrame:
     return fx.derive(spark, d, fx.HOT_LOG_SQL if hot else fx.LOG_SQL)
 
 
+def _messages(log: DataFrame) -> DataFrame:
+    """The log's messages as landed files, which is what a decoder reads."""
+    return materialize(fx.message_table(log), "messages")
+
+
 def _commit_changes(log: DataFrame) -> DataFrame:
     return ch.canonical_changes(log, ["commit_lsn", "seq"], keep=COLUMNS)
 
@@ -453,7 +458,7 @@ def pg_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pgoutput_decode(spark: SparkSession, d: str) -> DataFrame:
-    decoded = msg.decode_messages(fx.message_table(_log(spark, d)))
+    decoded = msg.decode_messages(_messages(_log(spark, d)))
     new, old = F.col("new"), F.col("old")
     key = F.coalesce(F.try_element_at(new, F.lit("pk")), F.try_element_at(old, F.lit("pk")))
     return decoded.select(
@@ -474,14 +479,14 @@ def pgoutput_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def decoded_transactions(spark: SparkSession, d: str) -> DataFrame:
-    decoded = msg.decode_messages(fx.message_table(_log(spark, d)))
+    decoded = msg.decode_messages(_messages(_log(spark, d)))
     return msg.transactions(decoded).drop("commit_ts")
 
 
 @query
 def messages_to_replica(spark: SparkSession, d: str) -> DataFrame:
     """Bytes to rows: decode, restore unsent values, apply."""
-    decoded = msg.decode_messages(fx.message_table(_log(spark, d)))
+    decoded = msg.decode_messages(_messages(_log(spark, d)))
     changes = msg.fill_unsent(msg.decoded_changes(decoded, USERS), "pk", ["amount_cents"])
     return up.net_rows(up.net_changes(changes, ["pk"], COLUMNS), ["pk"], IMAGE)
 
@@ -491,14 +496,14 @@ def message_poll(spark: SparkSession, d: str) -> DataFrame:
     """Messages visible at a poll, read above the position the poll before ended with."""
     log = _log(spark, d)
     done = cap.visible(log, POLL - 1).agg(F.max("commit_lsn").alias("m")).first().m
-    messages = fx.message_table(cap.visible(log, POLL))
+    messages = _messages(cap.visible(log, POLL))
     changes, _ = msg.poll_messages(messages, [USERS], lsn.format_lsn_text(done))
     return changes["users"].drop("tbl", "sent", "ts", POS_LO)
 
 
 @query
 def message_position(spark: SparkSession, d: str) -> DataFrame:
-    return msg.poll_messages(fx.message_table(_log(spark, d)), [USERS], "0/0")[1]
+    return msg.poll_messages(_messages(_log(spark, d)), [USERS], "0/0")[1]
 
 
 # ---- store and stream --------------------------------------------------------------------

@@ -19,7 +19,7 @@ from weirflow.operators.compare import compare_rows, diff_counts
 from weirflow.operators.history import status_periods
 from weirflow.operators.ordered import OrderedGroups, running_max_before
 from weirflow.operators.upsert import net_changes, net_rows
-from weirflow.session import fits_one_task, lookup_side, materialize
+from weirflow.session import lookup_side, materialize
 
 METHOD_NAMES = ("high_watermark", "sequence", "queue", "commit_order")
 KEYS = ("tbl", "pk")
@@ -154,8 +154,7 @@ def score_methods(
 ) -> DataFrame:
     """``method, changes_applied, source_rows, missing, stale, ghost, rows_wrong, periods``."""
     judged, skewed = classify(log)
-    if not fits_one_task(log):  # read by three steps below
-        judged = materialize(judged, "judged")
+    judged = materialize(judged, "judged")  # read by three steps below
     captured = _as_read(judged, columns, methods)
     image = [*columns, "updated_at"]
     # One method row per source row: a fixed fan-out by the number of methods.
