@@ -9,11 +9,13 @@ in memory (the open transaction, the relations seen) becomes look-ups in
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ from weirflow.functions.positions import format_lsn, parse_lsn, server_micros_to
 from weirflow.model import DELETE, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
 from weirflow.operators.ordered import OrderedGroups
 
+# The parser travels with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Message kinds that matter and the markers of a tuple and its values.
 BEGIN, COMMIT, RELATION = "B", "C", "R"
 ROW_KINDS = ("I", "U", "D")
