@@ -44,22 +44,30 @@ def _probes(keys: Sequence[str], bits: int) -> np.ndarray:
     return ((h >> (np.arange(_PROBES, dtype=np.uint64) * np.uint64(32))) % np.uint64(bits)).astype(np.int64)
 
 
+def _get(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _put(bits: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
 def _packed(page: np.ndarray) -> bytes:
-    """A page of booleans as its set positions, or as bits where those are fewer bytes."""
-    at = np.flatnonzero(page).astype("<u2").tobytes()
-    return at if len(at) < _PAGE // 8 else np.packbits(page).tobytes()
+    """A page of bits as its set positions, or as it is where that is shorter."""
+    at = np.flatnonzero(np.unpackbits(page, bitorder="little")).astype("<u2").tobytes()
+    return at if len(at) < len(page) else page.tobytes()
 
 
 def _page(data: bytes) -> np.ndarray:
     if len(data) == _PAGE // 8:
-        return np.unpackbits(np.frombuffer(data, np.uint8)).astype(bool)
-    page = np.zeros(_PAGE, dtype=bool)
-    page[np.frombuffer(data, "<u2")] = True
+        return np.frombuffer(data, np.uint8).copy()
+    page = np.zeros(_PAGE // 8, dtype=np.uint8)
+    _put(page, np.frombuffer(data, "<u2").astype(np.int64))
     return page
 
 
 def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
-    """Booleans that are true at every probe of a line key held by two documents or more.
+    """Packed bits that are set at every probe of a line key held by two documents or more.
 
     A task marks a key's bits in its own ``once`` filter, and in ``twice`` when they were
     marked before; merging two tasks' filters adds what both have marked once. At most
@@ -67,14 +75,14 @@ def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 probes = _probes(list(_keys(text, shortest)), bits)
-                twice[probes[once[probes].all(axis=1)]] = True
-                once[probes] = True
-        for page in np.flatnonzero(once.reshape(-1, _PAGE).any(axis=1)).tolist():
-            part = slice(page * _PAGE, (page + 1) * _PAGE)
+                _put(twice, probes[_get(once, probes).all(axis=1)].ravel())
+                _put(once, probes.ravel())
+        for page in np.flatnonzero(once.reshape(-1, _PAGE // 8).any(axis=1)).tolist():
+            part = slice(page * _PAGE // 8, (page + 1) * _PAGE // 8)
             columns = [pa.array([page]), pa.array([_packed(once[part])]), pa.array([_packed(twice[part])])]
             yield pa.RecordBatch.from_arrays(columns, names=["page", "once", "twice"])
 
@@ -98,9 +106,9 @@ def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
 
     parts = docs.where("doc_id is not null").select("text").mapInArrow(build, "page long, once binary, twice binary")
     merged = parts.repartition("page").sortWithinPartitions("page").mapInArrow(merge, "page long, twice binary")
-    out = np.zeros(bits, dtype=bool)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for page, twice in merged.where("length(twice) > 0").toLocalIterator():
-        out[page * _PAGE : (page + 1) * _PAGE] = _page(bytes(twice))
+        out[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = _page(bytes(twice))
     return out
 
 
@@ -109,7 +117,7 @@ def suspects(docs: DataFrame, shortest: int) -> DataFrame:
     lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
     wanted = BITS_PER_LINE * (lines or 1)
     bits = min(MAX_BITS, max(_PAGE, 1 << (wanted - 1).bit_length()))
-    seen = docs.sparkSession.sparkContext.broadcast(np.packbits(repeat_filter(docs, bits, shortest)))
+    seen = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, bits, shortest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,8 +125,7 @@ def suspects(docs: DataFrame, shortest: int) -> DataFrame:
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys = list(_keys(text, shortest))
                 probes = _probes(keys, bits)
-                hit = (seen.value[probes >> 3] >> (7 - (probes & 7)) & 1).all(axis=1)
-                at = np.flatnonzero(hit).tolist()
+                at = np.flatnonzero(_get(seen.value, probes).all(axis=1)).tolist()
                 ids.extend([doc_id] * len(at))
                 found.extend(keys[i] for i in at)
             columns = [pa.array(ids, pa.int64()), pa.array(found, pa.string())]
