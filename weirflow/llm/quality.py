@@ -9,7 +9,6 @@ DataFrame functions only.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,53 +95,45 @@ def rules() -> dict[str, Column]:
     }
 
 
-def learn(votes: DataFrame, names: list[str], rounds: int = 30) -> tuple[float, dict[str, tuple[float, float]]]:
+def learn(votes: DataFrame, names: list[str], rounds: int = 30) -> tuple[float, list[tuple[float, float]]]:
     """Share of good documents, and per rule how often it votes good on good and bad on bad ones.
 
-    Starts from the share of good votes of each pattern. Counts are smoothed by one right and
-    one wrong vote, so no rule becomes certain, and no rule is taken to be worse than chance, so good and bad cannot swap. Only these 2 * rules + 1 numbers reach the driver.
+    Starts from the share of good votes of each pattern. Counts are smoothed by one right and one wrong vote, so no
+    rule becomes certain, and no rule is taken to be worse than chance, so good and bad cannot swap. The patterns
+    are few whatever the corpus, so a round is one task; 2 * rules + 1 numbers reach the driver.
     """
-    patterns = votes.groupBy(*names).agg(F.count("*").alias("n"))
-    patterns = materialize(patterns, "patterns")
-    cast = reduce(lambda a, b: a + b, [F.when(F.col(v).isNotNull(), 1).otherwise(0) for v in names])
-    good = reduce(lambda a, b: a + b, [F.coalesce(F.col(v), F.lit(0)) for v in names])
+    patterns = votes.groupBy(F.array(*names).alias("votes")).agg(F.count("*").alias("n"))
+    patterns = materialize(patterns.coalesce(1), "patterns").coalesce(1)
+    cast, good = F.size(F.array_compact("votes")), F.aggregate(F.array_compact("votes"), F.lit(0), lambda a, v: a + v)
     belief = F.when(cast > 0, good / cast).otherwise(0.5)
-    prior, accuracy = 0.5, {}
+    prior, accuracy = 0.5, [(0.5, 0.5)] * len(names)
+    p, n, vote = F.col("p"), F.col("n"), F.col("vote")
+    of = lambda condition, weight: F.sum(F.when(condition, weight).otherwise(0.0))
     for _ in range(rounds):
-        p, n = F.col("p"), F.col("n")
-        sums = [F.sum(n * p).alias("good"), F.sum(n).alias("all")]
-        for v in names:
-            sums += [
-                F.sum(F.when(F.col(v) == 1, n * p).otherwise(0.0)).alias(f"{v}_right"),
-                F.sum(F.when(F.col(v).isNotNull(), n * p).otherwise(0.0)).alias(f"{v}_good"),
-                F.sum(F.when(F.col(v) == 0, n * (1 - p)).otherwise(0.0)).alias(f"{v}_caught"),
-                F.sum(F.when(F.col(v).isNotNull(), n * (1 - p)).otherwise(0.0)).alias(f"{v}_bad"),
-            ]
-        row = patterns.withColumn("p", belief).agg(*sums).first()
-        if not row["all"]:
+        cases = patterns.select("n", belief.alias("p"), F.posexplode("votes").alias("rule", "vote"))
+        rows = cases.groupBy("rule").agg(
+            F.sum(n * p).alias("good"), F.sum(n).alias("all"),
+            of(vote == 1, n * p).alias("right"), of(vote.isNotNull(), n * p).alias("on_good"),
+            of(vote == 0, n * (1 - p)).alias("caught"), of(vote.isNotNull(), n * (1 - p)).alias("on_bad"),
+        ).orderBy("rule").collect()
+        if not rows:
             break
-        new = (row["good"] + 1) / (row["all"] + 2)
-        change, prior = abs(new - prior), new
-        for v in names:
-            pair = ((row[f"{v}_right"] + 1) / (row[f"{v}_good"] + 2), (row[f"{v}_caught"] + 1) / (row[f"{v}_bad"] + 2))
-            change = max(change, *(abs(x - y) for x, y in zip(pair, accuracy.get(v, (0.5, 0.5)), strict=True)))
-            accuracy[v] = tuple(max(0.5, x) for x in pair)
+        before = [prior, *(x for pair in accuracy for x in pair)]
+        prior = (rows[0]["good"] + 1) / (rows[0]["all"] + 2)
+        rate = lambda hit, of: max(0.5, (hit + 1) / (of + 2))
+        accuracy = [(rate(r["right"], r["on_good"]), rate(r["caught"], r["on_bad"])) for r in rows]
         belief = posterior(prior, accuracy)
-        if change < 1e-4:
+        if max(abs(x - y) for x, y in zip(before, [prior, *(x for pair in accuracy for x in pair)], strict=True)) < 1e-4:
             break
     return prior, accuracy
 
 
-def posterior(prior: float, accuracy: dict[str, tuple[float, float]]) -> Column:
-    """Probability that a document is good, given its votes; the prior where no rule votes."""
-    # One array of numbers, so that every round of learning runs the code compiled for the first.
-    logs = [math.log(prior / (1 - prior))]
-    for on_good, on_bad in accuracy.values():
-        logs += [math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)]
-    weights = F.lit(logs)
-    odds = F.get(weights, 0)
-    for i, v in enumerate(accuracy):
-        odds += F.when(F.col(v) == 1, F.get(weights, 2 * i + 1)).when(F.col(v) == 0, F.get(weights, 2 * i + 2)).otherwise(0.0)
+def posterior(prior: float, accuracy: list[tuple[float, float]]) -> Column:
+    """Probability that a document is good, given its array ``votes``; the prior where no rule votes."""
+    says_good = F.lit([math.log(on_good / (1 - on_bad)) for on_good, on_bad in accuracy])
+    says_bad = F.lit([math.log((1 - on_good) / on_bad) for on_good, on_bad in accuracy])
+    weighed = F.transform("votes", lambda v, i: F.when(v == 1, F.get(says_good, i)).when(v == 0, F.get(says_bad, i)).otherwise(0.0))
+    odds = F.aggregate(weighed, F.lit(math.log(prior / (1 - prior))), lambda a, x: a + x)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -154,6 +145,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """
     measured = materialize(measures(docs), "measures")
     votes = measured.select("*", *[v.alias(f"vote_{n}") for n, v in rules().items()])
-    prior, accuracy = learn(votes, [f"vote_{n}" for n in rules()])
+    names = [f"vote_{n}" for n in rules()]
+    prior, accuracy = learn(votes, names)
+    votes = votes.withColumn("votes", F.array(*names))
     failed = votes.select("*", base_failed().alias("base_failed"), posterior(prior, accuracy).alias("quality"))
     return failed.select("*", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"))
