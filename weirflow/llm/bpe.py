@@ -55,7 +55,7 @@ class PerfectHash:
                     break
                 first += _TRIES
             shift[numbers[b]] = first + int(good.argmax())
-            slots[own] = self._slots(h[own], np.uint64(shift[numbers[b]]))
+            slots[own] = self._slots(h[own], shift[numbers[b : b + 1]].astype(np.uint64))
             free[slots[own]] = False
         single = by_size[counts[by_size] == 1]
         left = np.flatnonzero(free)[: len(single)]
