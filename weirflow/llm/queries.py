@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, lines, mixing, quality, simhash
+from weirflow.llm import bpe, lines, mixing, quality, simhash, warc, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,40 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = webtext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    number = lambda c: F.nullif(F.regexp_extract(c, ":([-0-9]*)>$", 1), F.lit("")).cast("long")
+    return read.select(
+        number("record_id").alias("page_id"),
+        "payload_bytes",
+        F.coalesce(F.sha2("payload", 256), "payload_digest").alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
+ORACLES["op8_warc_zip"] = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), d as (
+  select page_id, octet_length(encode(html)) as payload_bytes, sha256(html) as payload_digest from p
+), f as (
+  select *, min(page_id) over (partition by payload_digest) as first_id from d
+)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to
+from f
+"""
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.deduplicate_lines(table(spark, sf_dir, "documents"))
