@@ -88,9 +88,19 @@ class Vocabulary:
         for token, slot in zip(tokens, self.hash.slots, strict=True):
             self.keys[slot], self.ids[slot] = token, ranks[token]
 
-    def __getstate__(self) -> dict:
-        kept = ("pattern", "hash", "keys", "ids")
-        return {k: v for k, v in self.__dict__.items() if k in kept}
+    def state(self) -> dict:
+        """Plain values to broadcast, as workers need not have this package to read them."""
+        return {"pattern": self.pattern, "hash": self.hash.__dict__, "keys": self.keys, "ids": self.ids}
+
+    @classmethod
+    def of(cls, state: dict) -> Vocabulary:
+        """A vocabulary over a broadcast state; what it remembers stays in it for a worker's later tasks."""
+        if isinstance(state["hash"], dict):
+            plain, state["hash"] = state["hash"], PerfectHash.__new__(PerfectHash)
+            state["hash"].__dict__ = plain
+        vocabulary = cls.__new__(cls)
+        vocabulary.__dict__ = state
+        return vocabulary
 
     def _ready(self) -> None:
         if "memo" not in self.__dict__:
@@ -155,10 +165,10 @@ class Vocabulary:
 
 
 def _mapped(docs: DataFrame, column: str, kind: str, vocabulary: Vocabulary, outputs: dict[str, str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.state())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = Vocabulary.of(shared.value)
         for batch in batches:
             columns, values = [batch.column(0)], batch.column(1).to_pylist()
             for name in outputs:

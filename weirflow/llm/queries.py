@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, lines, mixing, quality, simhash, warc, webtext
+from weirflow.llm import bpe, hmm, lines, mixing, quality, simhash, warc, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, sf_dir, "pages"))
