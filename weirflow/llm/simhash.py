@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirflow.llm.graph import components, spanning_links
+from weirflow.llm.postings import BLOCK, pairs, units, whole_units
 from weirflow.session import materialize
 
 BITS = 64
-# Fingerprints under one key that are compared in one unit of work; longer lists are cut into pairs of blocks.
-BLOCK = 512
 _SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -100,49 +99,19 @@ def links(classes: DataFrame, distance: int = 3, segments: int = 16, block: int
     """
     keys, span = _keys(F.col("fp"), distance, segments)
     postings = classes.select("fp", "rep", F.explode(keys).alias("key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = materialize(sizes.select("key", F.ceil(F.col("n") / block).alias("blocks")), "lists")
-    own = F.pmod(F.xxhash64("fp"), "blocks")
-    units = (
-        postings.join(sizes, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "rep")
-    )
-
-    def pairs(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        new = np.ones(len(t["key"]), dtype=bool)
-        new[1:] = np.any([t[c][1:] != t[c][:-1] for c in ("key", "i", "j")], axis=0)
-        unit = np.cumsum(new) - 1
-        last = np.append(np.flatnonzero(new)[1:], len(unit))[unit]  # end of each row's unit
-        fp, start, a, b = t["fp"].view(np.uint64), t["key"] >> span, [], []
-        at, step = np.arange(len(unit)), 1
-        while len(at := at[at + step < last[at]]):
-            to = at + step
-            ok = _linked(fp[at] ^ fp[to], start[at], distance, segments)
-            ok &= (t["i"][at] == t["j"][at]) | (t["own"][at] != t["own"][to])
-            a.append(t["rep"][at[ok]])
-            b.append(t["rep"][to[ok]])
-            step += 1
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "i", "j", "own", "fp", "rep"]
-        rest = {c: np.empty(0, np.int64) for c in names}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t = {c: np.concatenate([rest[c], batch.column(k).to_numpy()]) for k, c in enumerate(names)}
-            tail = (t["key"] == t["key"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
-            rest = {c: t[c][tail] for c in names}
-            yield _links(*pairs({c: t[c][~tail] for c in names}))
-        yield _links(*pairs(rest))
-
-    def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        a, b = spanning_links(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+        for t in whole_units(batches):
+            fp, start, one, two = t["fp"].view(np.uint64), t["key"] >> span, [], []
+            for a, b in pairs(t):
+                ok = _linked(fp[a] ^ fp[b], start[a], distance, segments)
+                one.append(t["rep"][a[ok]])
+                two.append(t["rep"][b[ok]])
+            if one:
+                ends = spanning_links(np.concatenate(one), np.concatenate(two))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
+
+    return units(postings, "fp", block).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3, segments: int = 16) -> DataFrame:
