@@ -56,3 +56,22 @@ def lines_kept(docs, shortest=10):
         kept = [x for x in lines if len(key(x)) < shortest or i == min(holders[key(x)])]
         out.add((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
+
+
+def repeats_removed(docs, length=400):
+    seen = defaultdict(int)
+    for _, text in docs:
+        data = (text or "").encode()
+        for s in range(len(data) - length + 1):
+            seen[hashlib.md5(data[s : s + length]).digest()] += 1
+    out = set()
+    for i, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            if seen[hashlib.md5(data[s : s + length]).digest()] > 1:
+                gone[s : s + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        spans = sum(g and (not k or not gone[k - 1]) for k, g in enumerate(gone))
+        out.add((i, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out

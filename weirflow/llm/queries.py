@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, hmm, lines, mixing, pivots, quality, simhash, warc, webtext
+from weirflow.llm import bpe, hmm, lines, mixing, pivots, quality, simhash, substrings, warc, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,12 @@ def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive_and_read(table(spark, sf_dir, "pages"))
