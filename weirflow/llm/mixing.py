@@ -76,7 +76,7 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], party: str, votes: st
     quotients are ranked whatever the number of seats. Ties go to the smaller party. Without votes no seats are given.
     """
     w = Window.partitionBy(*group)
-    share = F.col(votes) / F.sum(votes).over(w)
+    share = F.try_divide(F.col(votes), F.sum(votes).over(w))
     n, k = F.count("*").over(w), F.col(seats)
     sure = F.greatest(F.lit(0), F.floor(share * (k - n / 2) + 0.5) - 1)
     most = F.when(F.col(votes) > 0, F.floor(share * (k + n / 2) + 0.5) + 1).otherwise(0)

@@ -1,7 +1,7 @@
 """Main text of web pages by consensus of their hosts.
 
 Every page scores its containers by the running text they hold. A container is
-known by its generalised path, the tags and classes from the root with numbers taken out,
+known by its generalised path, the tags and classes from the body down with numbers taken out,
 and the pages of a host vote with their scores. Pages are then extracted again by the winning
 paths, so a page whose own text is short or odd still follows its site's template.
 """
@@ -38,10 +38,10 @@ _NUMBERS = re.compile(r"\d+")
 _ASIDE = frozenset("head nav header footer aside form menu dialog button select option label input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that make up a path; all others are text marks inside of them.
-_CONTAINERS = frozenset("html body main article section div table tbody tr td center".split())
+_CONTAINERS = frozenset("main article section div table tbody tr td center".split())
 _WHOLE = frozenset(("main", "article"))  # text below these counts for them, however deep it is
 _BLOCKS = _CONTAINERS | frozenset(
-    "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr th thead tfoot caption details summary".split()
+    "html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr th thead tfoot caption details summary".split()
 )
 # Words in class, id or role that mark what stands around an article.
 _AROUND = re.compile(
