@@ -93,7 +93,6 @@ def sync_cycles(spark: SparkSession, sf_dir: str) -> dict[str, float]:
                 {"users": USERS}, {"users": tables[poll]}, visible(landed, poll), taken
             )
             cycle_times.append(timed(lambda s=source: sync_once(store, capture, s)))
-            taken = visible(landed, poll).select("seq")
         seconds[f"sync_{name}"] = round(statistics.median(cycle_times), 4)
     store = Store(spark, f"{folder}/store-reload", [USERS])
     last = tables[CYCLES[-1]]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import fixtures as fx
-from checks.spark_queries import LAG_POSITIONS, MARK, POLL, SPLIT_POLL
+from checks.spark_queries import LAG_POSITIONS, MARK, POLL, SPLIT_POLL, SYNC_POLLS
 
 LOG = f"l as ({fx.in_sql(fx.LOG_SQL)})"
 HOT_LOG = f"l as ({fx.in_sql(fx.HOT_LOG_SQL)})"
@@ -110,6 +110,23 @@ union all
 select 'customer', count(*) filter (where c_custkey % 5 <> 0), 0, 0, count(*) filter (where c_custkey % 5 = 0)
 from customer"""
 
+
+
+def synced(consumer: str, order: str, position: str) -> str:
+    """Rows, periods and position of two tables read by one reader at a few polls."""
+    first, second, _ = SYNC_POLLS
+    return f"""
+with {LOG},
+m as (select *, case when pk % 2 = 0 then 'users' else 'visits' end as t,
+             case when poll_no <= {first} then 1 when poll_no <= {second} then 2 else 3 end as read_at from l),
+c as (select t as tbl, pk, {OP} as op, status, amount_cents, updated_at, {TS} as ts, {order} as a, seq as b from m),
+{survivors("c", "tbl, pk", "status, amount_cents, updated_at")}, {periods("c", "tbl, pk")}
+select 'row' as kind, tbl, pk, status, amount_cents, updated_at as valid_from, cast(null as timestamp) as valid_to
+from rows_left
+union all select 'period', tbl, pk, status, null, valid_from, valid_to from periods
+union all select 'position', '{consumer}', null, {position}, null, null, null from l"""
+
+
 APPLIED = """
 seeded as (
   select pk, -1 as a, 0 as b, 'U' as op, status, updated_at from stored
@@ -139,16 +156,20 @@ _lag_rows = " union all ".join(
 
 ORACLES: dict[str, str] = {
     "snapshot_scan": """
+select c_custkey, c_name, c_mktsegment, timestamp '2026-01-01 00:00:00' as loaded_at from customer""",
+    "snapshot_parts": """
 select c_custkey, c_name, c_mktsegment, timestamp '2026-01-01 00:00:00' as loaded_at from customer""",
     "bootstrap_history": """
 select o_orderkey, o_orderstatus, o_orderdate as valid_from, cast(null as timestamp) as valid_to from orders""",
     "high_watermark_start": """
 select greatest((select max(o_orderdate) from orders), (select max(l_shipdate) from lineitem)) as mark""",
     "high_watermark_poll": f"""
-select 'orders' as tbl, 'U' as op, o_orderkey as pk, o_orderdate as ts from orders
+select 'orders' as tbl, 'U' as op, o_orderkey as pk, o_orderdate as ts,
+       epoch_us(o_orderdate) as pos_hi, o_orderkey as pos_lo from orders
 where o_orderdate > timestamp '{MARK}'
 union all
-select 'lineitem', 'U', l_orderkey, l_shipdate from lineitem where l_shipdate > timestamp '{MARK}'""",
+select 'lineitem', 'U', l_orderkey, l_shipdate, epoch_us(l_shipdate), l_orderkey
+from lineitem where l_shipdate > timestamp '{MARK}'""",
     "high_watermark_position": f"""
 select coalesce(greatest((select max(o_orderdate) from orders where o_orderdate > timestamp '{MARK}'),
                          (select max(l_shipdate) from lineitem where l_shipdate > timestamp '{MARK}')),
@@ -235,12 +256,11 @@ with {PAIR}
 select 'left' as side, * from (select * from src except all select * from cpy) a
 union all
 select 'right', * from (select * from cpy except all select * from src) b""",
-    "row_fingerprint": f"""
-with {PAIR}
-select o_orderkey, md5('{{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"'
+    "row_fingerprint": """
+select o_orderkey, md5('{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"'
   || o_orderstatus || '","note":'
-  || case when o_orderkey % 3 = 0 then '"' || o_orderstatus || '"' else 'null' end || '}}') as fingerprint
-from src""",
+  || case when o_orderkey % 3 = 0 then '"' || o_orderstatus || '"' else 'null' end || '}') as fingerprint
+from orders""",
     "captured_changes": f"""
 with {LOG}, {CAPTURED} select method, pk, op, ts, seq, poll_no from captured""",
     "replay_replicas": f"""
@@ -346,6 +366,11 @@ select 'row' as kind, pk, status, amount_cents, updated_at as valid_from, cast(n
 from rows_left
 union all
 select 'period', pk, status, null, valid_from, valid_to from periods""",
+    "sync_queue_store": synced("queue", "read_at", "cast(max(seq) as varchar)"),
+    "sync_commit_order_store": synced(
+        "commit_order", "commit_lsn", "upper(format('{:x}/{:x}', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295))"
+    ),
+    "report_as_json": f"with {LOG}, {POLLS} select poll_no, max_seq, prev_max_seq from prev_seq",
     "key_uniqueness": """
 select l_orderkey, l_linenumber, cast(count(*) as bigint) as n_rows from lineitem group by 1, 2
 having count(*) > 1""",

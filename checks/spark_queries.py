@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from weirflow.plans import audit, replay
 from weirflow.session import materialize, shared_folder
 from weirflow.sources import capture as cap
 from weirflow.sources import messages as msg
-from weirflow.sources.snapshot import declared_columns
+from weirflow.sources.snapshot import declared_columns, load_tables
 from weirflow.streaming import sync
 from weirflow.streaming.store import Store
 
@@ -95,6 +96,15 @@ def snapshot_scan(spark: SparkSession, d: str) -> DataFrame:
     return declared_columns(fx.table(spark, d, "customer"), STORED_CUSTOMERS, loaded_at)
 
 
+@query
+def snapshot_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A whole table written as part files and read back as a first version."""
+    folder = _new_folder(spark, "snapshot")
+    fx.table(spark, d, "customer").repartition(3).write.parquet(f"{folder}/customer")
+    loaded_at = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    return load_tables(spark, folder, [STORED_CUSTOMERS], loaded_at)["customer"]
+
+
 @query
 def bootstrap_history(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "orders").select(*STORED_ORDERS.all_names)
@@ -113,14 +123,14 @@ def _above_mark(spark: SparkSession, d: str) -> DataFrame:
     lines = cap.above_mark(fx.table(spark, d, "lineitem"), mark, "l_shipdate")
     return ch.union_tables(
         [
-            orders.select(
-                F.lit("orders").alias("tbl"), F.col("o_orderkey").alias("pk"),
-                F.col("o_orderdate").alias("ts"),
-            ),
-            lines.select(
-                F.lit("lineitem").alias("tbl"), F.col("l_orderkey").alias("pk"),
-                F.col("l_shipdate").alias("ts"),
-            ),
+            rows.select(
+                F.lit(name).alias("tbl"), F.col(key).alias("pk"), F.col(at).alias("ts"),
+                F.unix_micros(F.col(at).cast("timestamp")).alias(POS_HI), F.col(key).alias(POS_LO),
+            )
+            for name, rows, key, at in (
+                ("orders", orders, "o_orderkey", "o_orderdate"),
+                ("lineitem", lines, "l_orderkey", "l_shipdate"),
+            )
         ]
     ).withColumn("op", F.lit("U"))
 
@@ -179,11 +189,17 @@ def canonical_changes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_changes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows to documents and back: the key and the typed columns come from the text."""
+    """Rows to documents and back: the key and the typed columns come from the text.
+
+    Every third document gives its time with an offset, as an instant.
+    """
     names = ["pk", *IMAGE]
     log = _log(spark, d)
+    text = doc.row_document(names)
+    zoned = F.regexp_replace(text, r'("updated_at":"[^"]*)"', '$1+00:00"')
+    text = F.when(F.col("seq") % 3 == 0, zoned).otherwise(text)
     with_doc = ch.canonical_changes(
-        log.withColumn("doc", F.when(F.col("op") != "D", doc.row_document(names))),
+        log.withColumn("doc", F.when(F.col("op") != "D", text)),
         ["commit_lsn", "seq"],
         keep=["doc"],
     ).withColumn("pk", F.coalesce(doc.document_key("doc", "pk"), "pk"))
@@ -361,7 +377,7 @@ def row_difference(spark: SparkSession, d: str) -> DataFrame:
 @query
 def row_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     columns = ["o_orderkey", "o_custkey", "o_orderstatus", "note"]
-    rows = fx.derive(spark, d, fx.SOURCE_SQL).withColumn(
+    rows = fx.table(spark, d, "orders").withColumn(
         "note", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus"))
     )
     return doc.with_fingerprint(rows, "o_orderkey", columns)
@@ -568,6 +584,60 @@ def stream_apply(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(periods)
 
 
+# Polls after which a reader comes by; the source has grown in between.
+SYNC_POLLS = (2, 5, 1 << 40)
+VISITS = replace(USERS, name="visits")
+
+
+def _synced(spark: SparkSession, d: str, method: str) -> DataFrame:
+    """Two tables polled into a store by one reader, the last poll twice: rows, periods and position."""
+    table = F.when(F.col("pk") % 2 == 0, "users").otherwise("visits")
+    log = _log(spark, d).withColumn("tbl", table)
+    log = log.withColumn("row_data", F.when(F.col("op") != "D", doc.row_document(["pk", *IMAGE])))
+    specs = {"users": USERS, "visits": VISITS}
+    store = Store(spark, _new_folder(spark, f"sync-{method}"), list(specs.values()))
+    for poll in (*SYNC_POLLS, SYNC_POLLS[-1]):
+        sync.sync_once(store, cap.METHODS[method](), cap.Source(specs, log=cap.visible(log, poll)))
+    parts = []
+    nothing = {"bigint": F.lit(None).cast("bigint"), "time": F.lit(None).cast("timestamp_ntz")}
+    for name in specs:
+        parts += [
+            store.table(name).select(
+                F.lit("row").alias("kind"), F.lit(name).alias("tbl"), "pk", "status", "amount_cents",
+                F.col("updated_at").alias("valid_from"), nothing["time"].alias("valid_to"),
+            ),
+            store.history(name).select(
+                F.lit("period").alias("kind"), F.lit(name).alias("tbl"), "pk", "status",
+                nothing["bigint"].alias("amount_cents"), "valid_from", "valid_to",
+            ),
+        ]
+    saved = store.consumers().select(
+        F.lit("position").alias("kind"), F.col("consumer").alias("tbl"), nothing["bigint"].alias("pk"),
+        F.col("position").alias("status"), nothing["bigint"].alias("amount_cents"),
+        nothing["time"].alias("valid_from"), nothing["time"].alias("valid_to"),
+    )
+    return ch.union_tables([*parts, saved])
+
+
+@query
+def sync_queue_store(spark: SparkSession, d: str) -> DataFrame:
+    return _synced(spark, d, "queue")
+
+
+@query
+def sync_commit_order_store(spark: SparkSession, d: str) -> DataFrame:
+    return _synced(spark, d, "commit_order")
+
+
+@query
+def report_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as JSON lines and read back."""
+    path = _new_folder(spark, "report")
+    report = replay.positions_by_poll(_log(spark, d))
+    sync.write_result(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 # ---- checks ------------------------------------------------------------------------------
 
 

@@ -52,6 +52,7 @@ def test_three_moves_and_a_delete_in_one_batch(spark):
     ]
 
 
+# Positions as text and number.
 LSNS = {"0/0": 0, "0/14AA488": 21669000, "1/FF": 4294967551, "16/B374D848": 97500059720}
 
 

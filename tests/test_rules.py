@@ -114,8 +114,8 @@ def test_segments_are_ordered_and_small(spark):
     rows = [(0, 7 if i < 1500 else i, i) for i in range(3000)] + [(k, k, k) for k in range(6000)]
     df = spark.createDataFrame(rows, "pk bigint, pos_hi bigint, pos_lo bigint")
     cut = cut_hot_groups(df, ["pk"], ["pos_hi", "pos_lo"], 200)
-    sizes = {(r.pk, r[SEG]): r["count"] for r in cut.groupBy("pk", SEG).count().collect()}
-    assert all(seg == 0 for pk, seg in sizes if pk != 0)
+    sizes = {(r.pk, tuple(r[SEG])): r["count"] for r in cut.groupBy("pk", SEG).count().collect()}
+    assert all(seg == () for pk, seg in sizes if pk != 0)
     assert max(n for (pk, _), n in sizes.items() if pk == 0) <= 200
     hot = sorted(cut.filter("pk = 0").collect(), key=lambda r: (r.pos_hi, r.pos_lo))
     assert [r[SEG] for r in hot] == sorted(r[SEG] for r in hot)

@@ -134,7 +134,7 @@ def test_reading_does_not_depend_on_the_size_of_the_nets(spark, store, monkeypat
     store.apply({"t": batch(spark, log[:60])}, "c", "1", 0)
     store.apply({"t": batch(spark, log[60:])}, "c", "2", 1)
     small = rows_in(store)
-    monkeypatch.setattr(store_module, "SMALL_NET_ROWS", 0)
+    monkeypatch.setattr(store_module, "SMALL_NET_BYTES", 0)
     assert rows_in(store) == small
 
 
@@ -154,7 +154,7 @@ def test_folding_and_rewriting_keep_the_state(spark, store, monkeypatch):
     stored = {k: (1, "old") for k in range(6)}
     assert rows_in(store) == fold_rows(events, stored)
     assert periods_in(store) == fold_periods(events, {k: ("old", 1) for k in stored})
-    monkeypatch.setattr(store_module, "SMALL_NET_ROWS", 2)
+    monkeypatch.setattr(store_module, "FEW_NET_ROWS", 2)
     assert store.due("t") == "base"
     before = rows_in(store), periods_in(store)
     store.compact()

@@ -1,7 +1,7 @@
-"""Row-by-row comparison of a copy with its source.
+"""Comparing a copy with its source by key and fingerprint.
 
-missing: in the source only; stale: in both with other values; ghost: in the
-copy only.
+Verdicts are named from the copy's side: it lacks a row (missing), has it with
+other values (stale), or has one the source has no more (ghost).
 """
 
 from __future__ import annotations

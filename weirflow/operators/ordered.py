@@ -4,13 +4,14 @@ A window function needs all rows of a group in one task. That is right for
 ordinary keys and fatal for a key holding a third of a 100 TB log. Groups above
 a row limit are therefore cut, in reading order, into segments: the window runs
 inside a segment, and what crosses a segment border is carried by a table with
-one row per segment.
+one row per segment (and value of the columns a look-up stays within).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -47,44 +48,50 @@ def has_hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int | None = No
     return not sizes.filter(F.col("_n") > limit).isEmpty()
 
 
-def _segment_number(order: Sequence[str], limit: int) -> Column:
-    """Equal-width cut of the first order column that varies; grows with the order."""
-    pieces = F.least(F.ceil(F.col("_n") / F.lit(limit)) * _SPREAD, F.lit(_SUB - 2))
+def _segment_number(order: Sequence[str], limit: int, again: bool) -> Column:
+    """Equal-width cut of the first order column that varies; grows with the order.
+
+    A segment cut again is cut as finely as can be: a far outlier then costs a few more cuts, not all.
+    """
+    pieces = F.lit(_SUB - 2) if again else F.least(F.ceil(F.col("_n") / F.lit(limit)) * _SPREAD, F.lit(_SUB - 2))
     number = F.lit(0).cast("bigint")
     for i in reversed(range(len(order))):
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         width = F.floor((high - low) / pieces) + 1
         cut = F.floor((F.col(order[i]) - low) / width).cast("bigint")
         number = F.when(high > low, cut).otherwise(number)
-    return F.when(F.col("_n").isNotNull(), number + 1)
+    return number
 
 
 def cut_hot_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int
 ) -> DataFrame:
-    """Add ``_seg``: 0 for ordinary groups, increasing in reading order for hot ones.
+    """Add ``_seg``: an empty array for ordinary groups, one that grows in reading order for hot ones.
 
-    A segment that is still hot (many rows on few positions, such as one huge
-    poll or transaction) is cut again by its own range: once more by the first
-    order column, then by the next one. The hot groups found at each step are
-    written out, so the result reads ``df`` once however many steps there are.
+    A segment that is still hot (positions with far outliers, or many rows on few
+    positions, such as one huge transaction) is cut again by its own range, which adds a
+    number to the array, until none is hot that has more than one position. The hot
+    groups found at each step are written out, so the result reads ``df`` once
+    however many steps there are.
     """
     wide = list(df.columns)
-    cut = df.withColumn(SEG, F.lit(0).cast("bigint"))
-    for level in range(len(order) + 1):
+    cut = df.withColumn(SEG, F.array().cast("array<bigint>"))
+    varies = reduce(or_, [F.col(f"_hi{i}") > F.col(f"_lo{i}") for i in range(len(order))])
+    again = False
+    while True:
         narrow = cut.select(*dict.fromkeys([*keys, *order, SEG]))
-        if level:
-            narrow = narrow.filter(F.col(SEG) > 0)
-        hot = materialize(hot_groups(narrow, [*keys, SEG], order, limit), "hot")
+        if again:
+            narrow = narrow.filter(F.size(SEG) > 0)
+        hot = materialize(hot_groups(narrow, [*keys, SEG], order, limit).filter(varies), "hot")
         if hot.isEmpty():
-            break
-        inner = F.coalesce(_segment_number(order, limit), F.lit(0))
+            return cut
+        longer = F.concat(SEG, F.array(_segment_number(order, limit, again)))
         cut = (
             cut.join(F.broadcast(hot), [*keys, SEG], "left")
-            .withColumn(SEG, F.col(SEG) * _SUB + inner)
+            .withColumn(SEG, F.when(F.col("_n").isNotNull(), longer).otherwise(F.col(SEG)))
             .select(*wide, SEG)
         )
-    return cut
+        again = True
 
 
 class OrderedGroups:
@@ -123,7 +130,7 @@ class OrderedGroups:
         pick = F.max_by if back else F.min_by
         place = F.when(F.col(f"{out}__v").isNotNull(), order_struct(self.order))
         edges = (
-            valued.filter(F.col(SEG) > 0)
+            valued.filter(F.size(SEG) > 0)
             .groupBy(*groups)
             .agg(pick(f"{out}__v", place).alias(f"{out}__e"))
         )
@@ -134,9 +141,10 @@ class OrderedGroups:
                 f"{function}(`{out}__e`) IGNORE NULLS OVER (PARTITION BY {across} ORDER BY {SEG})"
             ),
         )
+        # As a written table it has a known size, by which the optimizer chooses the join.
         return (
             valued.withColumn(out, look)
-            .join(F.broadcast(materialize(carry, "carry")), groups, "left")
+            .join(materialize(carry, "carry"), groups, "left")
             .withColumn(out, F.coalesce(out, f"{out}__e"))
             .drop(f"{out}__v", f"{out}__e")
         )

@@ -51,7 +51,7 @@ def classify(log: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, bo
 
     captured; late (its number or version was already passed when it
     committed); superseded (a later change of the key surfaced in the same poll);
-    delete (the method cannot see deletes). Rows are shuffled once, by key, and
+    delete (the method cannot see deletes); not_visible (no poll has seen it yet, ``poll_no`` is NULL). Rows are shuffled once, by key, and
     every later step per key (look-ahead, upserts, periods) works on that.
     """
     groups = OrderedGroups(log, KEYS, ["commit_lsn", "seq"], hot_rows)
@@ -82,7 +82,9 @@ def classify(log: DataFrame, hot_rows: int | None = None) -> tuple[DataFrame, bo
         "queue": F.lit("captured"),
         "commit_order": F.lit("captured"),
     }
-    judged = followed.join(prev, "poll_no").withColumns(verdicts)
+    unseen = F.col("poll_no").isNull()
+    verdicts = {m: F.when(unseen, "not_visible").otherwise(v) for m, v in verdicts.items()}
+    judged = followed.join(prev, "poll_no", "left").withColumns(verdicts)
     return judged.drop("_next_seq", "prev_max_seq", "prev_mark"), groups.split
 
 

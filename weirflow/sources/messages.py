@@ -52,6 +52,8 @@ BODY_SCHEMA = T.StructType(
 
 
 def _int(buf: bytes, at: int, size: int) -> int:
+    if at + size > len(buf):
+        raise ValueError("message ends inside a number")
     return int.from_bytes(buf[at : at + size], "big")
 
 
@@ -77,10 +79,12 @@ class _Values:
         for _ in range(count):
             kind = VALUE_KINDS.get(buf[at])
             if kind is None:
-                raise ValueError(f"unsupported tuple value kind {chr(buf[at])!r}")
+                raise ValueError(f"a value is marked {chr(buf[at])!r}, which says neither text nor none")
             at, value = at + 1, None
             if kind == "t":
                 stop = at + 4 + _int(buf, at, 4)
+                if stop > len(buf):
+                    raise ValueError("message ends inside a value")
                 value, at = buf[at + 4 : stop], stop
             self.kinds.append(kind)
             self.values.append(value)
@@ -102,7 +106,8 @@ def _relation(buf: bytes) -> tuple[str, str, list[str], list[str]]:
     for _ in range(count):
         flags = buf[at]
         name, at = _text(buf, at + 1)
-        at += 8  # type oid and modifier
+        _int(buf, at, 8)  # type oid and modifier, not used
+        at += 8
         columns.append(name)
         if flags & 1:
             keys.append(name)
@@ -126,7 +131,7 @@ def parse_bodies(data: pa.Array) -> pa.Array:
             old.none()
         if row and kind != "D":
             if buf[at] != NEW_TUPLE:
-                raise ValueError(f"expected a new tuple, got {chr(buf[at])!r}")
+                raise ValueError(f"the row after the change is marked {chr(buf[at])!r}")
             new.read(buf, at + 1)
         else:
             new.none()
@@ -222,7 +227,7 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None) -> DataFra
             fail("change or commit outside a transaction"),
         )
         .when(row & ~F.col("_commit.kind").eqNullSafe(COMMIT), fail("transaction without commit"))
-        .when(row & F.col("_rel").isNull(), fail("unknown relation"))
+        .when(row & F.col("_rel").isNull(), fail("change of a table not announced in this poll"))
         .otherwise(row)
     )
     return groups.close(looked).filter(checked).select(
@@ -287,12 +292,13 @@ def poll_messages(
 
     Transactions at or below the position are decoded, as later messages may
     need their relations, and then left out; tables without a spec are not
-    captured. The position is a one-row DataFrame with the LSN text.
+    captured. The position is a one-row DataFrame with the text of the last commit's
+    landed ``lsn``, which is what is compared too.
     """
     old = parse_lsn(F.lit(position or "0/0"))
-    fresh = decode_messages(messages, hot_rows).filter(F.col("commit_lsn") > old)
+    fresh = decode_messages(messages, hot_rows).filter(parse_lsn("lsn") > old)
     commits = messages.filter(F.decode(F.substring("data", 1, 1), "ISO-8859-1") == COMMIT)
-    last = F.max(_signed(F.col("data"), 3, 8))
+    last = F.max(parse_lsn("lsn"))
     top = commits.agg(format_lsn(F.greatest(last, old)).alias("position"))
     return {s.name: decoded_changes(fresh, s) for s in specs}, top
 

@@ -3,6 +3,8 @@
     <root>/_manifest/<n>.json                          what version n consists of
     <root>/<table>/batch_no=<n>/attempt=<id>/          base rows or one batch's net rows
     <root>/<history>/batch_no=<n>/attempt=<id>/ended=  one batch's periods
+    <root>/<consumer>_taken/batch_no=<n>/attempt=<id>/ numbers a queue reader took
+    <root>/_landed/<id>/                               a batch while it is applied
 
 A batch writes only its own net rows; the stored table is the base with the
 nets since folded in, and ``compact`` turns that into a new base. A version
@@ -15,8 +17,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import ExitStack, contextmanager
 from copy import deepcopy
 from datetime import UTC, datetime
 
@@ -38,8 +41,10 @@ from weirflow.operators.upsert import (
 from weirflow.session import lookup_side
 
 BATCH = "batch_no"
-# A net up to this many rows is broadcast past the stored rows.
-SMALL_NET_ROWS = 500_000
+# Nets whose files have up to this many bytes are broadcast past the stored rows.
+SMALL_NET_BYTES = 8 << 20
+# Nets below this many rows are not worth a new base.
+FEW_NET_ROWS = 500_000
 # Fold this many of the newest parts of like size into one ...
 FOLD_PARTS = 8
 # ... and rewrite the base when the nets reach this share of its rows.
@@ -74,6 +79,13 @@ class Files:
         finally:
             stream.close()
 
+    def size(self, folders: Sequence[str]) -> int:
+        """Bytes of all files below some folders."""
+        return sum(self._fs.getContentSummary(self._path(f)).getLength() for f in folders)
+
+    def remove(self, folder: str) -> None:
+        self._fs.delete(self._path(folder), True)
+
     def publish_text(self, path: str, text: str) -> None:
         """Write aside, then rename; fails when the target exists."""
         aside = self._path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -148,6 +160,16 @@ class Store:
         counted.write.partitionBy(*by).parquet(path)
         return path, int(seen.get["n"])
 
+    @contextmanager
+    def land(self, name: str, df: DataFrame) -> Iterator[DataFrame]:
+        """A written copy of a batch, there until the block ends: one read of a source that may grow."""
+        path = f"{self.root}/_landed/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.parquet(path)
+        try:
+            yield self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self.files.remove(path)
+
     def _read(self, name: str, paths: Sequence[str], schema: T.StructType) -> DataFrame:
         full = T.StructType(
             [*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField("attempt", T.StringType())]
@@ -181,7 +203,7 @@ class Store:
             net = fold_nets(nets, [spec.key], self._image(spec), spec.version)
         if not entry["base"]:
             return net_rows(net, [spec.key], spec.image_names).select(*spec.all_names)
-        small = sum(n for _, n in entry["nets"]) <= SMALL_NET_ROWS
+        small = self.files.size([p for p, _ in entry["nets"]]) <= SMALL_NET_BYTES
         merged = merge_net(base, net, [spec.key], self._image(spec), spec.version, small)
         return merged.select(*spec.all_names)
 
@@ -298,15 +320,30 @@ class Store:
     def _put_position(
         manifest: dict, consumer: str, position: str | None, batch_id: int | None
     ) -> None:
+        before = manifest["consumers"].get(consumer, {})
         manifest["consumers"][consumer] = {
             "position": position,
             "batch_id": batch_id,
             "updated_at": datetime.now(UTC).isoformat(),
+            "taken": before.get("taken", []),
         }
 
     def position(self, consumer: str) -> str | None:
         return self.current()["consumers"].get(consumer, {}).get("position")
 
+    def taken(self, consumer: str, manifest: dict | None = None) -> DataFrame | None:
+        """Numbers (``seq``) a queue reader has taken, None before it has taken any."""
+        parts = (manifest or self.current())["consumers"].get(consumer, {}).get("taken", [])
+        schema = T.StructType([T.StructField("seq", T.LongType())])
+        return self._read(f"{consumer}_taken", [p for p, _ in parts], schema).drop(BATCH) if parts else None
+
+    def _put_taken(self, manifest: dict, consumer: str, numbers: DataFrame) -> None:
+        """Adds the numbers of a batch; every so often the parts become one."""
+        parts = manifest["consumers"][consumer]["taken"]
+        if len(parts) >= FOLD_PARTS:
+            numbers, parts[:] = numbers.union(self.taken(consumer, manifest)), []
+        parts.append(list(self._write(numbers.select("seq"), f"{consumer}_taken", manifest["version"])))
+
     def consumers(self) -> DataFrame:
         """Saved positions as a DataFrame."""
         rows = [
@@ -325,18 +362,35 @@ class Store:
         consumer: str,
         position: str | None | Callable[[], str | None],
         batch_id: int | None = None,
+        taken: DataFrame | None = None,
+        landed: bool = False,
     ) -> bool:
         """Apply one batch of typed changes per table and save the position, as one commit.
 
-        ``position`` may be a function, which then runs beside the writes.
-        Returns False without doing anything when this batch of the consumer is
+        ``position`` may be a function, which then runs beside the writes; ``taken`` are numbers a queue
+        reader took. Changes are landed first, unless the caller says they are, as several
+        steps read them. Returns False without doing anything when this batch of the consumer is
         already committed: replaying rows would be harmless, replaying a batch's
         history would not.
         """
-        manifest = self._next()
-        done = manifest["consumers"].get(consumer, {}).get("batch_id")
+        done = self.current()["consumers"].get(consumer, {}).get("batch_id")
         if batch_id is not None and done is not None and batch_id <= done:
             return False
+        with ExitStack() as held:
+            if not landed:
+                changes = {n: held.enter_context(self.land(n, df)) for n, df in changes.items()}
+            self._commit(changes, consumer, position, done if batch_id is None else batch_id, taken)
+        return True
+
+    def _commit(
+        self,
+        changes: Mapping[str, DataFrame],
+        consumer: str,
+        position: str | None | Callable[[], str | None],
+        batch_id: int | None,
+        taken: DataFrame | None,
+    ) -> None:
+        manifest = self._next()
         # The parts do not depend on each other; written side by side, published together.
         with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
 
@@ -358,9 +412,10 @@ class Store:
             entry = manifest["history"].setdefault(name, empty)
             entry["batches"] += [list(w) for w in [written.result()] if w[1]]
         text = saved.result() if saved else position
-        self._put_position(manifest, consumer, text, done if batch_id is None else batch_id)
+        self._put_position(manifest, consumer, text, batch_id)
+        if taken is not None:
+            self._put_taken(manifest, consumer, taken)
         self._publish(manifest)
-        return True
 
     def _write_net(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> tuple[str, int]:
         net = net_changes(batch, [spec.key], self._image(spec), spec.version)
@@ -388,7 +443,7 @@ class Store:
         manifest = self.current()
         entry = manifest["tables"].get(name, {"base": [], "nets": []})
         base, nets = (sum(n for _, n in entry[k]) for k in ("base", "nets"))
-        if nets > max(SMALL_NET_ROWS, base * REBASE_SHARE):
+        if nets > max(FEW_NET_ROWS, base * REBASE_SHARE):
             return "base"
         batches = manifest["history"].get(name, {}).get("batches", [])
         return "fold" if newest_run(entry["nets"]) or newest_run(batches) else None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +25,24 @@ def typed_batches(changes: DataFrame, specs: Sequence[TableSpec]) -> dict[str, D
     return {s.name: route(checked, s) for s in specs}
 
 
-def sync_once(
-    store: Store, capture: Capture, source: Source, batch_id: int | None = None
-) -> DataFrame | None:
+def sync_once(store: Store, capture: Capture, source: Source) -> bool:
     """One poll of a reading method into the store.
 
-    Returns what the method wants acknowledged (the numbers a queue reader took),
-    to be saved by the caller after the commit that happened here.
+    The source is read once: the poll is landed in the store's folder, and the rows applied,
+    the position and the numbers taken all come from the landed copy and are committed
+    together. A poll that dies before the commit is read again, one after it is not.
     """
+    taken = store.taken(capture.name)
+    if taken is not None:
+        both = taken if source.taken is None else taken.union(source.taken.select("seq"))
+        source = replace(source, taken=both)
     poll = capture.poll(source, store.position(capture.name))
-    batches = typed_batches(poll.changes, list(store.specs.values()))
-    store.apply(batches, capture.name, poll.position_text, batch_id)
-    return capture.ack(source, store.position(capture.name))
+    with store.land(capture.name, poll.changes) as rows:
+        poll = poll.landed(rows)
+        batches = typed_batches(rows, list(store.specs.values()))
+        return store.apply(
+            batches, capture.name, poll.position_text, taken=capture.ack(poll), landed=True
+        )
 
 
 def landed_log(
