@@ -13,6 +13,7 @@ import statistics
 import sys
 import time
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from checks import fixtures as fx
 from checks.spark_queries import COLUMNS, QUERIES, USERS
 from weirflow.functions.documents import row_document
 from weirflow.plans.replay import latest_images
-from weirflow.session import build_session, shared_folder
+from weirflow.session import build_session, drop_steps, shared_folder
 from weirflow.sources.capture import METHODS, Source, visible
 from weirflow.streaming.store import Store
 from weirflow.streaming.sync import sync_once
@@ -102,6 +103,48 @@ def sync_cycles(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     return seconds
 
 
+# Changes per cycle against stored tables of different size (orders and lineitem of the input).
+CHANGES = (2_000, 20_000)
+
+
+def sync_growth(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Seconds of one sync and of a full reload, by stored rows and changes; all inputs are written before."""
+    folder = f"{shared_folder(spark)}/bench-{uuid.uuid4().hex[:12]}"
+    lines = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    tables = {
+        "orders": fx.table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("pk"), F.col("o_orderstatus").alias("status"),
+            F.col("o_orderdate").alias("updated_at"),
+        ),
+        "lineitem": fx.table(spark, sf_dir, "lineitem").select(
+            lines.cast("bigint").alias("pk"), F.col("l_linestatus").alias("status"),
+            F.col("l_shipdate").alias("updated_at"),
+        ),
+    }
+    seconds: dict[str, float] = {}
+    for name, rows in tables.items():
+        spec = replace(USERS, name=name, columns=(("pk", "bigint"), ("status", "string")))
+        rows = rows.dropDuplicates(["pk"])
+        store = Store(spark, f"{folder}/{name}", [spec])
+        stored = store.bootstrap({name: rows}, {"sequence": "0"})[name]
+        seconds[f"reload_{stored}"] = timed(lambda: store.full_reload({name: store.table(name)}))
+        done = 0
+        for n in CHANGES:
+            later = F.col("updated_at") + F.expr("interval 1 day")
+            image = rows.withColumn("status", F.lit("changed")).withColumn("updated_at", later)
+            log = image.orderBy(F.xxhash64("pk", F.lit(n))).limit(n).select(
+                F.lit(name).alias("tbl"), F.lit("U").alias("op"), "pk",
+                (F.monotonically_increasing_id() + done + 1).alias("seq"),
+                row_document(["pk", "status", "updated_at"]).alias("row_data"), later.alias("changed_at"),
+            )
+            log.write.parquet(f"{folder}/{name}-log-{n}")
+            log = spark.read.parquet(f"{folder}/{name}-log-{n}")
+            done = log.agg(F.max("seq")).first()[0]
+            source = Source({name: spec}, log=log)
+            seconds[f"sync_{n}_into_{stored}"] = timed(lambda s=source: sync_once(store, METHODS["sequence"](), s))
+    return seconds
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -126,7 +169,9 @@ def main() -> None:
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     if not wanted:
         seconds |= sync_cycles(spark, sf_dir)
+    growth = sync_growth(spark, sf_dir) if not wanted else {}
     rows = fx.table(spark, sf_dir, "lineitem").count()
+    drop_steps(spark)
     spark.stop()
     print(
         json.dumps(
@@ -135,6 +180,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "growth": growth,
                 "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
                 "lineitem_rows": rows,
             }

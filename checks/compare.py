@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from checks.duckdb_sql import ORACLES
 from checks.fixtures import TABLES
 from checks.spark_queries import QUERIES
-from weirflow.session import build_session
+from weirflow.session import build_session, drop_steps
 
 
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -81,6 +81,7 @@ def main(argv: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
         print(f"{name:28s} {time.perf_counter() - start:6.2f}s {problem or 'ok'}", flush=True)
+    drop_steps(spark)
     spark.stop()
     return bad
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings the operators rely on; pass them to a session builder or submit command.
 RECOMMENDED = {
@@ -22,8 +24,8 @@ HOT_ROWS_DEFAULT = 2_000_000
 # Inputs below this need no skew handling: one task could process all of them.
 ONE_TASK_CONF = "spark.weirflow.oneTaskBytes"
 ONE_TASK_DEFAULT = 64 << 20
-# Most rows a lookup side may have to be broadcast; beyond it the join shuffles.
-LOOKUP_ROWS = 4_000_000
+# Most bytes a lookup side may have to be broadcast; beyond it the join shuffles.
+LOOKUP_BYTES = 64 << 20
 
 _local_folders: dict[str, str] = {}
 
@@ -61,16 +63,23 @@ def fits_one_task(df: DataFrame) -> bool:
     return size is not None and size <= limit
 
 
-def lookup_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Mark a narrow lookup table for broadcast only after counting it.
+def lookup_side(df: DataFrame, max_bytes: int = LOOKUP_BYTES) -> DataFrame:
+    """Mark a narrow lookup table for broadcast only after measuring it.
 
     Small inputs are left to the optimizer's size estimate. A table above
-    ``max_rows`` is returned as it is, so the join shuffles and the adaptive
+    ``max_bytes`` is returned as it is, so the join shuffles and the adaptive
     skew join takes care of hot keys.
     """
     if fits_one_task(df):
         return df
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    lengths = [
+        F.coalesce(F.octet_length(f.name), F.lit(0))
+        for f in df.schema
+        if isinstance(f.dataType, (T.StringType, T.BinaryType))
+    ]
+    row = reduce(lambda a, b: a + b, lengths, F.lit(16 * (len(df.columns) + 1)))
+    size = df.agg(F.sum(row)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -86,14 +95,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
+def _steps_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/weirflow/{spark.sparkContext.applicationId}"
+
+
+def drop_steps(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written in this session; for when its results are saved."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_steps_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and go on from there.
 
     Used where a large input feeds several later steps: it ends the lineage (a
     lost executor re-reads, it does not recompute), keeps plans linear, and gives
-    the optimizer the true size. The files outlive the session; the folder's owner
-    clears them.
+    the optimizer the true size. The files stay until ``drop_steps``, as lazy results
+    go on reading them.
     """
-    path = f"{shared_folder(df.sparkSession)}/weirflow/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_steps_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
