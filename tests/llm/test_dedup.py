@@ -147,6 +147,16 @@ def test_repeats_are_found_at_any_length_and_chunk(rows, monkeypatch):
     assert got == brute.repeats_removed(docs, 60)
 
 
+def test_crowded_cores_are_cut_into_shorter_pieces(rows, monkeypatch):
+    monkeypatch.setattr(substrings, "MOST_PIECES", 1)
+    monkeypatch.setattr(substrings, "_STARTS", 32)
+    base = prose(5, 120)
+    docs = [(i, base[: 40 * i] + prose(100 + i, 3) + base[40 * i + 9 :]) for i in range(1, 12)] + [(20, base), (21, base)]
+    got = substrings.remove_repeats(rows(docs, "doc_id long, text string"), 80)
+    got = {tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert got == brute.repeats_removed(docs, 80)
+
+
 def test_repeats_query_equals_brute_force(spark, sf_dir, small):
     assert {tuple(r) for r in queries.QUERIES["op7_repeated_substrings"](spark, sf_dir).collect()} == brute.repeats_removed(small)
 

@@ -29,6 +29,8 @@ _GRAM = 32
 _STARTS = 128
 _CHUNK = 1 << 20  # bytes of a document that are hashed at a time
 _PIECES_AT_ONCE = 1 << 14
+# Different pieces with one core that one task takes together; more are cut into shorter pieces.
+MOST_PIECES = 1 << 14
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = (1 << 24) - 1
 
@@ -91,18 +93,20 @@ def pieces(data: bytes, first: int, last: int, anchor: int, length: int) -> Iter
         yield b, xxhash.xxh3_64_intdigest(core, b) - (1 << 63), left - zero, right - zero, data[left : right + length]
 
 
-def repeated_starts(texts: list[bytes], left: np.ndarray, right: np.ndarray, weight: np.ndarray, length: int) -> np.ndarray:
+def repeated_starts(
+    texts: list[bytes], left: np.ndarray, right: np.ndarray, weight: np.ndarray, length: int, starts: int
+) -> np.ndarray:
     """Which starts of which pieces begin a stretch that occurs more than once: booleans (piece, column).
 
     Column by column from the right, ``order`` is the order of all pieces by their suffix from there, and ``common`` what
     each shares with the one before it. A piece with weight 2 or more stands for as many places. Only the order and the
     common prefixes of the last column are held.
     """
-    m, width = len(texts), _STARTS + length - 1
+    m, width = len(texts), starts + length - 1
     grid = np.full((width, m), 256, dtype=np.uint16)  # 256: no byte here
     for i, text in enumerate(texts):
         grid[left[i] : left[i] + len(text), i] = np.frombuffer(text, np.uint8)
-    found = np.zeros((m, _STARTS), dtype=bool)
+    found = np.zeros((m, starts), dtype=bool)
     order, common = np.arange(m), np.zeros(m, dtype=np.int32)
     at = np.arange(m)
     for column in range(width - 1, -1, -1):
@@ -123,7 +127,7 @@ def repeated_starts(texts: list[bytes], left: np.ndarray, right: np.ndarray, wei
             shared[here] = np.minimum(least[k][low[here]], least[k][high[here] + 1 - (1 << k)])
         order, common = order[sort], np.zeros(m, dtype=np.int32)
         common[same] = shared + 1
-        if column < _STARTS:
+        if column < starts:
             own = (left[order] <= column) & (column <= right[order])
             near = common >= length
             twice = (weight[order] > 1) | near | np.append(near[1:], False)
@@ -138,6 +142,82 @@ def _spans(flags: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
+def resolved(parts: DataFrame, starts: int, length: int) -> DataFrame:
+    """(core, whole, columns): the repeated starts of each different piece, as first and last columns in a row.
+
+    ``parts`` has (core, whole, left, right, n, piece), one row for each place where a piece stands. Equal pieces meet once, with their
+    summed weight, and all pieces of a core in one task, unless they are more than ``MOST_PIECES``: those
+    are cut into pieces of fewer starts, which have more bytes in common. A piece of one start is equal to its core, so this ends.
+    """
+    kinds = parts.select("core", "whole").distinct().groupBy("core").count()
+    hot = materialize(kinds.where(F.col("count") > MOST_PIECES).select("core"), "hot-cores")
+    if starts == 1 or hot.isEmpty():
+        return _built(parts, starts, length)
+    fewer = max(1, starts // 16)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for core, whole, left, right, n, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(left // fewer, right // fewer + 1):
+                    zero = b * fewer
+                    first, last = max(left, zero), min(right, zero + fewer - 1)
+                    inner = xxhash.xxh3_64_intdigest(piece[zero + fewer - 1 - left : zero + length - left], b) - (1 << 63)
+                    part = piece[first - left : last - left + length]
+                    own = xxhash.xxh3_64_intdigest(part, first) - (1 << 63)
+                    out.append((core, whole, zero, inner, own, first - zero, last - zero, n, part))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
+            names = ["of_core", "of_whole", "zero", "core", "whole", "left", "right", "n", "piece"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "of_core long, of_whole long, zero int, core long, whole long, left int, right int, n long, piece binary"
+    columns = ["core", "whole", "left", "right", "n", "piece"]
+    crowded = _once(parts.join(hot, "core", "left_semi")).select(*columns)
+    shorter = materialize(crowded.mapInArrow(cut, schema), "shorter")
+    below = materialize(resolved(shorter.select(*columns), fewer, length), "shorter-repeats")
+    back = (
+        shorter.select("of_core", "of_whole", "zero", "core", "whole")
+        .join(below, ["core", "whole"])
+        .groupBy("of_core", "of_whole")
+        .agg(F.flatten(F.collect_list(F.transform("columns", lambda c: c + F.col("zero")))).alias("columns"))
+    )
+    ordinary = _built(parts.join(hot, "core", "left_anti"), starts, length)
+    return ordinary.unionByName(back.select(F.col("of_core").alias("core"), F.col("of_whole").alias("whole"), "columns"))
+
+
+def _once(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("core", "whole", "left", "right").agg(F.sum("n").alias("n"), F.max("piece").alias("piece"))
+
+
+def _built(parts: DataFrame, starts: int, length: int) -> DataFrame:
+    """The suffix orders of whole cores, many of them in one collection."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            held.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            if len(held) >= _PIECES_AT_ONCE:
+                last = next((i for i in range(len(held) - 1, 0, -1) if held[i - 1][0] != held[-1][0]), 0)
+                if last:
+                    yield order(held[:last])
+                    held = held[last:]
+        if held:
+            yield order(held)
+
+    def order(rows: list[tuple]) -> pa.RecordBatch:
+        left, right, weight = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
+        found = repeated_starts([r[5] for r in rows], left, right, weight, length, starts)
+        spans = [_spans(f) for f in found]
+        some = [i for i, s in enumerate(spans) if s]
+        columns = [pa.array([rows[i][c] for i in some], pa.int64()) for c in (0, 1)]
+        columns.append(pa.array([spans[i] for i in some], pa.list_(pa.int32())))
+        return pa.RecordBatch.from_arrays(columns, names=["core", "whole", "columns"])
+
+    pieces = _once(parts).select("core", "whole", "left", "right", "n", "piece")
+    return pieces.repartition("core").sortWithinPartitions("core").mapInArrow(build, "core long, whole long, columns array<int>")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, found): by document, the repeated starts of its fragments, as (anchor's hash, hash, first, last) by distance to the anchor.
 
@@ -184,31 +264,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.join(wanted, docs.key == F.col("of")).select("text", "wanted")
     schema = "core long, whole long, left int, right int, piece binary, n long, anchor long, hash long, bin int"
     parts = materialize(texts.mapInArrow(cut, schema), "pieces")
-    once = parts.groupBy("core", "whole", "left", "right").agg(F.sum("n").alias("n"), F.max("piece").alias("piece"))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            held.extend(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            if len(held) >= _PIECES_AT_ONCE:
-                last = next((i for i in range(len(held) - 1, 0, -1) if held[i - 1][0] != held[-1][0]), 0)
-                if last:
-                    yield order(held[:last])
-                    held = held[last:]
-        if held:
-            yield order(held)
-
-    def order(rows: list[tuple]) -> pa.RecordBatch:
-        left, right, weight = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
-        found = repeated_starts([r[5] for r in rows], left, right, weight, length)
-        spans = [_spans(f) for f in found]
-        some = [i for i, s in enumerate(spans) if s]
-        columns = [pa.array([rows[i][c] for i in some], pa.int64()) for c in (0, 1)]
-        columns.append(pa.array([spans[i] for i in some], pa.list_(pa.int32())))
-        return pa.RecordBatch.from_arrays(columns, names=["core", "whole", "columns"])
-
-    sorted_pieces = once.select("core", "whole", "left", "right", "n", "piece").repartition("core").sortWithinPartitions("core")
-    found = materialize(sorted_pieces.mapInArrow(build, "core long, whole long, columns array<int>"), "repeats")
+    found = materialize(resolved(parts, _STARTS, length), "repeats")
     # Column c of bin b is b * _STARTS + _STARTS - 1 - c bytes before the anchor.
     distance = F.transform("columns", lambda c: F.col("bin") * _STARTS + (_STARTS - 1) - c)
     by_fragment = (
