@@ -346,6 +346,8 @@ with {LOG}
 select poll_no as batch_id, txid as xid, commit_lsn, cast(count(*) as bigint) as n_changes
 from l group by 1, 2, 3""",
     "messages_to_replica": f"""
+with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
+    "message_sync": f"""
 with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
     "message_poll": f"""
 with {LOG}

@@ -58,6 +58,8 @@ IMAGE = [*COLUMNS, "updated_at"]
 POLL = 5
 MARK = "1997-06-01 00:00:00"
 SPLIT_POLL = 5
+# Polls after which a reader comes by; the source has grown in between.
+SYNC_POLLS = (2, 5, 1 << 40)
 LAG_POSITIONS = {"reader_a": 0, "reader_b": 1000, "reader_c": 15_000}
 
 
@@ -507,6 +509,18 @@ def messages_to_replica(spark: SparkSession, d: str) -> DataFrame:
     return up.net_rows(up.net_changes(changes, ["pk"], COLUMNS), ["pk"], IMAGE)
 
 
+@query
+def message_sync(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows by the reading method: polled into a store at a few positions, values restored from it."""
+    log = _log(spark, d)
+    store = Store(spark, _new_folder(spark, "messages"), [USERS])
+    messages = _messages(log)
+    for poll in SYNC_POLLS:
+        landed = messages.filter(F.col("batch_id") <= poll)
+        sync.sync_once(store, msg.MessageLog(), cap.Source({"users": USERS}, log=landed))
+    return store.table("users").select("pk", *IMAGE)
+
+
 @query
 def message_poll(spark: SparkSession, d: str) -> DataFrame:
     """Messages visible at a poll, read above the position the poll before ended with."""
@@ -584,8 +598,6 @@ def stream_apply(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(periods)
 
 
-# Polls after which a reader comes by; the source has grown in between.
-SYNC_POLLS = (2, 5, 1 << 40)
 VISITS = replace(USERS, name="visits")
 
 

@@ -5,11 +5,14 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from checks import fixtures as fx
 from checks.spark_queries import USERS
 from weirflow.functions.documents import document_fields, mark_text
+from weirflow.functions.positions import format_lsn
 from weirflow.model import TableSpec
 from weirflow.operators.ordered import SEG, cut_hot_groups
 from weirflow.sources.capture import METHODS, Source
+from weirflow.sources.messages import MessageLog
 from weirflow.streaming.store import Store
 from weirflow.streaming.sync import sync_once
 
@@ -102,3 +105,19 @@ def test_far_outliers_do_not_keep_a_segment_whole(spark):
     rows = cut.groupBy(SEG).agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high")).orderBy(SEG).collect()
     assert max(r["n"] for r in rows) <= 1000 and sum(r["n"] for r in rows) == len(places)
     assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_messages_sync_rows_periods_and_position(spark, sf_dir, folder):
+    """By polls with values restored from the store, and all at once: the same rows, periods and position."""
+    log = fx.derive(spark, sf_dir, fx.LOG_SQL)
+    messages = fx.message_table(log)
+    made = []
+    for polls in ((1, 4, 4, 99), (99,)):
+        store = Store(spark, folder(), [USERS])
+        for poll in polls:
+            source = Source({"users": USERS}, log=messages.filter(F.col("batch_id") <= poll))
+            MessageLog().install(source)
+            sync_once(store, MessageLog(), source)
+        made.append([sorted(map(str, df.collect())) for df in (store.table("users"), store.history("users"))])
+        assert store.position("messages") == log.select(format_lsn(F.max("commit_lsn"))).first()[0]
+    assert made[0] == made[1] and len(made[0][0]) > 10

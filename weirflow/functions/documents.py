@@ -21,7 +21,11 @@ _WRITE = {
 
 def row_document(columns: Iterable[str]) -> Column:
     """A row as one JSON text; NULL values are written, so absent stays different."""
-    return F.to_json(F.struct(*columns), _WRITE)
+    return row_document_of(F.struct(*columns))
+
+
+def row_document_of(row: Column) -> Column:
+    return F.to_json(row, _WRITE)
 
 
 def time_from_text(text: Column, kind: T.DataType) -> Column:

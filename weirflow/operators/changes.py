@@ -61,7 +61,7 @@ def published(changes: DataFrame, tables: Sequence[str]) -> DataFrame:
 
 def route(changes: DataFrame, spec: TableSpec, doc: str = "doc") -> DataFrame:
     """One table's changes with the document turned into typed columns."""
-    places = [c for c in (*POS, "ts") if c in changes.columns]
+    places = [c for c in (*POS, "ts", "sent") if c in changes.columns]
     typed = document_fields(doc, spec)
     return (
         changes.filter(F.col("tbl") == spec.name)

@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from weirflow.functions.documents import map_fields
+from weirflow.functions.documents import map_fields, row_document_of
 from weirflow.functions.positions import format_lsn, parse_lsn, server_micros_to_timestamp
-from weirflow.model import DELETE, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
+from weirflow.model import DELETE, MESSAGE_SCHEMA, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
 from weirflow.operators.ordered import OrderedGroups
+from weirflow.sources.capture import Poll, Source
 
 # The parser travels with the job: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -346,3 +347,67 @@ def fill_unsent(
         for c in columns
     }
     return df.withColumns(filled).select(*changes.columns)
+
+
+class MessageLog:
+    """Reading method over landed messages; the source's log has the columns of ``MESSAGE_SCHEMA``.
+
+    Positions are those the messages were landed with. Besides the columns of every method, changes
+    have ``sent``: whoever applies them restores the other columns (``restored``).
+    """
+
+    name = "messages"
+
+    def install(self, source: Source) -> None:
+        absent = [c for c in MESSAGE_SCHEMA.names if c not in source.log.columns]
+        if absent:
+            raise ValueError(f"{self.name} needs {', '.join(absent)} in the log")
+
+    def start(self, source: Source) -> str:
+        return "0/0"
+
+    def ack(self, poll: Poll) -> None:
+        return None
+
+    def poll(self, source: Source, position: str | None) -> Poll:
+        """Changes of all captured tables above the position, decoded in one pass.
+
+        Polls that landed nothing above it are not decoded. Transactions without a captured change do
+        not move the position; they are passed over again.
+        """
+        old = parse_lsn(F.lit(position or "0/0"))
+        above = source.log.filter(parse_lsn("lsn") > old).select("batch_id").distinct()
+        decoded = decode_messages(source.log.join(above, "batch_id", "left_semi"))
+        removed = F.col("op") == "D"
+        image = F.when(removed, F.col("old")).otherwise(F.col("new"))
+        keys, documents, versions = [], [], []
+        for name, spec in source.specs.items():
+            own = F.col("tbl") == name
+            keys.append(F.when(own, F.element_at(image, spec.key)))
+            fields = F.struct(*map_fields(F.col("new"), spec))
+            documents.append(F.when(own & ~removed, row_document_of(fields)))
+            versions.append(F.when(own, F.try_element_at("new", F.lit(spec.version))))
+        changes = decoded.filter((parse_lsn("lsn") > old) & F.col("tbl").isin(*source.specs)).select(
+            "tbl",
+            F.when(removed, DELETE).otherwise(UPSERT).alias("op"),
+            F.coalesce(*keys).cast("bigint").alias("pk"),
+            F.coalesce(F.coalesce(*versions).cast("timestamp"), "commit_ts").alias("ts"),
+            parse_lsn("lsn").alias(POS_HI),
+            F.col("msg_no").alias(POS_LO),
+            F.coalesce(*documents).alias("doc"),
+            F.when(~removed, F.map_keys("new")).alias("sent"),
+        )
+        return Poll(
+            changes,
+            lambda read: read.agg(format_lsn(F.greatest(F.max(POS_HI), old)).alias("position")),
+        )
+
+
+def restored(changes: DataFrame, spec: TableSpec, stored: DataFrame) -> DataFrame:
+    """A landed batch of typed changes with the columns that were not sent; none is looked up that always was."""
+    columns = [c for c in spec.image_names if c != spec.version]
+    lacks = [F.count_if(~F.array_contains("sent", c)).alias(c) for c in columns]
+    row = changes.filter(F.col("op") != DELETE).agg(*lacks).first()
+    needed = [c for c in columns if row[c]]
+    filled = fill_unsent(changes, spec.key, needed, stored) if needed else changes
+    return filled.withColumn("ts", F.col("ts").cast(spec.version_type)).drop("sent")

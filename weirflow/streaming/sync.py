@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from weirflow.model import TableSpec
 from weirflow.operators.changes import known_tables, route
 from weirflow.sources.capture import Capture, Source
+from weirflow.sources.messages import restored
 from weirflow.streaming.store import Store
 
 # Landed files stay known for ten years; the default forgets them after a week.
@@ -40,6 +41,8 @@ def sync_once(store: Store, capture: Capture, source: Source) -> bool:
     with store.land(capture.name, poll.changes) as rows:
         poll = poll.landed(rows)
         batches = typed_batches(rows, list(store.specs.values()))
+        if "sent" in rows.columns:
+            batches = {n: restored(df, store.specs[n], store.table(n)) for n, df in batches.items()}
         return store.apply(
             batches, capture.name, poll.position_text, taken=capture.ack(poll), landed=True
         )
