@@ -121,7 +121,7 @@ def mix(
     narrow = materialize(with_sizes(docs), "sizes")
     sources = materialize(source_targets(narrow, weights, repeats), "targets")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    seats = F.lit(round(total / block_words)).cast("long")
+    seats = F.lit(int(total / block_words + 0.5)).cast("long")
     by_source = sources.select(F.lit(0).alias("all"), "sid", "target", seats.alias("seats"))
     quotas = sainte_lague(by_source, ["all"], "sid", "target", "seats").select("sid", F.col("quota").alias("source_quota"))
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS))

@@ -40,6 +40,27 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op2_embedding_near_dedup"] = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), u as (
+  select vec_id, e, sqrt(list_dot_product(e, e)) as norm from v where list_dot_product(e, e) > 0
+), pairs as (
+  select a.vec_id as a, b.vec_id as b from u a join u b
+  on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) >= 0.95 * a.norm * b.norm
+), reach as (
+  select vec_id as a, vec_id as b from embeddings
+  union
+  select r.a, p.b from reach r join pairs p on r.b = p.a
+), lowest as (
+  select a as vec_id, min(b) as component_id from reach group by a
+)
+select vec_id, (select count(*) from pairs where a = vec_id) as n_links, component_id, vec_id = component_id as kept
+from lowest
+"""
+
+
 @query
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -116,7 +137,89 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+ORACLES["op9_line_dedup"] = """
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n
+  from documents
+), keys as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), repeated as (
+  select key, min(doc_id) as first_id from keys where length(key) >= 10 group by key having count(distinct doc_id) > 1
+), marked as (
+  select k.*, coalesce(r.first_id < k.doc_id, false) as gone from keys k left join repeated r on k.key = r.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op10_mixing"] = f"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+         ('0x' || substr(md5('17:' || doc_id), 1, 15))::bigint as place
+  from documents
+), s as (
+  select source, sum(size)::bigint as source_size, count(*) as n_docs,
+         row_number() over (order by source nulls last) - 1 as sid
+  from d group by source
+), w as (
+  select *, [5, 2, 1][sid % 3 + 1] as weight, sum(source_size) over () as total from s
+), o as (
+  select *, row_number() over fill as k,
+         (total - 3 * coalesce(sum(source_size) over (fill rows between unbounded preceding and 1 preceding), 0))::double
+         / sum(weight) over (fill rows between current row and unbounded following)::double as level
+  from w window fill as (order by 3.0 * source_size / weight, sid)
+), lvl as (
+  select min_by(level, k) as level, min(k) as k from o where level * weight <= 3 * source_size
+), t as (
+  select o.*, case when o.k < lvl.k then 3.0::double * source_size else lvl.level * weight end as target,
+         floor(total / {mixing.BLOCK_WORDS}.0 + 0.5)::bigint as seats,
+         greatest(1, ceil(source_size / {mixing.SHARD_WORDS}.0), ceil(n_docs / {mixing.SHARD_DOCS}.0))::bigint as shards
+  from o, lvl
+), seat as (
+  select sid, seats, row_number() over (order by target / (2 * i - 1) desc, sid) as r
+  from t, generate_series(1, (select max(seats) from t)) g(i) where target > 0
+), sq as (
+  select t.*, (select count(*) from seat where seat.sid = t.sid and r <= seat.seats) as source_quota from t
+), e as (
+  select d.*, sq.sid, sq.source_size, sq.target, sq.source_quota, d.place % sq.shards as shard
+  from d join sq on d.source is not distinct from sq.source
+), h as (
+  select sid, shard, sum(size)::bigint as words, first(source_quota) as seats,
+         greatest(1, ceil(sum(size) / {mixing.BLOCK_WORDS}.0))::bigint as blocks
+  from e group by sid, shard
+), hseat as (
+  select sid, shard, seats, row_number() over (partition by sid order by words / (2 * i - 1) desc, shard) as r
+  from h, generate_series(1, (select max(seats) from h)) g(i) where words > 0
+), hq as (
+  select h.*, least((select count(*) from hseat x where x.sid = h.sid and x.shard = h.shard and x.r <= x.seats),
+                    3 * blocks) as quota,
+         ('0x' || substr(md5('17:' || sid || '/' || shard), 1, 15))::bigint % blocks as turn
+  from h
+), p as (
+  select e.*, hq.blocks, hq.turn, quota // blocks as whole, quota % blocks as extra,
+         coalesce(sum(size) over (partition by e.sid, e.shard order by place, doc_id, size
+                                  rows between unbounded preceding and 1 preceding), 0)::bigint as first_word
+  from e join hq on e.sid = hq.sid and e.shard = hq.shard
+), b as (
+  select *, first_word // {mixing.BLOCK_WORDS} as b0, (first_word + size) // {mixing.BLOCK_WORDS} as b1 from p
+), c as (
+  select *, (b0 * extra + turn) // blocks as c0, ((b0 + 1) * extra + turn) // blocks as c0_next,
+         (b1 * extra + turn) // blocks as c1, ((b1 + 1) * extra + turn) // blocks as c1_next
+  from b
+)
+select doc_id, size::bigint as size, source_size, target,
+       (whole * size + {mixing.BLOCK_WORDS} * c1 + (first_word + size) % {mixing.BLOCK_WORDS} * (c1_next - c1)
+        - {mixing.BLOCK_WORDS} * c0 - first_word % {mixing.BLOCK_WORDS} * (c0_next - c0))::bigint as taken
+from c
+"""
