@@ -72,10 +72,16 @@ def wrong_by_method(report: DataFrame) -> DataFrame:
 
 
 def row_difference(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Whole rows on one side only, both ways, as ``side`` and the columns."""
-    a, b = left.select(*columns), right.select(*columns)
-    return (
-        a.exceptAll(b)
-        .withColumn("side", F.lit("left"))
-        .unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Whole rows on one side only, both ways, as ``side`` and the columns.
+
+    Rows count +1 on the left and -1 on the right; what does not add up to nothing is the
+    difference, each row as often as it is over. One aggregate, combined before the shuffle.
+    """
+    names = list(columns)
+    both = left.select(*names, F.lit(1).alias("_n")).unionByName(
+        right.select(*names, F.lit(-1).alias("_n"))
     )
+    over = both.groupBy(*names).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+    side = F.when(F.col("_n") > 0, "left").otherwise("right")
+    times = F.explode(F.array_repeat(side, F.abs("_n").cast("int")))
+    return over.select(times.alias("side"), *names)
