@@ -27,7 +27,7 @@ CLASSES = END + 1
 # Commonest words whose counts are broadcast, so that only rarer ones are shuffled; bounds the broadcast.
 FREQUENT = 1 << 17
 ROUNDS = 6
-_SYMBOLS_AT_ONCE = 1 << 20
+_SYMBOLS_AT_ONCE = 1 << 21
 _WORDS_AT_ONCE = 1 << 20
 
 
@@ -71,18 +71,20 @@ class Batch:
         self.order = np.argsort(-sizes, kind="stable")
         ends = np.cumsum(sizes[self.order])
         step = np.arange(ends[-1]) - np.repeat(ends - sizes[self.order], sizes[self.order])
+        if len(sizes) and sizes.max() <= 1 << 16:
+            step = step.astype(np.uint16)  # sorted by digits, several times as fast
         self.symbols = np.concatenate([sequences[i] for i in self.order])[np.argsort(step, kind="stable")]
         self.running = np.bincount(step)
         self.starts = np.concatenate([[0], np.cumsum(self.running)])
 
     def log10(self, model: Model) -> np.ndarray:
         """log10 probability of each sequence, in the order they came in."""
-        emit, out = np.ascontiguousarray(model.emit.T), np.zeros(len(self.order))
+        emit, out, ones = np.ascontiguousarray(model.emit.T), np.zeros(len(self.order)), np.ones(STATES)
         a = None
         for t, n in enumerate(self.running.tolist()):
             e = emit[self.symbols[self.starts[t] : self.starts[t + 1]]]
             a = model.start * e if a is None else (a[:n] @ model.move) * e
-            scale = a.sum(axis=1)
+            scale = a @ ones
             a /= scale[:, None]
             out[:n] += np.log10(scale)
         back = np.empty_like(out)
@@ -92,23 +94,27 @@ class Batch:
     def counts(self, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions (Baum-Welch) of these sequences."""
         e = np.ascontiguousarray(model.emit.T, dtype=np.float32)[self.symbols]
-        start, move = model.start.astype(np.float32), model.move.astype(np.float32)
+        start, move, ones = model.start.astype(np.float32), model.move.astype(np.float32), np.ones(STATES, np.float32)
         ahead, scale = np.empty_like(e), np.empty(len(e), dtype=np.float32)
         running, starts = self.running.tolist(), self.starts.tolist()
         for t, n in enumerate(running):
             here = slice(starts[t], starts[t] + n)
             a = start * e[here] if not t else (ahead[starts[t - 1] : starts[t - 1] + n] @ move) * e[here]
-            scale[here] = s = a.sum(axis=1)
+            scale[here] = s = a @ ones
             ahead[here] = a / s[:, None]
-        moves, behind = np.zeros((STATES, STATES)), None
+        e /= scale[:, None]
+        moves, behind, back = np.zeros((STATES, STATES)), None, np.ascontiguousarray(move.T)
         for t in range(len(running) - 1, -1, -1):
             n, at = running[t], starts[t]
-            now = np.ones((n, STATES), dtype=np.float32)
-            if behind is not None:
+            if behind is None:
+                now = np.ones((n, STATES), dtype=np.float32)
+            else:
                 m, after = len(behind), starts[t + 1]
-                coming = e[after : after + m] * behind / scale[after : after + m, None]
+                coming = e[after : after + m] * behind
                 moves += ahead[at : at + m].T @ coming
-                now[:m] = coming @ move.T
+                now = coming @ back
+                if m < n:  # texts that end here
+                    now = np.concatenate([now, np.ones((n - m, STATES), dtype=np.float32)])
             behind = now
             ahead[at : at + n] *= now  # from here on the probability of each state given the whole text
         ahead /= ahead.sum(axis=1, keepdims=True)
