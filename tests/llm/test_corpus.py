@@ -239,6 +239,33 @@ def test_page_query_equals_the_articles(spark, sf_dir):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def extracted_pages(rows, pages):
+    found = webtext.extract(rows([(i, f"http://h.example/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string"))
+    return {r["page_id"]: r["text"].split("\n") for r in found.collect()}
+
+
+SAID = "A long sentence of running text that stands in the article, part {}."
+
+
+def test_pages_keep_all_parts_of_an_article(rows):
+    """Tables, quote boxes and sections inside of the article stay, and its sibling sections too; no article element."""
+    inner = "<p>{0}</p><table><tr><td>cell</td></tr></table><div class=quote><p>{1}</p></div><section><p>{2}</p></section>"
+    said = [SAID.format(i) for i in range(3)]
+    post = "<div class=wrap><div class=post>" + inner.format(*said) + "</div><div class=box><p>Box</div></div>"
+    assert list(extracted_pages(rows, [post] * 4).values()) == [[said[0], "cell", *said[1:]]] * 4
+    parts = "".join(f"<section class={c}><p>{t * n}</p></section>" for c, t, n in zip(("lead", "body", "end"), said, (1, 5, 2), strict=True))
+    want = [said[0], said[1] * 5, said[2] * 2]
+    assert list(extracted_pages(rows, [f"<div class=post>{parts}</div>"] * 4).values()) == [want] * 4
+    assert list(extracted_pages(rows, [parts] * 4).values()) == [want] * 4
+
+
+def test_pages_of_two_templates_and_deep_ones(rows):
+    one = [f"<div class=wrap><div class=post><p>{SAID}</div><div class=box><p>Beside</div></div>"] * 6
+    two = [f"<div class=wrap><div class=product><p>{SAID * 2}</div><div class=box><p>Beside</div></div>"] * 3
+    got = extracted_pages(rows, one + two + ["<div class=x>" * 20_000 + SAID])
+    assert all(got[i] == [SAID] for i in (*range(6), 9)) and all(got[i] == [SAID * 2] for i in range(6, 9))
+
+
 def test_pages_joined_by_shuffle_and_without_rows(rows, monkeypatch):
     monkeypatch.setattr(webtext, "BROADCAST_BYTES", -1)
     pages = rows([(1, "http://a.b/c", PAGE)], "page_id long, url string, html string")

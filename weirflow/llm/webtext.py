@@ -1,9 +1,10 @@
 """Main text of web pages by consensus of their hosts.
 
-Every page scores its containers by the running text they hold. A container is
+Every page scores its containers by the running text inside of them, however deep. A container is
 known by its generalised path, the tags and classes from the body down with numbers taken out,
-and the pages of a host vote with their scores. Pages are then extracted again by the winning
-paths, so a page whose own text is short or odd still follows its site's template.
+and every page of a host votes for those that hold its text. Pages are then extracted again by the
+winners, each standing for all that is inside of it, so a page whose own text is short or odd still
+follows its site's template.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.session import materialize
 
-# A path wins on its host with at least this share of the votes, so a host has at most ten.
+# A container wins with the votes of at least this share of its host's pages.
 WINNING_SHARE = 0.1
+# A container holds a page with at least this share of its running text; main and article are named by the page.
+HOLDS, WHOLE_HOLDS = 0.8, 0.51
 # The table of winning paths is broadcast up to so many bytes; beyond, pages are shuffled by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -121,21 +125,69 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     return found
 
 
-def scores(found: list[tuple[str, str, int]]) -> dict[str, int]:
-    """Running text per path: characters outside links, short scraps counting little."""
-    out: dict[str, int] = defaultdict(int)
-    for path, text, linked in found:
-        out[path] += max(0, len(text) - 2 * linked) if len(text) >= 25 else 1
-    return out
-
-
-def extracted(found: list[tuple[str, str, int]], winners: list[str] | None) -> str:
-    """Blocks below the host's best path that the page has, else below its own best one, joined by \\n."""
-    own = scores(found)
-    path = next((w for w in winners or () if w in own), None)
-    if path is None and own:
-        path = max(own, key=lambda p: (own[p], p))
-    return "\n".join(text for p, text, _ in found if p == path)
+def _score(text: str, linked: int) -> int:
+    """Running text: characters outside links, short scraps counting little."""
+    return max(0, len(text) - 2 * linked) if len(text) >= 25 else 1
+
+
+class Tree:
+    """The containers of a page: per node its key (a digest of its path), parent, least share to hold the page, and text below it."""
+
+    def __init__(self, found: list[tuple[str, str, int]]) -> None:
+        self.keys, self.parents, self.least, self.depths, self.scores = [b""], [-1], [0.0], [0], [0]
+        self.children: dict[tuple[int, str], int] = {}
+        self.at: dict[str, int] = {}
+        for path, text, linked in found:
+            if path not in self.at:
+                self.at[path] = self._node(path)
+            self.scores[self.at[path]] += _score(text, linked)
+        for n in range(len(self.keys) - 1, 0, -1):  # a parent comes before its children
+            self.scores[self.parents[n]] += self.scores[n]
+
+    def _node(self, path: str) -> int:
+        node = 0
+        for part in path.split(">") if path else ():
+            if (child := self.children.get((node, part))) is None:
+                child = self.children[node, part] = len(self.keys)
+                self.keys.append(xxhash.xxh3_128_digest(self.keys[node] + part.encode()))
+                self.parents.append(node)
+                self.least.append(WHOLE_HOLDS if re.split(r"\.", part, maxsplit=1)[0] in _WHOLE else HOLDS)
+                self.depths.append(self.depths[node] + 1)
+                self.scores.append(0)
+            node = child
+        return node
+
+    def holds(self, n: int) -> bool:
+        """Whether the node's subtree holds the page's running text; the body always does."""
+        return n == 0 or self.scores[n] >= self.least[n] * self.scores[0] > 0
+
+    def own(self) -> int:
+        """The deepest node that holds the page; nodes that do lie on one path."""
+        return max((n for n in range(len(self.keys)) if self.holds(n)), key=lambda n: self.depths[n])
+
+    def followed(self, winners: list[bytes]) -> int | None:
+        """From the body down to the host's best winners that the page has; None if it has only the body of several."""
+        node_of = {k: n for n, k in enumerate(self.keys)}
+        at = 0
+        for n in (node_of[w] for w in winners if w in node_of):
+            if self.inside(n, at):
+                at = n
+        return at if at or len(winners) == 1 else None
+
+    def inside(self, n: int, top: int) -> bool:
+        while self.depths[n] > self.depths[top]:
+            n = self.parents[n]
+        return n == top
+
+
+def extracted(found: list[tuple[str, str, int]], winners: list[bytes] | None) -> str:
+    """All blocks inside the host's best container that the page has, else inside its own best one, joined by \n."""
+    tree = Tree(found)
+    top = tree.followed(winners) if winners else None
+    if top is None:
+        top = tree.own()
+    kept = {path for path, n in tree.at.items() if tree.inside(n, top)}
+    return "\n".join(text for path, text, _ in found if path in kept)
 
 
 def _host():
@@ -144,29 +196,40 @@ def _host():
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): the scores of all pages of a host, summed in each task before they are shuffled."""
+    """(host, node, depth, held, pages): on how many pages of a host a container is, and on how many it holds the running text.
+
+    Summed in each task before they are shuffled. Pages without running text do not vote.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, str], int] = defaultdict(int)
+            total: dict[tuple[str, bytes, int], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for path, score in scores(blocks(html)).items():
-                    total[host, path] += score
-            columns = [pa.array([k[i] for k in total], pa.string()) for i in (0, 1)]
-            columns.append(pa.array(list(total.values()), pa.int64()))
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "path", "votes"])
+                tree = Tree(blocks(html))
+                for n in range(len(tree.keys)) if tree.scores[0] else ():
+                    counts = total[host, tree.keys[n], tree.depths[n]]
+                    counts[0] += tree.holds(n)
+                    counts[1] += 1
+            kinds = (pa.string(), pa.binary(), pa.int64())
+            columns = [pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)]
+            columns += [pa.array([c[i] for c in total.values()], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "depth", "held", "pages"])
 
     rows = pages.select(_host().alias("host"), F.col("html").cast("string")).where("host != ''")
-    return rows.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    found = rows.mapInArrow(run, "host string, node binary, depth long, held long, pages long")
+    return found.groupBy("host", "node", "depth").agg(F.sum("held").alias("held"), F.sum("pages").alias("pages"))
 
 
 def winning_paths(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
-    """(host, winners): per host the paths with at least ``share`` of its votes, the best first."""
+    """(host, winners): the containers that hold the text on at least ``share`` of a host's pages and on most pages that have them.
+
+    The most held come first; of equals the outer one.
+    """
     cast = materialize(votes(pages), "votes")
-    total = materialize(cast.groupBy("host").agg(F.sum("votes").alias("total")), "totals")
-    best = cast.join(total, "host").where(F.col("votes") >= share * F.col("total"))
-    ranked = F.sort_array(F.collect_list(F.struct(-F.col("votes"), "path")))
-    return best.groupBy("host").agg(F.transform(ranked, lambda x: x["path"]).alias("winners"))
+    total = cast.where("depth = 0").select("host", F.col("pages").alias("total"))
+    best = cast.join(total, "host").where((F.col("held") >= share * F.col("total")) & (2 * F.col("held") > F.col("pages")))
+    ranked = F.sort_array(F.collect_list(F.struct(-F.col("held"), "depth", "node")))
+    return best.groupBy("host").agg(F.transform(ranked, lambda x: x["node"]).alias("winners"))
 
 
 def extract(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
@@ -177,7 +240,7 @@ def extract(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
     at most ``BROADCAST_BYTES``; else pages are joined to it by host, where the adaptive skew join splits large hosts.
     """
     winners = materialize(winning_paths(pages, share), "winners")
-    size = winners.agg(F.sum(F.length("host") + F.length(F.array_join("winners", " ")) + 64)).first()[0] or 0
+    size = winners.agg(F.sum(F.length("host") + 16 * F.size("winners") + 64)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host().alias("host"))
     joined = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
 
