@@ -266,6 +266,15 @@ def test_pages_of_two_templates_and_deep_ones(rows):
     assert all(got[i] == [SAID] for i in (*range(6), 9)) and all(got[i] == [SAID * 2] for i in range(6, 9))
 
 
+@pytest.mark.parametrize(("head", "names"), [("<!doctype html>", ["svg"]), ('<?xml version="1.0"?>', ["svg", "iframe", "object", "canvas", "script"]), ('<!DOCTYPE html PUBLIC "-//W3C//DTD XHTML 1.0 Strict//EN" "x">', ["iframe"]), ('<html xmlns="http://www.w3.org/1999/xhtml">', ["canvas"])])
+def test_self_closed_elements_swallow_nothing(head, names):
+    for name in names:
+        for icon in (f"<{name}/>", f"<{name} class=icon/>", f'<{name} title="a > b" />', f"<{name}>out</{name}>"):
+            page = f"{head}{icon}<article><p>Before {icon}it.</p>{icon}<p>After.</p></article>"
+            assert [text for _, text, _ in webtext.blocks(page)] == ["Before it.", "After."], page
+    assert [text for _, text, _ in webtext.blocks("<p>a<iframe src=x/>raw</iframe>b<svg><path d=x/>raw</svg>")] == ["ab"]
+
+
 def test_pages_joined_by_shuffle_and_without_rows(rows, monkeypatch):
     monkeypatch.setattr(webtext, "BROADCAST_BYTES", -1)
     pages = rows([(1, "http://a.b/c", PAGE)], "page_id long, url string, html string")

@@ -30,11 +30,21 @@ HOLDS, WHOLE_HOLDS = 0.8, 0.51
 BROADCAST_BYTES = 8 << 20
 
 _RAW = "script|style|noscript|template|iframe|svg|textarea|title|object|canvas"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.I | re.S,
-)
+_REST = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+
+
+def _token(empty: str) -> re.Pattern[str]:
+    """Comments, tags, and raw elements as a whole; those of ``empty`` have no inside if their start tag ends in a slash."""
+    return re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(?:{empty})\b{_REST}/>|<(?P<raw>{_RAW})\b.*?(?:</(?P=raw)\s*>|\Z)"
+        rf"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>{_REST})>|<[!?/][^>]*>",
+        re.I | re.S,
+    )
+
+
+# HTML knows the slash in foreign elements only, XHTML in all.
+_HTML, _XHTML = _token("svg"), _token(_RAW)
+_IS_XHTML = re.compile(r"\s*(?:<\?xml|<!doctype[^>]*?//dtd xhtml|(?:<!doctype[^>]*>\s*)?<html\b[^>]*1999/xhtml)", re.I | re.S)
 _CUT_OFF = re.compile(r"<[a-z/!][^>]*\Z", re.I)  # a tag that the end of the page cuts off
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NUMBERS = re.compile(r"\d+")
@@ -77,6 +87,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     pieces: list[str] = []
     linked = hidden = in_link = at = 0
     html = html or ""
+    tokens = _XHTML if _IS_XHTML.match(html) else _HTML
 
     def close() -> None:
         nonlocal linked
@@ -93,7 +104,7 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             pieces.append(text)
             linked += len(text) if in_link else 0
 
-    for token in _TOKEN.finditer(html):
+    for token in tokens.finditer(html):
         take(html[at : token.start()])
         at = token.end()
         tag = (token["tag"] or "").lower()
