@@ -271,8 +271,32 @@ def test_self_closed_elements_swallow_nothing(head, names):
     for name in names:
         for icon in (f"<{name}/>", f"<{name} class=icon/>", f'<{name} title="a > b" />', f"<{name}>out</{name}>"):
             page = f"{head}{icon}<article><p>Before {icon}it.</p>{icon}<p>After.</p></article>"
-            assert [text for _, text, _ in webtext.blocks(page)] == ["Before it.", "After."], page
-    assert [text for _, text, _ in webtext.blocks("<p>a<iframe src=x/>raw</iframe>b<svg><path d=x/>raw</svg>")] == ["ab"]
+            assert [text for _, text, *_ in webtext.blocks(page)] == ["Before it.", "After."], page
+    assert [text for _, text, *_ in webtext.blocks("<p>a<iframe src=x/>raw</iframe>b<svg><path d=x/>raw</svg>")] == ["ab"]
+
+
+AROUND_NOT = ["content has-sidebar", "no-sidebar", "with-sidebar", "login-required", "entry comments-open", "search-results", "search"]
+
+
+def test_pages_keep_wrappers_and_headings_with_odd_names(rows):
+    ids = ["related-work", "navier-stokes", "promotion-rules", "side-effects", "share-prices", "recommendations", "search"]
+    inner = "".join(f"<h2 id={i}>Head {i}</h2><section id={i}><p id={i}>{SAID.format(i)}</p></section>" for i in ids)
+    junk = '<div class="post-comments"><p>A reader says something long about this article here.</div><div class="widget-area-2"><p>Much other text of a box.</div>'
+    want = [x for i in ids for x in (f"Head {i}", SAID.format(i))]
+    for c in AROUND_NOT:
+        pages = [f'<div class="{c}">{inner}</div>{junk}', f'<div class="page"><div class="{c}">{inner}{junk}</div></div>', f"<article>{inner}{junk}</article>"]
+        for page in pages:
+            assert webtext.extracted(webtext.blocks(page), None).split("\n") == want, (c, page)
+    short = '<div class="search"><p>Little.</div><div class="comments"><p>' + SAID * 3 + "</div>"
+    pages = [f'<div class="search">{inner}</div><div class="comments"><p>{SAID}</div>'] * 5 + [short]
+    got = extracted_pages(rows, pages)
+    assert all(got[i] == want for i in range(5)) and got[5] == ["Little."]
+
+
+def test_a_page_of_comments_does_not_open_them_for_its_host(rows):
+    said = [SAID * 20] * 3 + ["Short."]
+    page = '<div class="post"><p>{}</div><div class="comments"><p>' + SAID * 20 + "</div>"
+    assert extracted_pages(rows, [page.replace("{}", s, 1) for s in said]) == {i: [s] for i, s in enumerate(said)}
 
 
 def test_pages_joined_by_shuffle_and_without_rows(rows, monkeypatch):

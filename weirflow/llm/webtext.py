@@ -57,33 +57,45 @@ _WHOLE = frozenset(("main", "article"))  # text below these counts for them, how
 _BLOCKS = _CONTAINERS | frozenset(
     "html body p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption address hr th thead tfoot caption details summary".split()
 )
-# Words in class, id or role that mark what stands around an article.
+# Class, id or role that marks what stands around an article: one of these words, alone or with a place before it and a shape after it.
 _AROUND = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|foot|side-?bar\w*"
-    r"|side|aside|widgets?|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social"
-    r"|related|recommend\w*|comments?\w*|replies|reply|respond|disqus|pagination|pager|toolbar|complementary|contentinfo|navigation)(?:$|[^a-z])"
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|blog|wp|js)[-_])*"
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|nav|navbar|navigation|menus?|menubar|breadcrumbs?"
+    r"|header|masthead|footer|foot|side-?bars?|side|aside|widgets?|cookies?|consent|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe"
+    r"|signup|login|search|share|sharing|social|related|recommended|recommendations?|comments?|commentlist|replies|reply|respond|disqus|pagination"
+    r"|pager|toolbar|complementary|contentinfo)"
+    r"(?:[-_](?:area|bar|box|block|list|links?|items?|section|container|wrap|wrapper|inner|outer|panel|form|posts?|articles?|stories|threads?|buttons?"
+    r"|icons?|widgets?|top|bottom|left|right|main|primary|secondary|banner|menu|nav|slot|unit|[0-9]+))*"
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())  # say nothing by themselves
+# Ids of these are mostly targets of links, those of sections too unless they are one of a few.
+_ANCHORS = frozenset("p li dt dd blockquote pre figure figcaption caption summary".split())
+_SECTION_IDS = re.compile(r"comments?|respond|disqus|side-?bars?|newsletter|breadcrumbs?|related[-_](?:posts?|articles?|links?|stories)")
+_MARK = "!"  # before the part of a container whose names mark it: its blocks count only if its host opens it
 
 
 def _path_name(tag: str, rest: str) -> tuple[str, bool]:
     """A container's part of the path, and whether its names mark it as standing around the article."""
     names, around = "", False
     for kind, *values in _NAMES.findall(rest):
-        value = "".join(values).lower()
-        around |= _AROUND.search(value) is not None
-        if kind.lower() == "class":
-            names = "".join(sorted(f".{_NUMBERS.sub('#', c)}" for c in value.split()))
-    return tag + names, around and tag not in ("html", "body")
+        tokens, kind = "".join(values).lower().split(), kind.lower()
+        if kind != "id" or tag not in _ANCHORS:
+            words = _SECTION_IDS if kind == "id" and tag == "section" else _AROUND
+            around |= any(words.fullmatch(t) for t in tokens)
+        if kind == "class":
+            names = "".join(sorted(f".{_NUMBERS.sub('#', c).replace('>', '')}" for c in tokens))
+    return tag + names, around and tag not in ("html", "body") and tag not in _HEADINGS
 
 
-def blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """Blocks of running text in page order: (path of the container, text, characters in links).
+def blocks(html: str | None) -> list[tuple[str, str, int, tuple[int, ...]]]:
+    """Blocks of running text in page order: (path of the container, text, characters in links, numbers of the path's elements).
 
     Character references are decoded, white space is one space. Tags need not be balanced: an end tag closes up to its
-    start tag, or nothing. An element that stands around the article hides all inside of it.
+    start tag, or nothing. An element that is never part of an article hides all inside of it; a container marked by its names
+    stays in the path with ``_MARK``, also below main or article.
     """
-    found: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, part of the path or "", hides
+    found: list[tuple[str, str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # tag, part of the path or "", hides, place on the page
     pieces: list[str] = []
     linked = hidden = in_link = at = 0
     html = html or ""
@@ -92,9 +104,10 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
     def close() -> None:
         nonlocal linked
         if pieces and (text := " ".join(unescape("".join(pieces)).split())):
-            parts = [(tag, part) for tag, part, _ in stack if part]
-            whole = next((i for i, (tag, _) in enumerate(parts) if tag in _WHOLE), len(parts) - 1)
-            found.append((">".join(part for _, part in parts[: whole + 1]), text, linked))
+            parts = [(tag, part, place) for tag, part, _, place in stack if part]
+            whole = next((i for i, (tag, _, _) in enumerate(parts) if tag in _WHOLE), len(parts) - 1)
+            path = [(part, place) for i, (_, part, place) in enumerate(parts) if i <= whole or part[0] == _MARK]
+            found.append((">".join(part for part, _ in path), text, linked, tuple(place for _, place in path)))
         pieces.clear()
         linked = 0
 
@@ -118,9 +131,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
         if tag == "a":
             in_link = not token["end"]
         if token["end"]:
-            if any(tag == t for t, _, _ in stack):
+            if any(tag == t for t, *_ in stack):
                 while True:
-                    name, _, hides = stack.pop()
+                    name, _, hides, _ = stack.pop()
                     hidden -= hides
                     if name == tag:
                         break
@@ -128,9 +141,9 @@ def blocks(html: str | None) -> list[tuple[str, str, int]]:
             name, around = _path_name(tag, token["rest"])
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 hidden -= stack.pop()[2]
-            hides = around or tag in _ASIDE
+            hides = tag in _ASIDE or (around and tag not in _CONTAINERS)
             hidden += hides
-            stack.append((tag, name if tag in _CONTAINERS else "", hides))
+            stack.append((tag, _MARK * around + name if tag in _CONTAINERS else "", hides, at))
     take(_CUT_OFF.sub("", html[at:]))
     close()
     return found
@@ -142,35 +155,68 @@ def _score(text: str, linked: int) -> int:
 
 
 class Tree:
-    """The containers of a page: per node its key (a digest of its path), parent, least share to hold the page, and text below it."""
+    """The containers of a page: per node its key (a digest of its path), parent, least share to hold the page, and text below it.
 
-    def __init__(self, found: list[tuple[str, str, int]]) -> None:
-        self.keys, self.parents, self.least, self.depths, self.scores = [b""], [-1], [0.0], [0], [0]
+    A node of several elements holds no page, as each is a part of what is around them.
+    ``opened`` are the marked nodes that hold most of all text, or those among the host's ``winners``; what is inside of other
+    marked nodes does not count.
+    """
+
+    def __init__(self, found: list[tuple[str, str, int, tuple[int, ...]]], winners: list[bytes] | None = None) -> None:
+        self.keys, self.parents, self.least, self.depths = [b""], [-1], [0.0], [0]
         self.children: dict[tuple[int, str], int] = {}
+        self.marked: list[int] = []
         self.at: dict[str, int] = {}
-        for path, text, linked in found:
-            if path not in self.at:
-                self.at[path] = self._node(path)
-            self.scores[self.at[path]] += _score(text, linked)
-        for n in range(len(self.keys) - 1, 0, -1):  # a parent comes before its children
-            self.scores[self.parents[n]] += self.scores[n]
-
-    def _node(self, path: str) -> int:
-        node = 0
-        for part in path.split(">") if path else ():
+        here: dict[int, int] = defaultdict(int)
+        self.places = [0]
+        self.named = False  # a main or article is outside of marked nodes, so none of these is opened
+        self.several: set[int] = set()
+        seen: set[tuple[int, ...]] = set()
+        for path, text, linked, places in found:
+            if places not in seen:
+                seen.add(places)
+                self.at[path] = self._node(path, places)
+            here[self.at[path]] += _score(text, linked)
+        whole = self._below(here, frozenset())
+        wanted = frozenset(winners) if winners is not None else frozenset() if self.named else None
+        opens = lambda n: whole[n] >= HOLDS * whole[0] > 0 if wanted is None else self.keys[n] in wanted
+        self.opened = frozenset(n for n in self.marked if opens(n))
+        self.shut = frozenset(self.marked) - self.opened
+        self.scores = self._below(here, self.shut) if self.shut else whole
+        self.any = whole[0] > 0
+
+    def _below(self, here: dict[int, int], shut: frozenset[int]) -> list[int]:
+        """Text inside of every node, none for those in ``shut`` and all inside of them."""
+        closed = [False] * len(self.keys)
+        for n, parent in enumerate(self.parents):  # a parent comes before its children
+            closed[n] = n in shut or (n > 0 and closed[parent])
+        out = [0 if closed[n] else here.get(n, 0) for n in range(len(self.keys))]
+        for n in range(len(self.keys) - 1, 0, -1):
+            out[self.parents[n]] += out[n]
+        return out
+
+    def _node(self, path: str, places: tuple[int, ...]) -> int:
+        node, plain = 0, True
+        for part, place in zip(path.split(">") if path else (), places, strict=True):
             if (child := self.children.get((node, part))) is None:
                 child = self.children[node, part] = len(self.keys)
                 self.keys.append(xxhash.xxh3_128_digest(self.keys[node] + part.encode()))
                 self.parents.append(node)
                 self.least.append(WHOLE_HOLDS if re.split(r"\.", part, maxsplit=1)[0] in _WHOLE else HOLDS)
                 self.depths.append(self.depths[node] + 1)
-                self.scores.append(0)
+                self.places.append(place)
+                if part[0] == _MARK:
+                    self.marked.append(child)
+            elif self.places[child] != place:
+                self.several.add(child)
+            plain &= part[0] != _MARK
+            self.named |= plain and self.least[child] == WHOLE_HOLDS
             node = child
         return node
 
     def holds(self, n: int) -> bool:
         """Whether the node's subtree holds the page's running text; the body always does."""
-        return n == 0 or self.scores[n] >= self.least[n] * self.scores[0] > 0
+        return n == 0 or (n not in self.several and self.scores[n] >= self.least[n] * self.scores[0] > 0)
 
     def own(self) -> int:
         """The deepest node that holds the page; nodes that do lie on one path."""
@@ -186,19 +232,21 @@ class Tree:
         return at if at or len(winners) == 1 else None
 
     def inside(self, n: int, top: int) -> bool:
-        while self.depths[n] > self.depths[top]:
+        """Whether a node is in ``top``, with no shut one between."""
+        while self.depths[n] > self.depths[top] and n not in self.shut:
             n = self.parents[n]
         return n == top
 
 
-def extracted(found: list[tuple[str, str, int]], winners: list[bytes] | None) -> str:
+def extracted(found: list[tuple[str, str, int, tuple[int, ...]]], winners: list[bytes] | None) -> str:
     """All blocks inside the host's best container that the page has, else inside its own best one, joined by \n."""
-    tree = Tree(found)
+    tree = Tree(found, winners or None)
     top = tree.followed(winners) if winners else None
     if top is None:
+        tree = Tree(found)
         top = tree.own()
     kept = {path for path, n in tree.at.items() if tree.inside(n, top)}
-    return "\n".join(text for path, text, _ in found if path in kept)
+    return "\n".join(text for path, text, *_ in found if path in kept)
 
 
 def _host():
@@ -217,9 +265,9 @@ def votes(pages: DataFrame) -> DataFrame:
             total: dict[tuple[str, bytes, int], list[int]] = defaultdict(lambda: [0, 0])
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tree = Tree(blocks(html))
-                for n in range(len(tree.keys)) if tree.scores[0] else ():
+                for n in range(len(tree.keys)) if tree.any else ():
                     counts = total[host, tree.keys[n], tree.depths[n]]
-                    counts[0] += tree.holds(n)
+                    counts[0] += tree.holds(n) or n in tree.opened
                     counts[1] += 1
             kinds = (pa.string(), pa.binary(), pa.int64())
             columns = [pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)]
