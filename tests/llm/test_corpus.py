@@ -199,6 +199,17 @@ def test_seats_go_to_the_highest_quotients(rows):
     assert {(r["g"], r["p"]): r["quota"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("seats", [0, 1, 7, 500, 5000])
+def test_seats_of_many_parties_are_ranked_over_all_tasks(rows, seats):
+    votes = [float(v) for v in np.random.default_rng(3).integers(0, 40, 300)]  # many equal quotients
+    parties = rows(list(enumerate(votes)), "p long, votes double")
+    got = mixing.sainte_lague_of_all(parties, "p", "votes", seats)
+    quotients = sorted((-v / (2 * i + 1), p) for p, v in enumerate(votes) if v for i in range(seats + 1))
+    want = Counter(p for _, p in quotients[:seats])
+    assert {r["p"]: r["quota"] for r in got.collect()} == {p: want[p] for p in range(300)}
+    assert "row_number" not in got._jdf.queryExecution().toString()
+
+
 def test_mix_without_rows_or_words(rows):
     schema = "doc_id long, text string, source string"
     assert mixing.mix(rows([], schema)).collect() == []

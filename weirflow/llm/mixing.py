@@ -95,6 +95,25 @@ def sainte_lague(parties: DataFrame, group: Sequence[str], party: str, votes: st
     )
 
 
+def sainte_lague_of_all(parties: DataFrame, party: str, votes: str, seats: int) -> DataFrame:
+    """(party, quota) as ``sainte_lague`` gives it for one group of any number of parties: quotients are ranked over all tasks."""
+    total, n = parties.agg(F.sum(votes), F.count("*")).first()
+    share = F.try_divide(F.col(votes), F.lit(total))
+    sure = F.greatest(F.lit(0), F.floor(share * (seats - n / 2) + 0.5) - 1)
+    most = F.when(F.col(votes) > 0, F.floor(share * (seats + n / 2) + 0.5) + 1).otherwise(0)
+    bounds = parties.select(party, votes, F.coalesce(sure, F.lit(0)).cast("long").alias("sure"), most.cast("long").alias("most"))
+    bounds = materialize(bounds, "bounds")
+    left = seats - (bounds.agg(F.sum("sure")).first()[0] or 0)
+    candidates = bounds.where(F.col("most") > F.col("sure")).select(
+        party, votes, F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("seat")
+    )
+    places = candidates.select(party, (-F.col(votes) / (2 * F.col("seat") - 1)).alias("place"))
+    ranked = numbered(places, F.struct("place", party), "rank").where(F.col("rank") < left)
+    won = ranked.groupBy(F.col(party).alias("_party")).agg(F.count("*").alias("won"))
+    joined = bounds.join(won, F.col(party) == F.col("_party"), "left")
+    return joined.select(party, (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"))
+
+
 def _seeded(text: Column, seed: int) -> Column:
     """A whole number below 2**60 from a seed and a text, the same in every engine that has MD5."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 15), 16, 10).cast("long")
@@ -121,9 +140,7 @@ def mix(
     narrow = materialize(with_sizes(docs), "sizes")
     sources = materialize(source_targets(narrow, weights, repeats), "targets")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
-    seats = F.lit(int(total / block_words + 0.5)).cast("long")
-    by_source = sources.select(F.lit(0).alias("all"), "sid", "target", seats.alias("seats"))
-    quotas = sainte_lague(by_source, ["all"], "sid", "target", "seats").select("sid", F.col("quota").alias("source_quota"))
+    quotas = sainte_lague_of_all(sources, "sid", "target", int(total / block_words + 0.5)).withColumnRenamed("quota", "source_quota")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS))
     sources = materialize(sources.join(quotas, "sid").withColumn("shards", shards.cast("long")), "quotas")
 
