@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, hmm, lines, mixing, pivots, quality, simhash, substrings, warc, webtext
+from weirflow.llm import bpe, hmm, lines, mixing, pivots, quality, sharding, simhash, substrings, warc, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +223,58 @@ select doc_id, size::bigint as size, source_size, target,
         - {mixing.BLOCK_WORDS} * c0 - first_word % {mixing.BLOCK_WORDS} * (c0_next - c0))::bigint as taken
 from c
 """
+
+
+@query
+def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    law, none = F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return dealt.select("doc_id", "size", "text_crc32", law, "shard", "slot", none)
+
+
+# Checksums by the table of 256 remainders; the ring by folding places round by round, as in ``sharding.fill``.
+ORACLES["op12_ring_shards"] = f"""
+with recursive remainders as (
+  select list(r order by b) as t from (
+    select b, list_reduce(list_prepend(b, range(8)),
+      lambda x, i: case when x % 2 = 1 then xor(3988292384, x // 2) else x // 2 end) as r
+    from range(256) g(b))
+), d as (
+  select doc_id, text, octet_length(encode(coalesce(text, ''))) + 1 as size, coalesce(md5(text), repeat('0', 32)) as digest
+  from documents
+), p as (
+  select *, ('0x' || substr(digest, 1, 4))::int as place,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || digest), 1, 15))::bigint as ord
+  from d
+), ranks as (
+  select *, row_number() over (partition by place order by ord, doc_id, size) - 1 as rank from p
+), nodes as (
+  select s as shard, ('0x' || substr(md5(s || '/' || v), 1, 4))::int as spot
+  from range(16) a(s), range({sharding.VIRTUAL}) b(v)
+), meets as (
+  select place, n, shard, min((spot - place + {sharding.PLACES}) % {sharding.PLACES}) as far
+  from (select place, count(*) as n from p group by place), nodes group by place, n, shard
+), offers as (
+  select place, n, shard, row_number() over (partition by place order by far, shard) as turn,
+    (select count(*) from p) // 16 + (shard < (select count(*) from p) % 16)::int as room
+  from meets
+), dealt as (
+  select 0::bigint as round, place, n, shard, turn, room, 0::bigint as take, 0::bigint as slot0 from offers
+  union all
+  select round + 1, place, n, shard, turn, room,
+    case when turn = round + 1 then greatest(0, least(rest, room - taken - before)) else take end::bigint,
+    case when turn = round + 1 then taken + least(before, room - taken) else slot0 end::bigint
+  from (select *, coalesce(sum(case when turn = round + 1 then rest else 0 end) over (
+          partition by shard order by place rows between unbounded preceding and 1 preceding), 0) as before
+        from (select *, n - sum(take) over (partition by place) as rest, sum(take) over (partition by shard) as taken from dealt))
+  where round < 16
+), parts as (
+  select *, sum(take) over (partition by place order by turn) - take as first from dealt where round = 16
+)
+select doc_id, size::bigint as size,
+  case when coalesce(text, '') = '' then 0 else xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint)),
+    lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]))) end::bigint as text_crc32,
+  'rows' as law, shard::int as shard, (slot0 + rank - first)::bigint as slot, null::int as grown_shard
+from ranks join parts using (place) cross join remainders where rank >= first and rank < first + take
+"""
