@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, hmm, lines, mixing, pivots, quality, sharding, simhash, substrings, warc, webtext
+from weirflow.llm import bpe, clusters, hmm, lines, mixing, pivots, quality, search, sharding, simhash, substrings, warc, webtext
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +225,46 @@ from c
 """
 
 
+@query
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_NEAREST = """
+n{0} as (
+  select i, arg_min(c, (d, c)) as c, min(d) as d
+  from (select v.i, m.c, list_sum(list_transform(list_zip(v.x, m.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d
+        from v, c{0} m) group by i
+)"""
+_MOVED = """
+c{1} as (
+  with s as (
+    select n.c, k.k, sum(v.x[k.k])::bigint as s, count(*) as n from n{0} n join v using (i), range(1, 65) k(k) group by n.c, k.k
+  ), f as (
+    select c, list((s - ((s % n) + n) % n) // n order by k) as x from s group by c
+  )
+  select m.c, coalesce(f.x, m.x) as x from c{0} m left join f using (c)
+)"""
+ORACLES["op11_centroid_clusters"] = (
+    """
+with v as (
+  select row_number() over () as i, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by h, vec_id, x) - 1 as c, x from (select *, sha256('1:' || vec_id) as h from v) qualify c < 16
+), """
+    + ", ".join(_NEAREST.format(r) + ", " + _MOVED.format(r, r + 1) for r in range(3))
+    + ", "
+    + _NEAREST.format(3)
+    + """
+select vec_id, n.c::int as cluster, d as distance, (sum(d) over (partition by n.c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(m.x, ',')) as centroid_sha256
+from n3 n join v using (i) join c3 m on n.c = m.c
+"""
+)
+
+
 @query
 def op12_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -278,3 +318,40 @@ select doc_id, size::bigint as size,
   'rows' as law, shard::int as shard, (slot0 + rank - first)::bigint as slot, null::int as grown_shard
 from ranks join parts using (place) cross join remainders where rank >= first and rank < first + take
 """
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+_TERMS = """unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"""
+ORACLES["op13_lexical_search"] = f"""
+with d as (
+  select row_number() over () as d, doc_id, text from documents
+), q as (
+  select row_number() over () as q, item_id, text from benchmark
+), asked as (
+  select q, t, count(*) as times from (select q, {_TERMS} as t from q) group by q, t
+), held as (
+  select d, t, count(*) as tf from (select d, {_TERMS} as t from d) group by d, t
+), sizes as (
+  select d, sum(tf)::bigint as n from held group by d
+), corpus as (
+  select count(*) as n_docs, sum(n)::bigint as len from sizes
+), w as (
+  select t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from held, corpus group by t, n_docs
+), m as (
+  select d, 100 - 25 + (25 * n * n_docs) // len as m from sizes, corpus
+), scores as (
+  select q, d, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+  from asked join held using (t) join w using (t) join m using (d) group by q, d
+), ranked as (
+  select q, doc_id, score, row_number() over (partition by q order by score desc, doc_id nulls last) as rank
+  from scores join d using (d) where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked join q using (q) where rank <= 20
+"""
