@@ -18,7 +18,8 @@ REST = ("lang", "source")
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose doc_id is in ``ids``, the null one included; the ids grow with the rows, so they are never broadcast."""
     wanted = ids.select(F.col("doc_id").alias("wanted")).hint("merge")
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    rows = docs.select(F.struct("*").alias("row"))  # whatever the table's columns are called
+    return rows.join(wanted, F.col("row.doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -336,6 +336,17 @@ def test_archive_of_odd_pages(rows, folder, monkeypatch):
     assert warc.read_packages(warc.packages_in(pages.sparkSession, target)).count() == len(PAGES)
 
 
+def test_rows_that_share_a_page_id_keep_their_payloads(rows):
+    pages = [(1, "u", "a" * 200), (2, "u", "a" * 200), (2, "u", "b" * 200), (2, "u", "b" * 200), (3, "u", "b" * 200)]
+    read = warc.archive_and_read(rows(pages, "page_id long, url string, html string")).collect()
+    got = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", bytes(r["payload"] or b"").decode()) for r in read)
+    one, two, three = (f"<urn:page:{i}>" for i in (1, 2, 3))
+    assert got == sorted(
+        [(one, "response", "", "a" * 200), (two, "revisit", one, ""), (two, "response", "", "b" * 200)]
+        + [(two, "response", "", "b" * 200), (three, "revisit", two, "")]
+    )
+
+
 def test_archive_without_rows(rows):
     assert warc.archive_and_read(rows([], "page_id long, url string, html string")).collect() == []
 
@@ -475,3 +486,17 @@ def test_pipeline_stages_equal_plain_versions(spark, sf_dir, reference):
         sums[r["ids_sha256"]] += 1
     again = Counter(r["ids_sha256"] for r in corpus_pipeline.run(spark, sf_dir).collect())
     assert again == sums
+
+
+def test_pipeline_stages_take_odd_rows_and_clashing_names(spark, rows):
+    names = "doc_id long, text string, lang string, source string, n_chars long, wanted string, kept string, row string, of long"
+    data = [(i, t, "en", f"s{i % 2}", len(t or ""), "w", "k", "r", 1) for i, t in enumerate(ODD)]
+    data += [(None, None, None, None, None, None, None, None, None), (3, "shared id " * 60, "en", None, 600, "w", "k", "r", 1)]
+    for some in (data, []):
+        docs = rows(some, names)
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, docs, "")
+            ids = {r["doc_id"] for r in after.collect()}
+            assert ids <= {d[0] for d in some}, name
+            if name in ("quality rules", "simhash near-dedup"):
+                assert after.columns == docs.columns

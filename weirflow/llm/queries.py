@@ -99,7 +99,15 @@ def op6_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+        (F.col("n_removed") == 0).alias("untouched"),
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
+    )
 
 
 @query

@@ -36,7 +36,8 @@ def _clockwise(nodes: list[tuple[int, int]], place: int) -> Iterator[int]:
     """The shards in the order in which one meets them from a place."""
     seen: set[int] = set()
     first = bisect_left(nodes, (place, -1))
-    for _, shard in nodes[first:] + nodes[:first]:
+    for step in range(len(nodes)):
+        shard = nodes[(first + step) % len(nodes)][1]
         if shard not in seen:
             seen.add(shard)
             yield shard

@@ -35,9 +35,10 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def revisits(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
-    """(page_id, refers_to) for pages whose payload an earlier page_id has too.
+    """(page_id, digest, refers_to) for pages whose payload an earlier page_id has too.
 
-    Payloads under ``smallest`` bytes are never revisits. Only digests and ids are shuffled.
+    Payloads under ``smallest`` bytes are never revisits. Rows may share a page_id, so a payload is known by both. Only
+    digests and ids are shuffled.
     """
     facts = pages.where("page_id is not null").select(
         F.col("page_id").cast("long"), F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size")
@@ -45,7 +46,7 @@ def revisits(pages: DataFrame, smallest: int = SMALLEST_REVISIT) -> DataFrame:
     long = facts.where(F.col("size") >= smallest).select("page_id", "digest")
     first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
     first = materialize(first.where("n > 1").select("digest", "refers_to"), "payloads")
-    return long.join(first, "digest").where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return long.join(first, "digest").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, digest: str, date: str) -> bytes:
@@ -77,13 +78,15 @@ def _gzip(data: bytes) -> bytes:
 def write_packages(pages: DataFrame, folder: str, smallest: int = SMALLEST_REVISIT, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of pages (page_id, url, html); returns the packages: (path, size, records).
 
-    A null html is an empty payload, a null url an empty address; a row without page_id is a response. A task writes
+    A null html is an empty payload, a null url an empty address; a row without page_id is a response. Rows that share a page_id
+    are records of their own: each revisits the first page with its payload, or is a response. A task writes
     packages under names of its own and reports them when they are closed, so what a lost or repeated task left
     behind is in no list and is never read.
     """
-    found = revisits(pages, smallest).select(F.col("page_id").alias("of"), "refers_to")
+    found = revisits(pages, smallest).select(F.col("page_id").alias("of"), F.col("digest").alias("same"), "refers_to")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.join(found, F.col("page_id") == F.col("of"), "left").withColumn("digest", F.sha2("html", 256))
+    rows = rows.withColumn("digest", F.sha2("html", 256))
+    rows = rows.join(found, (F.col("page_id") == F.col("of")) & (F.col("digest") == F.col("same")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
