@@ -73,8 +73,8 @@ def sync_cycles(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         table_at(poll).write.parquet(f"{folder}/table/{poll}")
     tables = {p: spark.read.parquet(f"{folder}/table/{p}") for p in (CYCLES[0] - 1, *CYCLES)}
     seconds: dict[str, float] = {}
-    for name, method in METHODS.items():
-        capture = method()
+    for name in METHOD_NAMES:
+        capture = METHODS[name]()
         before = CYCLES[0] - 1
         store = Store(spark, f"{folder}/store-{name}", [USERS])
         done = visible(landed, before)
@@ -86,13 +86,11 @@ def sync_cycles(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         }[name]()
         if name == "commit_order":
             start = capture.poll(Source({"users": USERS}, log=done), "0/0").position_text()
-        store.bootstrap({"users": tables[before]}, {name: start})
-        taken = done.select("seq")
+        taken = {name: done.select("seq")} if name == "queue" else {}
+        store.bootstrap({"users": tables[before]}, {name: start}, taken)
         cycle_times = []
         for poll in CYCLES:
-            source = Source(
-                {"users": USERS}, {"users": tables[poll]}, visible(landed, poll), taken
-            )
+            source = Source({"users": USERS}, {"users": tables[poll]}, visible(landed, poll))
             cycle_times.append(timed(lambda s=source: sync_once(store, capture, s)))
         seconds[f"sync_{name}"] = round(statistics.median(cycle_times), 4)
     store = Store(spark, f"{folder}/store-reload", [USERS])

@@ -56,7 +56,7 @@ def test_a_rerun_gives_the_same(log, scores):
     assert again == scores
 
 
-@pytest.mark.parametrize("method", sorted(METHODS))
+@pytest.mark.parametrize("method", replay.METHOD_NAMES)
 def test_polling_into_a_store_equals_the_set_query(spark, log, folder, method):
     """A loop over polls, each seeing only what had committed, against rule and history."""
     documents = log.withColumn(

@@ -1,5 +1,6 @@
 """The versioned store: commits, replays, crashes, compaction, reload."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -138,38 +139,70 @@ def test_reading_does_not_depend_on_the_size_of_the_nets(spark, store, monkeypat
     assert rows_in(store) == small
 
 
-def test_folding_and_rewriting_keep_the_state(spark, store, monkeypatch):
-    log = random_log(23, n=200, keys=9)
-    monkeypatch.setattr(store_module, "FOLD_PARTS", 3)
-    actions = []
+def test_compaction_keeps_the_state_and_untouched_files(spark, folder):
+    made = Store(spark, folder(), [SPEC], buckets=5)
+    stored = spark.createDataFrame([(k, "old", 1) for k in range(40)], "pk bigint, status string, updated_at bigint")
+    made.bootstrap({"t": stored}, {"c": "0"})
+    log = random_log(23, n=200, keys=3)
     for i in range(5):
-        store.apply({"t": batch(spark, log[i * 40 : (i + 1) * 40])}, "c", str(i), i)
-        actions.append(store.due("t"))
-        if actions[-1]:
-            before = rows_in(store), periods_in(store)
-            store.fold()
-            assert (rows_in(store), periods_in(store)) == before
-    assert actions[:3] == [None, None, "fold"]
+        made.apply({"t": batch(spark, log[i * 40 : (i + 1) * 40])}, "c", str(i), i)
+        if i in (1, 2):
+            before = rows_in(made), periods_in(made)
+            made.compact()
+            assert (rows_in(made), periods_in(made)) == before
+            entry = made.current()["tables"]["t"]
+            assert entry["nets"] == [] and len(entry["base"]) == 2  # buckets without changes keep their files
+            assert made.at(made.current()["version"])["history"]["t"]["now"][-1]["cut"]
     events = [(pk, op, ts, s) for pk, op, _, _, ts, s in log]
-    stored = {k: (1, "old") for k in range(6)}
-    assert rows_in(store) == fold_rows(events, stored)
-    assert periods_in(store) == fold_periods(events, {k: ("old", 1) for k in stored})
-    monkeypatch.setattr(store_module, "FEW_NET_ROWS", 2)
-    assert store.due("t") == "base"
-    before = rows_in(store), periods_in(store)
-    store.compact()
-    assert store.due("t") is None
-    assert (rows_in(store), periods_in(store)) == before
+    assert rows_in(made) == fold_rows(events, {k: (1, "old") for k in range(40)})
+    assert periods_in(made) == fold_periods(events, {k: ("old", 1) for k in range(40)})
 
 
-def test_parts_are_joined_by_size():
-    def run(*sizes):
-        return store_module.newest_run([["p", n] for n in sizes])
-
-    assert run(*[5] * 7) == 0
-    assert run(*[5] * 8) == 8
-    assert run(1000, *[5] * 8) == 8  # a big old part is left alone
-    assert run(*[60] * 8, *[5] * 3) == 11
+def test_expiry_deletes_what_no_kept_version_lists(spark, store):
+    for i in range(3):
+        store.apply({"t": batch(spark, [(i, "U", i, 0, 5 + i, "a")])}, "c", str(i), i)
+    store.compact()
+    state = rows_in(store), periods_in(store)
+    old = store.versions()[0]
+    spark.range(3).write.parquet(f"{store.root}/_landed/left-behind")
+    assert store.expire(keep=1) > 2
+    assert (rows_in(store), periods_in(store)) == state and store.versions() == [5]
+    assert store.files.names(f"{store.root}/_landed") == [] and old not in store.versions()
+    assert store.expire(keep=1) == 0
+    store.apply({"t": batch(spark, [(1, "D", 9, 0, 50, None)])}, "c", "9", 9)
+    assert 1 not in rows_in(store)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_a_batch_opens_its_buckets_only(spark, folder):
+    made = Store(spark, folder(), [SPEC], buckets=8)
+    rows = spark.range(400).selectExpr("id as pk", "'old' as status", "1L as updated_at")
+    made.bootstrap({"t": rows}, {"c": "0"})
+    made.apply({"t": batch(spark, [(7, "U", 1, 0, 5, "a")])}, "c", "1", 1)
+    [touched] = made.current()["tables"]["t"]["nets"][0]["buckets"]
+    opened = made.open_periods("t", buckets=[touched])
+    filters = plan(opened).split("PartitionFilters: [")[1].split("]")[0]
+    assert "bucket#" in filters and "kind#" in filters and 20 < opened.count() < 100
+    read = made._read("t", made.current()["tables"]["t"]["base"], SPEC.schema, [touched])
+    files = read.select(F.regexp_extract(F.input_file_name(), "bucket=([0-9]+)", 1).alias("b")).distinct().collect()
+    assert [r["b"] for r in files] == [str(touched)]
+
+
+def test_nets_and_periods_share_one_shuffle(spark, folder, monkeypatch):
+    made = Store(spark, folder(), [SPEC])
+    made.bootstrap({"t": base(spark)}, {"c": "0"})
+    plans = []
+    write = Store._write
+    monkeypatch.setattr(Store, "_write", lambda self, df, *a, **k: (plans.append(plan(df)), write(self, df, *a, **k))[1])
+    monkeypatch.setattr(store_module, "fits_one_task", lambda df: False)
+    made.apply({"t": batch(spark, [(1, "U", 1, 0, 5, "a"), (2, "D", 2, 0, 6, None)])}, "c", "1", 1)
+    for text in plans:
+        physical = text.split("== Physical Plan ==")[1]
+        above = physical.split("InMemoryTableScan")[0] if "InMemoryTableScan" in physical else physical
+        assert "Exchange hashpartitioning(bucket#" not in re.sub(r"Exchange hashpartitioning\(bucket#\d+, \d+\), REPARTITION", "", above)
 
 
 def test_saved_positions_carry_their_time(store):

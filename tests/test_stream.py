@@ -7,7 +7,6 @@ from checks import fixtures as fx
 from checks.spark_queries import COLUMNS, USERS, _queue_changes
 from weirflow.operators.history import status_periods
 from weirflow.operators.upsert import net_changes, net_rows
-from weirflow.streaming import store as store_module
 from weirflow.streaming import sync
 from weirflow.streaming.store import Store
 
@@ -22,6 +21,7 @@ def run(spark, folder, store, schema, files=None):
         lambda batch: {"users": _queue_changes(batch)},
         sync.max_sequence(),
         f"{folder}/checkpoint",
+        compact_every=2,
     )
     sync.catch_up(query)
 
@@ -34,7 +34,6 @@ def land(log, folder, low, high):
 @pytest.mark.parametrize("crash", [None, "append", "publish", "after"])
 def test_stream_survives_crashes(spark, sf_dir, folder, monkeypatch, crash):
     log, home = fx.derive(spark, sf_dir, fx.LOG_SQL), folder()
-    monkeypatch.setattr(store_module, "FOLD_PARTS", 2)
     store = Store(spark, f"{home}/store", [USERS])
     land(log, home, 0, 4)
     run(spark, home, store, log.schema)

@@ -61,12 +61,16 @@ def status_periods(
 
 
 def bootstrap_periods(
-    replica: DataFrame, key: str, status: str = "status", version: str = "updated_at"
+    replica: DataFrame,
+    key: str,
+    status: str = "status",
+    version: str = "updated_at",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """The first open period of every row of a fresh copy."""
     start = F.col(version)
     return replica.select(
-        key, status, start.alias("valid_from"), F.lit(None).cast(
+        *keep, key, status, start.alias("valid_from"), F.lit(None).cast(
             replica.schema[version].dataType
         ).alias("valid_to"),
     )

@@ -25,7 +25,7 @@ from weirflow.functions.documents import map_fields, row_document_of
 from weirflow.functions.positions import format_lsn, parse_lsn, server_micros_to_timestamp
 from weirflow.model import DELETE, MESSAGE_SCHEMA, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
 from weirflow.operators.ordered import OrderedGroups
-from weirflow.sources.capture import Poll, Source
+from weirflow.sources.capture import METHODS, Poll, Source
 
 # The parser travels with the job: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -195,8 +195,8 @@ def _value_map(columns: Column, values: Column) -> Column:
     )
 
 
-def decode_messages(messages: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Row changes with their transaction.
+def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: bool = False) -> DataFrame:
+    """Row changes with their transaction; with ``commits`` also one row for each commit, without a table.
 
     ``batch_id, msg_no, lsn, xid, commit_lsn, commit_ts, schema_name, tbl, op,
     new, old, key_columns``; ``lsn`` is the commit message's. Fails on a change or
@@ -229,17 +229,20 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None) -> DataFra
         )
         .when(row & ~F.col("_commit.kind").eqNullSafe(COMMIT), fail("transaction without commit"))
         .when(row & F.col("_rel").isNull(), fail("change of a table not announced in this poll"))
-        .otherwise(row)
+        .otherwise(row | (kind == COMMIT) if commits else row)
     )
+    # A commit's own values, or those of the commit a row is followed by.
+    ends = {c: F.when(kind == COMMIT, F.col(c)).otherwise(F.col(f"_commit.{c}")) for c in ("lsn", "commit_lsn", "commit_us")}
+    own = {c: F.when(row, F.col(f"_rel.{c}")) for c in ("schema_name", "table_name")}
     return groups.close(looked).filter(checked).select(
         "batch_id",
         "msg_no",
-        F.col("_commit.lsn").alias("lsn"),
+        ends["lsn"].alias("lsn"),
         F.col("_begin.xid").alias("xid"),
-        F.col("_commit.commit_lsn").alias("commit_lsn"),
-        server_micros_to_timestamp(F.col("_commit.commit_us")).alias("commit_ts"),
-        F.col("_rel.schema_name").alias("schema_name"),
-        F.col("_rel.table_name").alias("tbl"),
+        ends["commit_lsn"].alias("commit_lsn"),
+        server_micros_to_timestamp(ends["commit_us"]).alias("commit_ts"),
+        own["schema_name"].alias("schema_name"),
+        own["table_name"].alias("tbl"),
         kind.alias("op"),
         _value_map(F.col("_rel.columns"), F.col("body.new")).alias("new"),
         _value_map(F.col("_rel.columns"), F.col("body.old")).alias("old"),
@@ -366,18 +369,18 @@ class MessageLog:
     def start(self, source: Source) -> str:
         return "0/0"
 
-    def ack(self, poll: Poll) -> None:
+    def ack(self, changes: DataFrame) -> None:
         return None
 
     def poll(self, source: Source, position: str | None) -> Poll:
         """Changes of all captured tables above the position, decoded in one pass.
 
-        Polls that landed nothing above it are not decoded. Transactions without a captured change do
-        not move the position; they are passed over again.
+        Polls that landed nothing above it are not decoded. Every commit comes along as a row without
+        a table, so transactions without a captured change move the position too.
         """
         old = parse_lsn(F.lit(position or "0/0"))
         above = source.log.filter(parse_lsn("lsn") > old).select("batch_id").distinct()
-        decoded = decode_messages(source.log.join(above, "batch_id", "left_semi"))
+        decoded = decode_messages(source.log.join(above, "batch_id", "left_semi"), commits=True)
         removed = F.col("op") == "D"
         image = F.when(removed, F.col("old")).otherwise(F.col("new"))
         keys, documents, versions = [], [], []
@@ -387,7 +390,8 @@ class MessageLog:
             fields = F.struct(*map_fields(F.col("new"), spec))
             documents.append(F.when(own & ~removed, row_document_of(fields)))
             versions.append(F.when(own, F.try_element_at("new", F.lit(spec.version))))
-        changes = decoded.filter((parse_lsn("lsn") > old) & F.col("tbl").isin(*source.specs)).select(
+        listed = F.col("tbl").isin(*source.specs) | (F.col("op") == COMMIT)
+        changes = decoded.filter((parse_lsn("lsn") > old) & listed).select(
             "tbl",
             F.when(removed, DELETE).otherwise(UPSERT).alias("op"),
             F.coalesce(*keys).cast("bigint").alias("pk"),
@@ -397,10 +401,10 @@ class MessageLog:
             F.coalesce(*documents).alias("doc"),
             F.when(~removed, F.map_keys("new")).alias("sent"),
         )
-        return Poll(
-            changes,
-            lambda read: read.agg(format_lsn(F.greatest(F.max(POS_HI), old)).alias("position")),
-        )
+        return Poll(changes, format_lsn(F.greatest(F.max(POS_HI), old)))
+
+
+METHODS[MessageLog.name] = MessageLog
 
 
 def restored(changes: DataFrame, spec: TableSpec, stored: DataFrame) -> DataFrame:

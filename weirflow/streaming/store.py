@@ -1,34 +1,39 @@
 """A versioned store on a shared file system: data and consumer position in one commit.
 
-    <root>/_manifest/<n>.json                          what version n consists of
-    <root>/<table>/batch_no=<n>/attempt=<id>/          base rows or one batch's net rows
-    <root>/<history>/batch_no=<n>/attempt=<id>/ended=  one batch's periods
-    <root>/<consumer>_taken/batch_no=<n>/attempt=<id>/ numbers a queue reader took
-    <root>/_landed/<id>/                               a batch while it is applied
-
-A batch writes only its own net rows; the stored table is the base with the
-nets since folded in, and ``compact`` turns that into a new base. A version
+    <root>/_manifest/<n>.json                                     what version n consists of
+    <root>/<table>/batch_no=<n>/attempt=<id>/bucket=<b>/          base rows or one batch's net rows
+    <root>/<history>/batch_no=<n>/attempt=<id>/kind=/bucket=<b>/  what a batch says about periods
+    <root>/<consumer>_taken/batch_no=<n>/attempt=<id>/            runs of numbers a queue reader took
+    <root>/_landed/<id>/                                          a batch while it is applied
+
+All rows lie in buckets by a hash of their key, and a manifest says which buckets a part has. A batch writes
+only its own net rows and reads only its buckets of the open periods; the stored table is the base with the
+nets since folded in, and ``compact`` turns that into new base rows of the buckets that have nets. A version
 exists when its manifest does: the manifest is renamed into place last, so
 readers never see data without its position or the other way round. One writer
-per store. Leftovers of a failed attempt are never listed, hence never read.
+per store. Leftovers of a failed attempt are never listed, hence never read; ``expire`` deletes them.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections import Counter
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import ExitStack, contextmanager
 from copy import deepcopy
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from typing import Any
 
-from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirflow.model import TableSpec
+from weirflow.operators.changes import changes_between
 from weirflow.operators.history import SEEDED, bootstrap_periods, status_periods
 from weirflow.operators.upsert import (
     LIVE,
@@ -38,17 +43,16 @@ from weirflow.operators.upsert import (
     net_changes,
     net_rows,
 )
-from weirflow.session import lookup_side
+from weirflow.session import fits_one_task, lookup_side
+from weirflow.sources.runs import joined_runs
 
 BATCH = "batch_no"
+BUCKET = "bucket"
+# Buckets of a new store. A batch touches at most one bucket a key, and writes a file for each it touches.
+BUCKETS = 8
+KIND, NOW, CLOSED = "kind", "now", "closed"
 # Nets whose files have up to this many bytes are broadcast past the stored rows.
 SMALL_NET_BYTES = 8 << 20
-# Nets below this many rows are not worth a new base.
-FEW_NET_ROWS = 500_000
-# Fold this many of the newest parts of like size into one ...
-FOLD_PARTS = 8
-# ... and rewrite the base when the nets reach this share of its rows.
-REBASE_SHARE = 0.2
 PARALLEL_WRITES = 4
 
 
@@ -98,46 +102,46 @@ class Files:
         self._context.rename(aside, self._path(path), none)
 
 
-def newest_run(parts: Sequence[Sequence]) -> int:
-    """How many of the newest parts to join: all up to a size tier, once it holds enough parts.
+@dataclass
+class Landed:
+    """A written copy of a batch, and what was counted while it was written."""
 
-    Tiers grow eightfold, so a row is rewritten about once per tier.
-    """
-    tiers = [(max(rows, 1).bit_length() - 1) // 3 for _, rows in parts]
-    longest = 0
-    for tier in sorted(set(tiers)):
-        run = next((i for i, t in enumerate(reversed(tiers)) if t > tier), len(tiers))
-        enough = tiers[len(tiers) - run :].count(tier) >= FOLD_PARTS
-        longest = run if enough else longest
-    return longest
+    rows: DataFrame
+    facts: dict[str, Any]
 
 
-def _empty_version() -> dict:
-    return {"version": 0, "tables": {}, "history": {}, "consumers": {}}
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(buckets)).cast("int")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, specs: Sequence[TableSpec]) -> None:
+    def __init__(
+        self, spark: SparkSession, root: str, specs: Sequence[TableSpec], buckets: int = BUCKETS
+    ) -> None:
+        """``buckets`` counts for a new store; one that has a version keeps its own."""
         self.spark = spark
         self.root = root.rstrip("/")
         self.specs = {s.name: s for s in specs}
         self.files = Files(spark, self.root)
+        self.buckets = self.current().get("buckets") or buckets
 
     # ---- versions ------------------------------------------------------------
 
     def _manifest_path(self, version: int) -> str:
         return f"{self.root}/_manifest/{version}.json"
 
+    def versions(self) -> list[int]:
+        names = self.files.names(f"{self.root}/_manifest")
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
     def current(self) -> dict:
         """The newest version's manifest."""
-        numbers = [
-            int(n.removesuffix(".json"))
-            for n in self.files.names(f"{self.root}/_manifest")
-            if n.endswith(".json")
-        ]
-        if not numbers:
-            return _empty_version()
-        return json.loads(self.files.read_text(self._manifest_path(max(numbers))))
+        numbers = self.versions()
+        return self.at(numbers[-1]) if numbers else {"version": 0, "tables": {}, "history": {}, "consumers": {}}
+
+    def at(self, version: int) -> dict:
+        """The manifest of one version, to be given to the reading methods."""
+        return json.loads(self.files.read_text(self._manifest_path(version)))
 
     def _publish(self, manifest: dict) -> None:
         text = json.dumps(manifest, indent=1, sort_keys=True)
@@ -146,38 +150,83 @@ class Store:
     def _next(self) -> dict:
         manifest = deepcopy(self.current())
         manifest["version"] += 1
+        manifest["buckets"] = self.buckets
         return manifest
 
     # ---- files ---------------------------------------------------------------
 
     def _write(
-        self, df: DataFrame, name: str, version: int, by: Sequence[str] = ()
-    ) -> tuple[str, int]:
-        """Write a new attempt folder; returns its path and row count."""
+        self, df: DataFrame, name: str, version: int, by: Sequence[str] = (), counted: str = "true"
+    ) -> dict:
+        """Write a new attempt folder; returns it as a part: path, rows, and the buckets that have any."""
         seen = Observation()
         path = f"{self.root}/{name}/{BATCH}={version}/attempt={uuid.uuid4().hex[:12]}"
-        counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        counted.write.partitionBy(*by).parquet(path)
-        return path, int(seen.get["n"])
+        facts = [F.count_if(F.expr(counted)).alias("n")]
+        if BUCKET in by:
+            facts.append(F.collect_set(BUCKET).alias("buckets"))
+        df.observe(seen, *facts).write.partitionBy(*by).parquet(path)
+        found = seen.get
+        return {"path": path, "batch": version, "rows": int(found.get("n") or 0), "buckets": sorted(found.get("buckets") or [])}
 
     @contextmanager
-    def land(self, name: str, df: DataFrame) -> Iterator[DataFrame]:
-        """A written copy of a batch, there until the block ends: one read of a source that may grow."""
+    def land(self, name: str, df: DataFrame, **facts: Column) -> Iterator[Landed]:
+        """A written copy of a batch, there until the block ends: one read of a source that may grow.
+
+        ``facts`` are aggregates over its rows, which are taken while they are written.
+        """
         path = f"{self.root}/_landed/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.parquet(path)
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in facts.items()])
+        counted.write.parquet(path)
         try:
-            yield self.spark.read.schema(df.schema).parquet(path)
+            yield Landed(self.spark.read.schema(df.schema).parquet(path), dict(seen.get))
         finally:
             self.files.remove(path)
 
-    def _read(self, name: str, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-        full = T.StructType(
-            [*schema.fields, T.StructField(BATCH, T.LongType()), T.StructField("attempt", T.StringType())]
-        )
-        if not paths:
-            return self.spark.createDataFrame([], full).drop("attempt")
-        reader = self.spark.read.schema(full).option("basePath", f"{self.root}/{name}")
-        return reader.parquet(*paths).drop("attempt")
+    def touched(self, spec: TableSpec, key: str | None = None, own: Column | None = None) -> Column:
+        """An aggregate for ``land``: the buckets of one table's rows."""
+        number = bucket_of(key or spec.key, self.buckets)
+        return F.collect_set(number if own is None else F.when(own, number))
+
+    def _read(
+        self,
+        name: str,
+        parts: Sequence[dict],
+        schema: T.StructType,
+        buckets: Collection[int] | None = None,
+        kind: str | None = None,
+    ) -> DataFrame:
+        """Rows of some parts with their batch and bucket; of the given ``buckets`` only.
+
+        A part may have handed buckets over to a later one. Both are conditions on partition columns,
+        so files of other buckets are not opened.
+        """
+        wanted = [p for p in parts if buckets is None or set(p["buckets"]) & set(buckets)]
+        extra = [(BATCH, T.LongType()), ("attempt", T.StringType())]
+        extra += [(KIND, T.StringType())] if kind else []
+        fields = [T.StructField(n, t) for n, t in [*extra, (BUCKET, T.IntegerType())]]
+        full = T.StructType([*schema.fields, *fields])
+        if not wanted:
+            rows = self.spark.createDataFrame([], full)
+        else:
+            reader = self.spark.read.schema(full).option("basePath", f"{self.root}/{name}")
+            rows = reader.parquet(*[p["path"] for p in wanted])
+            if kind:
+                rows = rows.filter(F.col(KIND) == kind)
+            if buckets is not None:
+                rows = rows.filter(F.col(BUCKET).isin(sorted(buckets)))
+            for p in wanted:
+                if p.get("cut"):
+                    rows = rows.filter((F.col(BATCH) != p["batch"]) | F.col(BUCKET).isin(p["buckets"]))
+        return rows.drop("attempt", *([KIND] if kind else []))
+
+    def _dealt(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows with their bucket, the rows of a bucket in one task."""
+        return self._together(rows.withColumn(BUCKET, bucket_of(key, self.buckets)))
+
+    def _together(self, rows: DataFrame) -> DataFrame:
+        tasks = min(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return rows.repartition(tasks, BUCKET)
 
     def _net_schema(self, spec: TableSpec) -> T.StructType:
         flags = [T.StructField(RESET, T.BooleanType()), T.StructField(LIVE, T.BooleanType())]
@@ -189,52 +238,72 @@ class Store:
 
     # ---- tables --------------------------------------------------------------
 
-    def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        """The stored rows of one table at one version."""
+    def _rows(self, name: str, manifest: dict, buckets: Collection[int] | None = None) -> DataFrame:
+        """The stored rows with their bucket. Key and bucket together are the key of every join."""
         spec = self.specs[name]
-        entry = (manifest or self.current())["tables"].get(name, {"base": [], "nets": []})
-        base = self._read(name, [p for p, _ in entry["base"]], spec.schema).drop(BATCH)
+        entry = manifest["tables"].get(name, {"base": [], "nets": []})
+        base = self._read(name, entry["base"], spec.schema, buckets).drop(BATCH)
         if not entry["nets"]:
             return base
-        nets = self._read(name, [p for p, _ in entry["nets"]], self._net_schema(spec))
+        keys = [BUCKET, spec.key]
+        nets = self._read(name, entry["nets"], self._net_schema(spec), buckets)
         if len(entry["nets"]) == 1:
             net = nets.drop(BATCH)
         else:
-            net = fold_nets(nets, [spec.key], self._image(spec), spec.version)
+            net = fold_nets(nets, keys, self._image(spec), spec.version)
         if not entry["base"]:
-            return net_rows(net, [spec.key], spec.image_names).select(*spec.all_names)
-        small = self.files.size([p for p, _ in entry["nets"]]) <= SMALL_NET_BYTES
-        merged = merge_net(base, net, [spec.key], self._image(spec), spec.version, small)
-        return merged.select(*spec.all_names)
+            return net_rows(net, keys, spec.image_names)
+        small = self.files.size([p["path"] for p in entry["nets"]]) <= SMALL_NET_BYTES
+        return merge_net(base, net, keys, self._image(spec), spec.version, small)
+
+    def table(
+        self, name: str, manifest: dict | None = None, buckets: Collection[int] | None = None
+    ) -> DataFrame:
+        """The stored rows of one table at one version, of all buckets or of some."""
+        rows = self._rows(name, manifest or self.current(), buckets)
+        return rows.select(*self.specs[name].all_names)
 
     def _put_base(self, manifest: dict, name: str, rows: DataFrame) -> int:
         spec = self.specs[name]
-        path, n = self._write(rows.select(*spec.all_names), name, manifest["version"])
-        manifest["tables"][name] = {"base": [[path, n]], "nets": []}
-        return n
+        dealt = self._dealt(rows.select(*spec.all_names), spec.key)
+        part = self._write(dealt, name, manifest["version"], by=[BUCKET])
+        manifest["tables"][name] = {"base": [part], "nets": []}
+        return part["rows"]
 
     def full_reload(self, tables: Mapping[str, DataFrame]) -> dict[str, int]:
         """Replace all table copies in one version; history and positions stay."""
         manifest = self._next()
-        counts = {name: self._put_base(manifest, name, df) for name, df in tables.items()}
+        with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+            started = {n: pool.submit(inheritable_thread_target(self.spark)(self._put_base), manifest, n, df) for n, df in tables.items()}
+            counts = {n: f.result() for n, f in started.items()}
         self._publish(manifest)
         return counts
 
     def bootstrap(
-        self, tables: Mapping[str, DataFrame], positions: Mapping[str, str | None] | None = None
+        self,
+        tables: Mapping[str, DataFrame],
+        positions: Mapping[str, str | None] | None = None,
+        taken: Mapping[str, DataFrame] | None = None,
     ) -> dict[str, int]:
-        """First load: tables, one open period per tracked row, starting positions."""
+        """First load: tables, one open period per tracked row, starting positions.
+
+        ``taken`` are numbers (``seq``) that the copy holds already, by queue reader.
+        """
         manifest = self._next()
         counts = {name: self._put_base(manifest, name, df) for name, df in tables.items()}
         manifest["history"], manifest["consumers"] = {}, {}
         for name in tables:
             spec = self.specs[name]
             if spec.tracked:
-                rows = self.table(name, manifest)
-                periods = bootstrap_periods(rows, spec.key, spec.tracked, spec.version)
-                self._put_open(manifest, spec, periods)
+                rows = self._rows(name, manifest)
+                periods = bootstrap_periods(rows, spec.key, spec.tracked, spec.version, [BUCKET])
+                name = self._history_name(name)
+                part = self._write(periods.withColumn(KIND, F.lit(NOW)), name, manifest["version"], by=[KIND, BUCKET])
+                manifest["history"][spec.name] = {"now": [part], "closed": []}
         for consumer, position in (positions or {}).items():
             self._put_position(manifest, consumer, position, None)
+        for consumer, numbers in (taken or {}).items():
+            manifest["consumers"][consumer]["taken"] = self._write_taken(manifest, consumer, numbers, None)
         self._publish(manifest)
         return counts
 
@@ -247,72 +316,49 @@ class Store:
     def _period_schema(self, spec: TableSpec) -> T.StructType:
         fields = {f.name: f for f in spec.schema.fields}
         when = fields[spec.version].dataType
-        return T.StructType(
-            [
-                fields[spec.key],
-                fields[spec.tracked],
-                T.StructField("valid_from", when),
-                T.StructField("valid_to", when),
-                T.StructField(SEEDED, T.BooleanType()),
-                T.StructField("ended", T.BooleanType()),
-            ]
-        )
-
-    def _periods(self, spec: TableSpec, entry: dict, parts: Sequence[str]) -> DataFrame:
-        paths = [p for part in parts for p, _ in entry.get(part, [])]
-        return self._read(self._history_name(spec.name), paths, self._period_schema(spec))
-
-    def _put_open(self, manifest: dict, spec: TableSpec, periods: DataFrame) -> None:
-        opened = periods.select(
-            spec.key, spec.tracked, "valid_from", "valid_to",
-            F.lit(False).alias(SEEDED), F.lit(False).alias("ended"),
-        )
-        name = self._history_name(spec.name)
-        path, n = self._write(opened, name, manifest["version"], by=["ended"])
-        manifest["history"][spec.name] = {"open": [[path, n]], "closed": [], "batches": []}
+        ends = [T.StructField(n, when) for n in ("valid_from", "valid_to")]
+        return T.StructType([fields[spec.key], fields[spec.tracked], *ends])
 
     def open_periods(
-        self, name: str, touched: DataFrame | None = None, manifest: dict | None = None
+        self,
+        name: str,
+        touched: DataFrame | None = None,
+        manifest: dict | None = None,
+        buckets: Collection[int] | None = None,
     ) -> DataFrame:
-        """Open periods now, of all keys or only of the ``touched`` ones.
+        """Open periods now with their bucket, of all keys or only of the ``touched`` ones (bucket, key).
 
-        A batch's open rows open a period, its ended seeded rows end one that was
-        open before; the last batch that says anything about a key decides.
+        A batch says of each key whose period it opens or ends what is so after it: the open
+        period, or the end of the last one. The last batch that says anything about a key decides.
         """
         spec = self.specs[name]
-        entry = (manifest or self.current())["history"].get(name, {})
-        rows = self._periods(spec, entry, ["open", "batches"])
-        rows = rows.filter(~F.col("ended") | F.col(SEEDED))
+        parts = (manifest or self.current())["history"].get(name, {}).get("now", [])
+        keys = [BUCKET, spec.key]
+        rows = self._read(self._history_name(name), parts, self._period_schema(spec), buckets, NOW)
         if touched is not None:
-            rows = rows.join(lookup_side(touched), spec.key, "left_semi")
-        if not entry.get("batches"):
-            return rows.select(spec.key, spec.tracked, "valid_from")
-        return self._last_said(spec, rows)
-
-    @staticmethod
-    def _last_said(spec: TableSpec, rows: DataFrame) -> DataFrame:
-        """Keys whose last word is an open period; one partial aggregate, hot keys included."""
-        # Within a batch the end of the old period comes before the open one.
-        last = F.max_by(
-            F.struct("ended", spec.tracked, "valid_from"), F.struct(F.col(BATCH), ~F.col("ended"))
-        )
-        words = rows.filter(~F.col("ended") | F.col(SEEDED)).groupBy(spec.key)
-        return words.agg(last.alias("_last")).filter(~F.col("_last.ended")).select(
-            spec.key, *[F.col(f"_last.{c}").alias(c) for c in (spec.tracked, "valid_from")]
+            rows = rows.join(lookup_side(touched), keys, "left_semi")
+        said = [spec.tracked, "valid_from"]
+        if not _in_several(parts):
+            return rows.filter(F.col("valid_to").isNull()).select(*keys, *said)
+        # Of one batch an open period counts, not the end of the one before. One partial aggregate, hot keys included.
+        still = F.col("valid_to").isNull()
+        last = F.max_by(F.struct(still.alias("still"), *said), F.struct(F.col(BATCH), still))
+        return rows.groupBy(*keys).agg(last.alias("_last")).filter("_last.still").select(
+            *keys, *[F.col(f"_last.{c}").alias(c) for c in said]
         )
 
     def history(self, name: str, manifest: dict | None = None) -> DataFrame:
         """All periods: ``key, status, valid_from, valid_to``."""
         spec = self.specs[name]
         manifest = manifest or self.current()
-        entry = manifest["history"].get(name, {})
+        parts = manifest["history"].get(name, {}).get("closed", [])
         columns = [spec.key, spec.tracked, "valid_from", "valid_to"]
-        closed = self._periods(spec, entry, ["closed", "batches"]).filter("ended").select(*columns)
-        when = self._period_schema(spec)["valid_to"].dataType
+        schema = self._period_schema(spec)
+        closed = self._read(self._history_name(name), parts, schema, None, CLOSED)
         still = self.open_periods(name, manifest=manifest).withColumn(
-            "valid_to", F.lit(None).cast(when)
+            "valid_to", F.lit(None).cast(schema["valid_to"].dataType)
         )
-        return closed.unionByName(still.select(*columns))
+        return closed.select(*columns).unionByName(still.select(*columns))
 
     # ---- consumers -------------------------------------------------------------
 
@@ -325,24 +371,16 @@ class Store:
             "position": position,
             "batch_id": batch_id,
             "updated_at": datetime.now(UTC).isoformat(),
-            "taken": before.get("taken", []),
+            "taken": before.get("taken"),
         }
 
     def position(self, consumer: str) -> str | None:
         return self.current()["consumers"].get(consumer, {}).get("position")
 
     def taken(self, consumer: str, manifest: dict | None = None) -> DataFrame | None:
-        """Numbers (``seq``) a queue reader has taken, None before it has taken any."""
-        parts = (manifest or self.current())["consumers"].get(consumer, {}).get("taken", [])
-        schema = T.StructType([T.StructField("seq", T.LongType())])
-        return self._read(f"{consumer}_taken", [p for p, _ in parts], schema).drop(BATCH) if parts else None
-
-    def _put_taken(self, manifest: dict, consumer: str, numbers: DataFrame) -> None:
-        """Adds the numbers of a batch; every so often the parts become one."""
-        parts = manifest["consumers"][consumer]["taken"]
-        if len(parts) >= FOLD_PARTS:
-            numbers, parts[:] = numbers.union(self.taken(consumer, manifest)), []
-        parts.append(list(self._write(numbers.select("seq"), f"{consumer}_taken", manifest["version"])))
+        """Runs (``low, high``) of numbers a queue reader has taken, None before it has taken any."""
+        path = (manifest or self.current())["consumers"].get(consumer, {}).get("taken")
+        return self.spark.read.schema("low long, high long").parquet(path) if path else None
 
     def consumers(self) -> DataFrame:
         """Saved positions as a DataFrame."""
@@ -363,13 +401,13 @@ class Store:
         position: str | None | Callable[[], str | None],
         batch_id: int | None = None,
         taken: DataFrame | None = None,
-        landed: bool = False,
+        buckets: Mapping[str, Collection[int]] | None = None,
     ) -> bool:
         """Apply one batch of typed changes per table and save the position, as one commit.
 
-        ``position`` may be a function, which then runs beside the writes; ``taken`` are numbers a queue
-        reader took. Changes are landed first, unless the caller says they are, as several
-        steps read them. Returns False without doing anything when this batch of the consumer is
+        ``position`` may be a function, which then runs beside the writes; ``taken`` are numbers (``seq``) a queue
+        reader took. Changes are landed first, as several steps read them, unless the caller has done that
+        and says which ``buckets`` each table's rows lie in. Returns False without doing anything when this batch of the consumer is
         already committed: replaying rows would be harmless, replaying a batch's
         history would not.
         """
@@ -377,14 +415,17 @@ class Store:
         if batch_id is not None and done is not None and batch_id <= done:
             return False
         with ExitStack() as held:
-            if not landed:
-                changes = {n: held.enter_context(self.land(n, df)) for n, df in changes.items()}
-            self._commit(changes, consumer, position, done if batch_id is None else batch_id, taken)
+            if buckets is None:
+                landed = {n: held.enter_context(self.land(n, df, buckets=self.touched(self.specs[n]))) for n, df in changes.items()}
+                changes = {n: x.rows for n, x in landed.items()}
+                buckets = {n: x.facts["buckets"] for n, x in landed.items()}
+            self._commit(changes, buckets, consumer, position, done if batch_id is None else batch_id, taken)
         return True
 
     def _commit(
         self,
         changes: Mapping[str, DataFrame],
+        buckets: Mapping[str, Collection[int]],
         consumer: str,
         position: str | None | Callable[[], str | None],
         batch_id: int | None,
@@ -397,107 +438,160 @@ class Store:
             def start(write, *args):
                 return pool.submit(inheritable_thread_target(self.spark)(write), *args)
 
-            nets, periods = {}, {}
+            written, cached = {}, []
             for name, batch in changes.items():
+                if not buckets[name]:
+                    continue
                 spec = self.specs[name]
-                nets[name] = start(self._write_net, manifest, spec, batch)
+                keyed = batch.withColumn(BUCKET, bucket_of(spec.key, self.buckets))
+                dealt = self._together(keyed)
+                if spec.tracked and not fits_one_task(batch):
+                    # Used twice: shuffled once, and lost blocks are read again from the landed batch. Only a filled
+                    # cache tells the optimizer how it is dealt.
+                    dealt.persist(StorageLevel.MEMORY_AND_DISK).count()
+                    cached.append(dealt)
+                net = start(self._write_net, manifest, spec, dealt)
+                written[name] = net, None
                 if spec.tracked:
-                    periods[name] = start(self._write_periods, manifest, spec, batch)
+                    touched = keyed.select(BUCKET, spec.key)
+                    written[name] = net, start(self._write_periods, manifest, spec, dealt, touched, buckets[name])
             saved = start(position) if callable(position) else None
-        for name, written in nets.items():
+            before = self.taken(consumer, manifest)
+            runs = start(self._write_taken, manifest, consumer, taken, before) if taken is not None else None
+        for dealt in cached:
+            dealt.unpersist()
+        for name, (net, periods) in written.items():
             entry = manifest["tables"].setdefault(name, {"base": [], "nets": []})
-            entry["nets"] += [list(w) for w in [written.result()] if w[1]]
-        for name, written in periods.items():
-            empty = {"open": [], "closed": [], "batches": []}
-            entry = manifest["history"].setdefault(name, empty)
-            entry["batches"] += [list(w) for w in [written.result()] if w[1]]
-        text = saved.result() if saved else position
-        self._put_position(manifest, consumer, text, batch_id)
-        if taken is not None:
-            self._put_taken(manifest, consumer, taken)
+            entry["nets"] += [net.result()]
+            if periods:
+                part = periods.result()
+                entry = manifest["history"].setdefault(name, {"now": [], "closed": []})
+                entry["now"] += [part]
+                entry["closed"] += [part] if part["rows"] else []
+        self._put_position(manifest, consumer, saved.result() if saved else position, batch_id)
+        if runs:
+            manifest["consumers"][consumer]["taken"] = runs.result()
         self._publish(manifest)
 
-    def _write_net(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> tuple[str, int]:
-        net = net_changes(batch, [spec.key], self._image(spec), spec.version)
+    def _write_net(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> dict:
+        net = net_changes(batch, [BUCKET, spec.key], self._image(spec), spec.version)
         columns = [f.name for f in self._net_schema(spec)]
-        return self._write(net.select(*columns), spec.name, manifest["version"])
-
-    def _write_periods(self, manifest: dict, spec: TableSpec, batch: DataFrame) -> tuple[str, int]:
-        touched = batch.select(spec.key).distinct()
-        before = self.open_periods(spec.name, touched, manifest)
-        periods = status_periods(batch, [spec.key], spec.tracked, open_periods=before)
-        ended = F.col("valid_to").isNotNull()
+        return self._write(net.select(*columns, BUCKET), spec.name, manifest["version"], by=[BUCKET])
+
+    def _write_periods(
+        self, manifest: dict, spec: TableSpec, batch: DataFrame, touched: DataFrame, buckets: Collection[int]
+    ) -> dict:
+        keys = [BUCKET, spec.key]
+        before = self.open_periods(spec.name, touched, manifest, buckets)
+        # Dealt like the batch, so the two are put together without another shuffle of it.
+        periods = status_periods(batch, keys, spec.tracked, open_periods=self._together(before))
+        ended, seeded = F.col("valid_to").isNotNull(), F.col(SEEDED)
         # An open period the batch leaves as it was is not said again.
-        said = periods.withColumn("ended", ended).filter(ended | ~F.col(SEEDED))
+        kinds = F.array(F.when(ended, F.lit(CLOSED)), F.when(ended == seeded, F.lit(NOW)))
+        said = periods.withColumn(KIND, F.explode(F.array_compact(kinds))).drop(SEEDED)
         name = self._history_name(spec.name)
-        return self._write(said, name, manifest["version"], by=["ended"])
+        return self._write(said, name, manifest["version"], by=[KIND, BUCKET], counted=f"{KIND} = '{CLOSED}'")
 
-    # ---- compaction --------------------------------------------------------------
+    def _write_taken(self, manifest: dict, consumer: str, numbers: DataFrame, before: DataFrame | None) -> str:
+        """The reader's runs with the numbers of a batch; there is one row per run, whatever was taken."""
+        runs = joined_runs(numbers, before)
+        return self._write(runs, f"{consumer}_taken", manifest["version"])["path"]
 
-    def due(self, name: str) -> str | None:
-        """What is worth doing: "base" (rewrite it), "fold" (join newest parts) or nothing.
+    def changes_of_versions(self, name: str, older: int, newer: int) -> DataFrame:
+        """The change log that turns one version's rows into a later one's: ``op, key, columns.., version``.
 
-        A base is rewritten only once the nets have grown with it, whatever the
-        number of batches; until then small parts are joined into bigger ones.
+        It comes from the nets written in between: they are folded, and only the older version's
+        buckets that have any are read, for the keys the nets speak of. Where a base was rewritten by a reload
+        in between, the two versions are compared instead.
         """
-        manifest = self.current()
-        entry = manifest["tables"].get(name, {"base": [], "nets": []})
-        base, nets = (sum(n for _, n in entry[k]) for k in ("base", "nets"))
-        if nets > max(FEW_NET_ROWS, base * REBASE_SHARE):
-            return "base"
-        batches = manifest["history"].get(name, {}).get("batches", [])
-        return "fold" if newest_run(entry["nets"]) or newest_run(batches) else None
+        spec, before, after = self.specs[name], self.at(older), self.at(newer)
+        nets = [n for n in self._nets_between(name, older, newer) if n["buckets"]]
+        image, keys = spec.image_names, [BUCKET, spec.key]
+        if any(n["path"] is None for n in nets):
+            return changes_between(self.table(name, before), self.table(name, after), spec.key, image)
+        buckets = {b for n in nets for b in n["buckets"]}
+        said = self._read(name, nets, self._net_schema(spec))
+        net = fold_nets(said, keys, self._image(spec), spec.version)
+        old = self._rows(name, before, buckets).join(lookup_side(net.select(*keys)), keys, "left_semi")
+        new = merge_net(old, net, keys, self._image(spec), spec.version)
+        return changes_between(old.drop(BUCKET), new.drop(BUCKET), spec.key, image)
+
+    def _nets_between(self, name: str, older: int, newer: int) -> Iterator[dict]:
+        """Nets of the versions after ``older`` up to ``newer``; a reload has none, so it gives a part without path."""
+        for version in range(older + 1, newer + 1):
+            entry = self.at(version)["tables"].get(name, {"base": [], "nets": []})
+            yield from (n for n in entry["nets"] if n["batch"] == version)
+            if any(p["batch"] == version and not p.get("compacted") for p in entry["base"]):
+                yield {"path": None, "buckets": [0]}
+
+    # ---- compaction and retention ------------------------------------------------------
 
     def compact(self, names: Sequence[str] | None = None) -> None:
-        """New bases out of bases and nets; periods closed since then become one part."""
-        manifest = self._next()
-        before = self.current()
-        for name in names or list(self.specs):
-            spec = self.specs[name]
-            if name in before["tables"]:
-                self._put_base(manifest, name, self.table(name, before))
-            entry = before["history"].get(name, {})
-            if spec.tracked and entry.get("batches"):
-                closed = entry["closed"]
-                fresh = self._periods(spec, entry, ["batches"]).filter("ended").drop(BATCH)
-                path, n = self._write(
-                    fresh, self._history_name(name), manifest["version"], by=["ended"]
-                )
-                still = self.open_periods(name, manifest=before).withColumn(
-                    "valid_to", F.lit(None).cast(self._period_schema(spec)["valid_to"].dataType)
-                )
-                self._put_open(manifest, spec, still)
-                manifest["history"][name]["closed"] = [*closed, *([[path, n]] if n else [])]
-        self._publish(manifest)
+        """New base rows and open periods for the buckets that have batches; closed periods become one part.
 
-    def fold(self, names: Sequence[str] | None = None) -> None:
-        """Join the newest parts of like size; bases and older parts stay as they are."""
-        manifest = self._next()
+        Buckets without batches keep their files. A plain join and write per table.
+        """
+        manifest, before = self._next(), self.current()
         version = manifest["version"]
         for name in names or list(self.specs):
-            spec = self.specs[name]
-            entry = manifest["tables"].get(name, {"nets": []})
-            run = newest_run(entry["nets"])
-            if run:
-                paths = [p for p, _ in entry["nets"][-run:]]
-                nets = self._read(name, paths, self._net_schema(spec))
-                net = fold_nets(nets, [spec.key], self._image(spec), spec.version)
-                columns = [f.name for f in self._net_schema(spec)]
-                part = self._write(net.select(*columns), name, version)
-                entry["nets"][-run:] = [list(part)]
-            entry = manifest["history"].get(name, {"batches": []})
-            run = newest_run(entry["batches"])
-            if run:
-                rows = self._periods(spec, {"batches": entry["batches"][-run:]}, ["batches"])
-                # Ended periods all stay; of the open ones only those open after the last batch.
-                still = self._last_said(spec, rows).withColumns(
-                    {
-                        "valid_to": F.lit(None).cast(rows.schema["valid_to"].dataType),
-                        SEEDED: F.lit(False),
-                        "ended": F.lit(False),
-                    }
-                )
-                joined = rows.filter("ended").drop(BATCH).unionByName(still)
-                part = self._write(joined, self._history_name(name), version, by=["ended"])
-                entry["batches"][-run:] = [list(part)]
+            spec, entry = self.specs[name], before["tables"].get(name, {"nets": []})
+            touched = {b for p in entry["nets"] for b in p["buckets"]}
+            if touched:
+                rows = self._dealt(self.table(name, before, touched), spec.key)
+                part = {**self._write(rows, name, version, by=[BUCKET]), "compacted": True}
+                manifest["tables"][name] = {"base": [*_without(entry["base"], touched), part], "nets": []}
+            said = before["history"].get(name, {"now": [], "closed": []})
+            fresh = [p for p in said["closed"] if not p.get("joined")]
+            touched = _in_several(said["now"])
+            if not touched and len(fresh) < 2:
+                continue
+            schema, history = self._period_schema(spec), self._history_name(name)
+            closed = self._read(history, fresh, schema, None, CLOSED).drop(BATCH).withColumn(KIND, F.lit(CLOSED))
+            still = self.open_periods(name, manifest=before, buckets=touched).withColumns(
+                {"valid_to": F.lit(None).cast(schema["valid_to"].dataType), KIND: F.lit(NOW)}
+            )
+            both = closed.unionByName(still).repartition(KIND, BUCKET)
+            part = self._write(both, history, version, by=[KIND, BUCKET], counted=f"{KIND} = '{CLOSED}'")
+            joined = [p for p in said["closed"] if p.get("joined")]
+            now = {**part, "buckets": sorted(touched & set(part["buckets"])), "cut": True}
+            manifest["history"][name] = {
+                "now": [*_without(said["now"], touched), *([now] if now["buckets"] else [])],
+                "closed": [*joined, *([{**part, "joined": True}] if part["rows"] else [])],
+            }
         self._publish(manifest)
+
+    def expire(self, keep: int = 1) -> int:
+        """Delete manifests before the last ``keep`` and every folder none of those lists; returns how many folders.
+
+        For when nobody reads an older version and no batch is under way.
+        """
+        numbers = self.versions()
+        listed = {p for v in numbers[-keep:] for p in _paths(self.at(v))}
+        for version in numbers[:-keep]:
+            self.files.remove(self._manifest_path(version))
+        gone = [f"{self.root}/_landed/{n}" for n in self.files.names(f"{self.root}/_landed")]
+        for name in self.files.names(self.root):
+            for batch in self.files.names(f"{self.root}/{name}") if not name.startswith("_") else ():
+                folder = f"{self.root}/{name}/{batch}"
+                gone += [p for a in self.files.names(folder) if (p := f"{folder}/{a}") not in listed]
+        for path in gone:
+            self.files.remove(path)
+        return len(gone)
+
+
+def _without(parts: Sequence[dict], buckets: set[int]) -> list[dict]:
+    """Parts less some buckets; a part that has none left is not listed."""
+    cut = [{**p, "buckets": sorted(set(p["buckets"]) - buckets), "cut": True} for p in parts]
+    return [p if buckets.isdisjoint(p["buckets"]) else c for p, c in zip(parts, cut, strict=True) if c["buckets"]]
+
+
+def _in_several(parts: Sequence[dict]) -> set[int]:
+    """Buckets that more than one part has."""
+    counts = Counter(b for p in parts for b in p["buckets"])
+    return {b for b, n in counts.items() if n > 1}
+
+
+def _paths(manifest: dict) -> Iterator[str]:
+    for entry in [*manifest["tables"].values(), *manifest["history"].values()]:
+        yield from (p["path"] for parts in entry.values() for p in parts)
+    yield from (c["taken"] for c in manifest["consumers"].values() if c.get("taken"))

@@ -27,25 +27,27 @@ def typed_batches(changes: DataFrame, specs: Sequence[TableSpec]) -> dict[str, D
 
 
 def sync_once(store: Store, capture: Capture, source: Source) -> bool:
-    """One poll of a reading method into the store.
+    """One poll of a reading method into the store; fails on a source that lacks what the method reads.
 
-    The source is read once: the poll is landed in the store's folder, and the rows applied,
-    the position and the numbers taken all come from the landed copy and are committed
+    The source is read once: the poll is landed in the store's folder. The position and the buckets it touches are
+    taken from it while it is written, the rows applied and the numbers taken from the landed copy, and all are committed
     together. A poll that dies before the commit is read again, one after it is not.
     """
+    capture.install(source)
     taken = store.taken(capture.name)
-    if taken is not None:
-        both = taken if source.taken is None else taken.union(source.taken.select("seq"))
-        source = replace(source, taken=both)
-    poll = capture.poll(source, store.position(capture.name))
-    with store.land(capture.name, poll.changes) as rows:
-        poll = poll.landed(rows)
-        batches = typed_batches(rows, list(store.specs.values()))
-        if "sent" in rows.columns:
-            batches = {n: restored(df, store.specs[n], store.table(n)) for n, df in batches.items()}
-        return store.apply(
-            batches, capture.name, poll.position_text, taken=capture.ack(poll), landed=True
-        )
+    poll = capture.poll(source if taken is None else replace(source, taken=taken), store.position(capture.name))
+    specs = list(store.specs.values())
+    lies_in = {f"in_{i}": store.touched(s, "pk", F.col("tbl") == s.name) for i, s in enumerate(specs)}
+    with store.land(capture.name, poll.changes, position=poll.top, **lies_in) as landed:
+        changes = landed.rows.filter(F.col("tbl").isNotNull())
+        buckets = {s.name: landed.facts.get(f"in_{i}") or [] for i, s in enumerate(specs)}
+        batches = typed_batches(changes, specs)
+        if "sent" in changes.columns:
+            batches = {
+                n: restored(df, store.specs[n], store.table(n, buckets=buckets[n])) for n, df in batches.items() if buckets[n]
+            }
+        position = landed.facts.get("position", store.position(capture.name))
+        return store.apply(batches, capture.name, position, taken=capture.ack(changes), buckets=buckets)
 
 
 def landed_log(
@@ -65,14 +67,14 @@ def start_sync(
     to_changes: Callable[[DataFrame], Mapping[str, DataFrame]],
     position: Column,
     checkpoint: str,
-    compact_when_due: bool = True,
+    compact_every: int | None = 8,
 ) -> StreamingQuery:
     """Apply every micro-batch of a landed log to the store, until it has caught up.
 
     ``to_changes`` turns a micro-batch into typed changes per table; ``position``
     is an aggregate over the micro-batch, saved as text with the data. The
     checkpoint re-delivers a batch after a crash, the store's batch number makes
-    the second delivery a no-op.
+    the second delivery a no-op. A table with ``compact_every`` batches since it was last compacted is compacted.
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
@@ -81,13 +83,11 @@ def start_sync(
             return top if top is not None else store.position(consumer)
 
         applied = store.apply(to_changes(batch), consumer, newest, batch_id)
-        if applied and compact_when_due:
-            for name in store.specs:
-                due = store.due(name)
-                if due == "base":
-                    store.compact([name])
-                elif due == "fold":
-                    store.fold([name])
+        if applied and compact_every:
+            tables = store.current()["tables"]
+            due = [n for n in store.specs if len(tables.get(n, {"nets": ()})["nets"]) >= compact_every]
+            if due:
+                store.compact(due)
 
     return (
         stream.writeStream.foreachBatch(apply_batch)
