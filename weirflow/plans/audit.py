@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirflow.operators.changes import change_time
-from weirflow.operators.history import status_periods
+from weirflow.model import DELETE, POS, POS_HI, POS_LO
+from weirflow.operators.history import SEEDED
+from weirflow.operators.ordered import OrderedGroups
 from weirflow.plans.replay import KEYS, METHOD_NAMES, classify
 
 
@@ -36,32 +36,44 @@ def truth_counts(
 ) -> DataFrame:
     """Ground truth of a complete log: ``status_periods, transitions, inserted, deleted, late_keys``.
 
-    Keys in ``initial`` (tbl, pk, status, valid_from) are open before the log. A
+    Keys in ``initial`` (tbl, pk, status) are there before the log. One shuffle and sort of the log. A
     transition is a change of status of an existing row, an insertion a row that
     appears, a deletion a row that goes.
     """
-    changes = log.select(
+    removed = F.col("op") == DELETE
+    events = log.select(
         *KEYS,
-        "op",
-        F.col(status),
-        change_time("op", "updated_at", "changed_at").alias("ts"),
-        F.col("commit_lsn").alias("pos_hi"),
-        F.col("seq").alias("pos_lo"),
+        F.col("commit_lsn").alias(POS_HI),
+        F.col("seq").alias(POS_LO),
+        F.when(~removed, F.col(status)).alias("s"),
+        F.when(~removed, True).alias("there"),
+        (F.lit(None).cast("bigint") if late is None else F.when(late, F.col("txid"))).alias("late_txid"),
+        F.lit(False).alias(SEEDED),
     )
-    periods = status_periods(changes, KEYS, status, open_periods=initial)
-    totals = periods.agg(
-        F.count(F.lit(1)).alias("status_periods"),
-        F.count_if(~F.col("seeded")).alias("new_periods"),
-    )
-    parts = [totals, _row_moves(changes, initial)]
-    if late is not None:
-        parts.append(
-            log.filter(late).select(*KEYS, "txid").distinct().agg(F.count(F.lit(1)).alias("late_keys"))
+    if initial is not None:
+        first = F.lit(-1).cast("bigint")
+        events = events.unionByName(
+            initial.select(
+                *KEYS, first.alias(POS_HI), first.alias(POS_LO), F.col(status).alias("s"), F.lit(True).alias("there"),
+                F.lit(None).cast("bigint").alias("late_txid"), F.lit(True).alias(SEEDED),
+            )
         )
-    # One-row results side by side: stacked with NULLs, then added up.
-    counts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    sums = counts.agg(*[F.sum(c).alias(c) for c in counts.columns])
-    return sums.select(
+    # One look back tells all: a period begins where the status changes, a row where it was not there, and a key's changes
+    # of one transaction follow each other in commit order.
+    groups = OrderedGroups(events, KEYS, POS)
+    state = F.struct("s", "there", "late_txid")
+    looked = groups.close(groups.with_previous(groups.frame, state, "_prev"))
+    fresh = ~F.col(SEEDED)
+    begins = F.col("s").isNotNull() & ~F.col("s").eqNullSafe(F.col("_prev.s"))
+    there, was_there = F.col("there").isNotNull(), F.col("_prev.there").isNotNull()
+    counts = looked.agg(
+        F.count_if(begins).alias("status_periods"),
+        F.count_if(begins & fresh).alias("new_periods"),
+        F.count_if(there & ~was_there & fresh).alias("inserted"),
+        F.count_if(~there & was_there).alias("deleted"),
+        F.count_if(F.col("late_txid").isNotNull() & ~F.col("late_txid").eqNullSafe(F.col("_prev.late_txid"))).alias("late_keys"),
+    )
+    return counts.select(
         "status_periods",
         (F.col("new_periods") - F.col("inserted")).alias("transitions"),
         "inserted",
@@ -70,19 +82,6 @@ def truth_counts(
     )
 
 
-def _row_moves(changes: DataFrame, initial: DataFrame | None) -> DataFrame:
-    """How many rows appeared and went: existence as a status of its own."""
-    exists = changes.withColumn("_there", F.lit("row"))
-    seeds = None
-    if initial is not None:
-        seeds = initial.select(*KEYS, F.lit("row").alias("_there"), "valid_from")
-    lives = status_periods(exists, KEYS, "_there", open_periods=seeds)
-    return lives.agg(
-        F.count_if(~F.col("seeded")).alias("inserted"),
-        F.count_if(F.col("valid_to").isNotNull()).alias("deleted"),
-    )
-
-
 def history_completeness(recorded: DataFrame, true_periods: DataFrame) -> DataFrame:
     """``method, recorded, true_periods, pct, lost`` from one row per method and one true count."""
     rec, tru = F.col("recorded"), F.col("true_periods")
