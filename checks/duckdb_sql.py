@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks import fixtures as fx
-from checks.spark_queries import LAG_POSITIONS, MARK, POLL, SPLIT_POLL, SYNC_POLLS
+from checks.spark_queries import LAG_POSITIONS, MARK, POLL, SNAPSHOT_POLL, SPLIT_POLL, SYNC_POLLS
 
 LOG = f"l as ({fx.in_sql(fx.LOG_SQL)})"
 HOT_LOG = f"l as ({fx.in_sql(fx.HOT_LOG_SQL)})"
@@ -127,6 +127,69 @@ union all select 'period', tbl, pk, status, null, valid_from, valid_to from peri
 union all select 'position', '{consumer}', null, {position}, null, null, null from l"""
 
 
+TWO_TABLES = "case when pk % 2 = 0 then 'users' else 'visits' end"
+
+
+def synced_by(method: str, position: str) -> str:
+    """The same for a method that loses changes: what it captures when it reads at those polls."""
+    first, second, _ = SYNC_POLLS
+    return f"""
+with l0 as ({fx.in_sql(fx.LOG_SQL)}),
+l as (select * replace ({TWO_TABLES} as tbl,
+        case when poll_no <= {first} then 1 when poll_no <= {second} then 2 else 3 end as poll_no) from l0),
+{CAPTURED}, c as (select * from captured where method = '{method}'),
+{survivors("c", "tbl, pk", "status, amount_cents, updated_at")}, {periods("c", "tbl, pk")}
+select 'row' as kind, tbl, pk, status, amount_cents, updated_at as valid_from, cast(null as timestamp) as valid_to
+from rows_left
+union all select 'period', tbl, pk, status, null, valid_from, valid_to from periods
+union all select 'position', '{method}', null, {position}, null, null, null from c"""
+
+
+# Two tables as they were at a poll (init), the log after it (l), and where each method starts.
+SNAPSHOT = f"""
+l0 as (select * replace ({TWO_TABLES} as tbl) from ({fx.in_sql(fx.LOG_SQL)}) x),
+init as (
+  select tbl, pk, status, amount_cents, updated_at from (
+    select *, row_number() over (partition by tbl, pk order by commit_lsn desc, seq desc) as r
+    from l0 where poll_no <= {SNAPSHOT_POLL}) q
+  where r = 1 and op <> 'D'
+),
+l as (select * from l0 where poll_no > {SNAPSHOT_POLL}),
+starts as (
+  select max(seq) as seq0, max(commit_lsn) as lsn0, (select max(updated_at) from init) as mark0
+  from l0 where poll_no <= {SNAPSHOT_POLL}
+)"""
+# Rows of the copy as the first changes of every method, then what each captures behind its start.
+CAPTURED_AFTER = f"""
+{SURFACED}, {POLLS}, {MARKS},
+methods as (select unnest(['high_watermark', 'sequence', 'queue', 'commit_order']) as method),
+read as (
+  select 'commit_order' as method, tbl, pk, {OP} as op, status, amount_cents, updated_at, {TS} as ts, commit_lsn as a, seq as b
+  from l, starts where commit_lsn > lsn0
+  union all
+  select 'queue', tbl, pk, {OP}, status, amount_cents, updated_at, {TS}, poll_no, seq from l
+  union all
+  select 'sequence', tbl, pk, {OP}, status, amount_cents, updated_at, {TS}, l.poll_no, seq
+  from l join prev_seq p on l.poll_no = p.poll_no, starts where seq > greatest(coalesce(p.prev_max_seq, seq0), seq0)
+  union all
+  select 'high_watermark', tbl, pk, 'U', status, amount_cents, updated_at, {TS}, s.poll_no, seq
+  from surfaced s join prev_mark p on s.poll_no = p.poll_no, starts
+  where updated_at > greatest(coalesce(p.prev_mark, mark0), mark0)
+),
+captured as (
+  select * from read
+  union all
+  select method, tbl, pk, 'U', status, amount_cents, updated_at, updated_at, -1, -1 from init, methods
+)"""
+# The two tables and their histories after the whole log, from the copy on.
+AFTER_SNAPSHOT = f"""
+c as (
+  select tbl, pk, {OP} as op, status, amount_cents, updated_at, {TS} as ts, commit_lsn as a, seq as b from l
+  union all
+  select tbl, pk, 'U', status, amount_cents, updated_at, updated_at, -1, -1 from init
+), {survivors("c", "tbl, pk", "status, amount_cents, updated_at")}, {periods("c", "tbl, pk")}"""
+
+
 APPLIED = """
 seeded as (
   select pk, -1 as a, 0 as b, 'U' as op, status, updated_at from stored
@@ -182,6 +245,13 @@ where poll_no <= {POLL} and seq > (select max(seq) from l where poll_no < {POLL}
 with {LOG}
 select tbl, {OP} as op, pk, {TS} as ts, seq as pos_hi, seq, status, amount_cents, updated_at from l
 where poll_no = {POLL}""",
+    "queue_poll_intervals": f"""
+with {LOG}
+select tbl, {OP} as op, pk, {TS} as ts, seq as pos_hi, seq, status, amount_cents, updated_at from l
+where poll_no = {POLL}""",
+    "taken_runs": f"""
+with {LOG}, n as (select seq, seq - row_number() over (order by seq) as run from l where poll_no between 0 and {POLL})
+select min(seq) as low, max(seq) as high from n group by run""",
     "commit_order_poll": f"""
 with {LOG}
 select tbl, {OP} as op, pk, {TS} as ts, commit_lsn as pos_hi, seq as pos_lo, status, amount_cents, updated_at
@@ -235,6 +305,7 @@ select pk, status, valid_from from periods
 where valid_to is null and pk in (select pk from c where a = {SPLIT_POLL} + 1)""",
     "history_across_batches": f"with {LOG}, {QUEUE_ORDER}, {periods('c', 'pk')} select * from periods",
     "replica_diff": f"with {PAIR} {DIFF}",
+    "replica_diff_buckets": f"with {PAIR} {DIFF}",
     "rows_wrong": f"""
 with {PAIR}, report as ({DIFF}) select cast(sum(missing + stale + ghost) as bigint) as rows_wrong from report""",
     "wrong_by_method": f"""
@@ -285,6 +356,39 @@ select w.method, a.n as changes_applied, source_rows, missing, stale, ghost,
 from wrong w
 join (select method, cast(count(*) as bigint) as n from captured group by method) a on w.method = a.method
 join ({COUNTED_PERIODS}) p on w.method = p.method""",
+    "replay_from_snapshot": f"""
+with {SNAPSHOT}, {CAPTURED_AFTER}, {REPLICAS}, {HISTORIES},
+truth as (
+  select * from (
+    select tbl, pk, op, status, amount_cents, updated_at, ts, a, b,
+           row_number() over (partition by tbl, pk order by a desc, b desc) as r
+    from (select tbl, pk, {OP} as op, status, amount_cents, updated_at, {TS} as ts, commit_lsn as a, seq as b from l
+          union all select tbl, pk, 'U', status, amount_cents, updated_at, updated_at, -1, -1 from init) y
+  ) q where r = 1 and op <> 'D'
+),
+expected as (select m.method, t.tbl, t.pk, t.status, t.amount_cents, t.updated_at from truth t, methods m),
+wrong as (
+  select coalesce(t.method, r.method) as method, coalesce(t.tbl, r.tbl) as tbl, count(t.pk) as source_rows,
+         count(*) filter (where r.pk is null) as missing,
+         count(*) filter (where r.pk is not null and t.pk is not null
+           and (t.status is distinct from r.status or t.amount_cents is distinct from r.amount_cents
+                or t.updated_at is distinct from r.updated_at)) as stale,
+         count(*) filter (where t.pk is null) as ghost
+  from expected t full join replicas r on t.method = r.method and t.tbl = r.tbl and t.pk = r.pk group by 1, 2
+)
+select w.method, w.tbl, coalesce(a.n, 0) as changes_applied, source_rows, missing, stale, ghost,
+       missing + stale + ghost as rows_wrong, coalesce(p.periods, 0) as periods
+from wrong w
+left join (select method, tbl, count(*) as n from read group by 1, 2) a on w.method = a.method and w.tbl = a.tbl
+left join (select method, tbl, count(*) as periods from histories group by 1, 2) p on w.method = p.method and w.tbl = p.tbl""",
+    "truth_after_snapshot": f"""
+with {SNAPSHOT}, {AFTER_SNAPSHOT},
+alive as (select tbl, pk, op, 'row' as status, ts, a, b from c), {periods('alive', 'tbl, pk', 'lives')}
+select (select count(*) from periods) as status_periods,
+       (select count(*) from periods) - (select count(*) from lives) as transitions,
+       (select count(*) from lives) - (select count(*) from init) as inserted,
+       (select count(*) from lives where valid_to is not null) as deleted,
+       (select count(*) from (select distinct tbl, pk, txid from l where commit_lsn % 2 = 1) q) as late_keys""",
     "capture_miss_audit": f"""
 with {LOG}, {SURFACED}, {POLLS}, {MARKS},
 numbered as (
@@ -348,7 +452,10 @@ from l group by 1, 2, 3""",
     "messages_to_replica": f"""
 with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
     "message_sync": f"""
-with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
+with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")}
+select * from rows_left
+union all
+select null, printf('%X/%X', (max(commit_lsn) + 1) >> 32, (max(commit_lsn) + 1) & 4294967295), null, null from l""",
     "message_poll": f"""
 with {LOG}
 select case when op = 'D' then 'D' else 'U' end as op, pk, commit_lsn as pos_hi, status,
@@ -372,6 +479,32 @@ select 'period', pk, status, null, valid_from, valid_to from periods""",
     "sync_commit_order_store": synced(
         "commit_order", "commit_lsn", "upper(format('{:x}/{:x}', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295))"
     ),
+    "sync_high_watermark_store": synced_by("high_watermark", "strftime(max(updated_at), '%Y-%m-%dT%H:%M:%S.%f')"),
+    "sync_sequence_store": synced_by("sequence", "cast(max(seq) as varchar)"),
+    "bucketed_sync": f"""
+with {SNAPSHOT}, {AFTER_SNAPSHOT}
+select 'row' as kind, tbl, pk, status, amount_cents, updated_at as valid_from, cast(null as timestamp) as valid_to
+from rows_left
+union all select 'period', tbl, pk, status, null, valid_from, valid_to from periods
+union all select 'position', 'commit_order', null,
+  upper(format('{{:x}}/{{:x}}', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295)), null, null, null from l""",
+    "stateful_history": f"""
+with l as ({fx.in_sql(fx.LOG_SQL)}),
+c as (
+  select pk, {OP} as op, status, {TS} as ts, poll_no as a, seq as b from l where poll_no > {SNAPSHOT_POLL}
+  union all
+  select pk, 'U', status, updated_at, -1, -1 from (
+    select *, row_number() over (partition by pk order by commit_lsn desc, seq desc) as r
+    from l where poll_no <= {SNAPSHOT_POLL}) q
+  where r = 1 and op <> 'D'
+), {periods('c', 'pk')} select * from periods""",
+    "changes_of_versions": f"""
+with {SNAPSHOT}, {AFTER_SNAPSHOT}
+select case when i.pk is null then 'I' when r.pk is null then 'D' else 'U' end as op, coalesce(i.tbl, r.tbl) as tbl,
+       coalesce(i.pk, r.pk) as pk, r.status, r.amount_cents, r.updated_at
+from init i full join rows_left r on i.tbl = r.tbl and i.pk = r.pk
+where i.pk is null or r.pk is null or i.status is distinct from r.status
+   or i.amount_cents is distinct from r.amount_cents or i.updated_at is distinct from r.updated_at""",
     "report_as_json": f"with {LOG}, {POLLS} select poll_no, max_seq, prev_max_seq from prev_seq",
     "key_uniqueness": """
 select l_orderkey, l_linenumber, cast(count(*) as bigint) as n_rows from lineitem group by 1, 2

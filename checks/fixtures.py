@@ -84,7 +84,7 @@ def in_sql(text: str) -> str:
 SCHEMA_NAME, RELATION_ID = "shop", 16400
 
 
-def _int(value, size: int):
+def int_bytes(value, size: int):
     """Big-endian two's complement of ``size`` bytes."""
     col = value if not isinstance(value, int) else F.lit(value)
     digits = F.right(F.lpad(F.hex(col.cast("bigint")), 16, "0"), F.lit(size * 2))
@@ -97,7 +97,7 @@ def _bytes(text: str):
 
 def _value(col):
     raw = col.cast("string").cast("binary")
-    sent = F.concat(_bytes("t"), _int(F.length(raw), 4), raw)
+    sent = F.concat(_bytes("t"), int_bytes(F.length(raw), 4), raw)
     return F.when(col.isNull(), _bytes("n")).otherwise(sent)
 
 
@@ -107,7 +107,7 @@ def message_table(log: DataFrame) -> DataFrame:
     Message numbers come from the commit position, so no numbering pass is
     needed: Begin at 0, Relation at 1, rows from 2, Commit at 15 of 16 places.
     """
-    count = _int(4, 2)
+    count = int_bytes(4, 2)
     nothing = F.concat(_bytes("n"), _bytes("n"), _bytes("n"))
     key_only = F.concat(_bytes("K"), count, _value(F.col("pk")), nothing)
     updated = F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
@@ -116,7 +116,7 @@ def message_table(log: DataFrame) -> DataFrame:
     image = F.concat(
         _bytes("N"), count, _value(F.col("pk")), _value(F.col("status")), amount, _value(updated)
     )
-    rel = _int(RELATION_ID, 4)
+    rel = int_bytes(RELATION_ID, 4)
     with_old = (F.col("op") == "U") & (F.col("seq") % 5 == 0)
     body = (
         F.when(F.col("op") == "D", F.concat(_bytes("D"), rel, key_only))
@@ -135,17 +135,17 @@ def message_table(log: DataFrame) -> DataFrame:
     opening = lookup_side(log.groupBy("poll_no").agg(F.min("commit_lsn").alias("opening_lsn")))
     first = F.col("commit_lsn") == F.col("opening_lsn")
     column = lambda flag, name, oid: F.concat(
-        _int(flag, 1), _bytes(name + "\0"), _int(oid, 4), _int(-1, 4)
+        int_bytes(flag, 1), _bytes(name + "\0"), int_bytes(oid, 4), int_bytes(-1, 4)
     )
     relation = F.concat(
         _bytes("R"), rel, _bytes(f"{SCHEMA_NAME}\0users\0d"), count,
         column(1, "pk", 20), column(0, "status", 25),
         column(0, "amount_cents", 20), column(0, "updated_at", 1114),
     )
-    begin = F.concat(_bytes("B"), _int(F.col("commit_lsn"), 8), _int(server_us, 8), _int(F.col("txid"), 4))
+    begin = F.concat(_bytes("B"), int_bytes(F.col("commit_lsn"), 8), int_bytes(server_us, 8), int_bytes(F.col("txid"), 4))
     commit = F.concat(
-        _bytes("C"), _int(0, 1), _int(F.col("commit_lsn"), 8),
-        _int(F.col("commit_lsn") + 1, 8), _int(server_us, 8),
+        _bytes("C"), int_bytes(0, 1), int_bytes(F.col("commit_lsn"), 8),
+        int_bytes(F.col("commit_lsn") + 1, 8), int_bytes(server_us, 8),
     )
     frames = tx.join(opening, "poll_no").select("*", first.alias("first")).select(
         F.col("poll_no").alias("batch_id"),

@@ -22,8 +22,9 @@ from weirflow.plans import audit, replay
 from weirflow.session import materialize, shared_folder
 from weirflow.sources import capture as cap
 from weirflow.sources import messages as msg
+from weirflow.sources import runs
 from weirflow.sources.snapshot import declared_columns, load_tables
-from weirflow.streaming import sync
+from weirflow.streaming import stateful, sync
 from weirflow.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,6 +164,25 @@ def queue_poll(spark: SparkSession, d: str) -> DataFrame:
     return ch.canonical_changes(read, ["seq"], keep=["seq", *COLUMNS]).drop(POS_LO)
 
 
+@query
+def queue_poll_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The same poll with the numbers taken before kept as runs."""
+    log = _log(spark, d)
+    taken = materialize(runs.joined_runs(cap.visible(log, POLL - 1)), "taken")
+    read = runs.outside_runs(cap.visible(log, POLL), taken)
+    return ch.canonical_changes(read, ["seq"], keep=["seq", *COLUMNS]).drop(POS_LO)
+
+
+@query
+def taken_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of three polls as runs, each joined to those of the polls before."""
+    log, taken = _log(spark, d), None
+    for low, high in ((-1, 1), (1, 4), (4, POLL)):
+        seen = log.filter((F.col("poll_no") > low) & (F.col("poll_no") <= high))
+        taken = materialize(runs.joined_runs(seen, taken), "taken")
+    return taken
+
+
 @query
 def commit_order_poll(spark: SparkSession, d: str) -> DataFrame:
     log = _log(spark, d)
@@ -350,6 +370,19 @@ def replica_diff(spark: SparkSession, d: str) -> DataFrame:
     return _report(spark, d)
 
 
+@query
+def replica_diff_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same report, rows compared only where sums over parts of the keys differ."""
+    source, copy = _pair(spark, d)
+    customers = fx.table(spark, d, "customer")
+    kept = customers.filter(F.col("c_custkey") % 5 != 0)
+    parts = [
+        cmp.diff_by_parts(source, copy, ["o_orderkey"], _PAIR_COLUMNS).withColumn("tbl", F.lit("orders")),
+        cmp.diff_by_parts(kept, customers, ["c_custkey"], ["c_name"]).withColumn("tbl", F.lit("customer")),
+    ]
+    return ch.union_tables(parts)
+
+
 @query
 def rows_wrong(spark: SparkSession, d: str) -> DataFrame:
     return cmp.rows_wrong(_report(spark, d))
@@ -411,6 +444,35 @@ def replay_four_policies(spark: SparkSession, d: str) -> DataFrame:
     return replay.score_methods(_log(spark, d), COLUMNS)
 
 
+SNAPSHOT_POLL = 3
+
+
+def _two_tables(log: DataFrame) -> DataFrame:
+    return log.withColumn("tbl", F.when(F.col("pk") % 2 == 0, "users").otherwise("visits"))
+
+
+def _snapshot(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two tables as they were at a poll, and the log before and after it."""
+    log = _two_tables(_log(spark, d))
+    before = cap.visible(log, SNAPSHOT_POLL)
+    initial = materialize(replay.latest_images(before, replay.KEYS, IMAGE), "initial")
+    return initial, before, log.filter(F.col("poll_no") > SNAPSHOT_POLL)
+
+
+@query
+def replay_from_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """All methods from a copy of two tables on, with one mark for both."""
+    initial, before, later = _snapshot(spark, d)
+    starts = replay.starts_after(initial, before)
+    return replay.score_tables(later, COLUMNS, initial=initial, starts=starts)
+
+
+@query
+def truth_after_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    initial, _, later = _snapshot(spark, d)
+    return audit.truth_counts(later, initial=initial, late=F.col("commit_lsn") % 2 == 1)
+
+
 @query
 def capture_miss_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.capture_audit(_log(spark, d)).drop("tbl")
@@ -509,16 +571,34 @@ def messages_to_replica(spark: SparkSession, d: str) -> DataFrame:
     return up.net_rows(up.net_changes(changes, ["pk"], COLUMNS), ["pk"], IMAGE)
 
 
+def _unlisted_commit(messages: DataFrame) -> DataFrame:
+    """One more poll of one transaction that changes nothing: Begin and Commit at a position of their own."""
+    last = messages.agg((F.max("batch_id") + 1).alias("batch_id"), (F.floor(F.max("msg_no") / 16) + 1).alias("at"))
+    place, at = F.col("at") * 16, F.col("at")
+    begin = F.concat(F.lit("B").cast("binary"), fx.int_bytes(at, 8), fx.int_bytes(0, 8), fx.int_bytes(1, 4))
+    commit = F.concat(F.lit("C").cast("binary"), fx.int_bytes(0, 1), fx.int_bytes(at, 8), fx.int_bytes(at + 1, 8), fx.int_bytes(0, 8))
+    both = F.array(F.struct(place.alias("msg_no"), begin.alias("data")), F.struct((place + 15).alias("msg_no"), commit.alias("data")))
+    return last.select("batch_id", lsn.format_lsn("at").alias("lsn"), F.inline(both)).select(*messages.columns)
+
+
 @query
 def message_sync(spark: SparkSession, d: str) -> DataFrame:
-    """The same rows by the reading method: polled into a store at a few positions, values restored from it."""
+    """The same rows by the reading method: polled into a store at a few positions, values restored from it.
+
+    The last transaction has no captured change; the position, the row with key NULL, moves past it all the same.
+    """
     log = _log(spark, d)
     store = Store(spark, _new_folder(spark, "messages"), [USERS])
     messages = _messages(log)
+    messages = messages.unionByName(_unlisted_commit(messages))
     for poll in SYNC_POLLS:
         landed = messages.filter(F.col("batch_id") <= poll)
-        sync.sync_once(store, msg.MessageLog(), cap.Source({"users": USERS}, log=landed))
-    return store.table("users").select("pk", *IMAGE)
+        sync.sync_once(store, cap.METHODS["messages"](), cap.Source({"users": USERS}, log=landed))
+    saved = store.consumers().select(
+        F.lit(None).cast("bigint").alias("pk"), F.col("position").alias("status"),
+        F.lit(None).cast("bigint").alias("amount_cents"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    )
+    return store.table("users").select("pk", *IMAGE).unionByName(saved)
 
 
 @query
@@ -598,21 +678,53 @@ def stream_apply(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(periods)
 
 
+@query
+def stateful_history(spark: SparkSession, d: str) -> DataFrame:
+    """The history of a streamed log from the copy on, open periods in the state store, over restarts of the stream."""
+    folder = _new_folder(spark, "stateful")
+    log = _log(spark, d)
+    before = cap.visible(log, SNAPSHOT_POLL)
+    initial = replay.latest_images(before, ["pk"], IMAGE).withColumnRenamed("updated_at", "valid_from")
+    initial = materialize(initial, "initial")
+    spark.conf.set(*stateful.PROVIDER)
+    for low, high in ((SNAPSHOT_POLL, 7), (7, 1 << 62)):
+        part = log.filter((F.col("poll_no") > low) & (F.col("poll_no") <= high))
+        part.write.mode("append").parquet(f"{folder}/landed")
+        changes = _queue_changes(sync.landed_log(spark, f"{folder}/landed", log.schema))
+        ended = stateful.closed_periods(changes, "pk", initial=initial)
+        sync.catch_up(stateful.start_history(ended, f"{folder}/closed", f"{folder}/checkpoint"))
+    return stateful.history(spark, f"{folder}/closed", f"{folder}/checkpoint", "pk", "timestamp_ntz")
+
+
 VISITS = replace(USERS, name="visits")
 
 
 def _synced(spark: SparkSession, d: str, method: str) -> DataFrame:
     """Two tables polled into a store by one reader, the last poll twice: rows, periods and position."""
-    table = F.when(F.col("pk") % 2 == 0, "users").otherwise("visits")
-    log = _log(spark, d).withColumn("tbl", table)
-    log = log.withColumn("row_data", F.when(F.col("op") != "D", doc.row_document(["pk", *IMAGE])))
-    specs = {"users": USERS, "visits": VISITS}
-    store = Store(spark, _new_folder(spark, f"sync-{method}"), list(specs.values()))
+    log = _two_tables(_log(spark, d))
+    store = Store(spark, _new_folder(spark, f"sync-{method}"), list(SPECS.values()))
     for poll in (*SYNC_POLLS, SYNC_POLLS[-1]):
-        sync.sync_once(store, cap.METHODS[method](), cap.Source(specs, log=cap.visible(log, poll)))
+        sync.sync_once(store, cap.METHODS[method](), _source_at(log, poll))
+    return _contents(store)
+
+
+SPECS = {"users": USERS, "visits": VISITS}
+
+
+def _source_at(log: DataFrame, poll: int) -> cap.Source:
+    """What a reader sees at a poll: the two tables as they are, and the visible log with documents."""
+    seen = cap.visible(log, poll)
+    rows = replay.latest_images(seen, replay.KEYS, IMAGE)
+    tables = {n: rows.filter(F.col("tbl") == n).drop("tbl") for n in SPECS}
+    document = F.when(F.col("op") != "D", doc.row_document(["pk", *IMAGE]))
+    return cap.Source(SPECS, tables, seen.withColumn("row_data", document))
+
+
+def _contents(store: Store) -> DataFrame:
+    """Rows, periods and positions of a store in one result."""
     parts = []
     nothing = {"bigint": F.lit(None).cast("bigint"), "time": F.lit(None).cast("timestamp_ntz")}
-    for name in specs:
+    for name in SPECS:
         parts += [
             store.table(name).select(
                 F.lit("row").alias("kind"), F.lit(name).alias("tbl"), "pk", "status", "amount_cents",
@@ -641,6 +753,45 @@ def sync_commit_order_store(spark: SparkSession, d: str) -> DataFrame:
     return _synced(spark, d, "commit_order")
 
 
+@query
+def sync_high_watermark_store(spark: SparkSession, d: str) -> DataFrame:
+    return _synced(spark, d, "high_watermark")
+
+
+@query
+def sync_sequence_store(spark: SparkSession, d: str) -> DataFrame:
+    return _synced(spark, d, "sequence")
+
+
+def _synced_from_snapshot(spark: SparkSession, d: str, folder: str) -> Store:
+    """A store of many buckets that begins with a copy, is synced twice and compacted in between."""
+    initial, before, _ = _snapshot(spark, d)
+    store = Store(spark, _new_folder(spark, folder), list(SPECS.values()), buckets=24)
+    start = before.agg(lsn.format_lsn(F.max("commit_lsn")).alias("p")).first()["p"]
+    tables = {n: initial.filter(F.col("tbl") == n).drop("tbl") for n in SPECS}
+    store.bootstrap(tables, {"commit_order": start})
+    log = _two_tables(_log(spark, d))
+    for poll in SYNC_POLLS[1:]:
+        sync.sync_once(store, cap.METHODS["commit_order"](), _source_at(log, poll))
+        if poll == SYNC_POLLS[1]:
+            store.compact()
+    return store
+
+
+@query
+def bucketed_sync(spark: SparkSession, d: str) -> DataFrame:
+    return _contents(_synced_from_snapshot(spark, d, "bucketed"))
+
+
+@query
+def changes_of_versions(spark: SparkSession, d: str) -> DataFrame:
+    """What changed since the copy, from the nets of the syncs and over a compaction."""
+    store = _synced_from_snapshot(spark, d, "versions")
+    last = store.versions()[-1]
+    parts = [store.changes_of_versions(n, 1, last).withColumn("tbl", F.lit(n)) for n in SPECS]
+    return ch.union_tables(parts)
+
+
 @query
 def report_as_json(spark: SparkSession, d: str) -> DataFrame:
     """A report written as JSON lines and read back."""
