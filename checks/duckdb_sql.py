@@ -488,6 +488,12 @@ from rows_left
 union all select 'period', tbl, pk, status, null, valid_from, valid_to from periods
 union all select 'position', 'commit_order', null,
   upper(format('{{:x}}/{{:x}}', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295)), null, null, null from l""",
+    "stream_lag": f"""
+with {LOG}, chunks as (select case when poll_no <= 3 then 0 when poll_no <= 7 then 1 else 2 end as batch_id, commit_lsn from l),
+tops as (select batch_id, max(commit_lsn) as position from chunks group by batch_id)
+select batch_id, position, (select max(commit_lsn) from l) as end_lsn, (select max(commit_lsn) from l) - position as lag_bytes,
+       (select count(*) from l where commit_lsn > position) as unread
+from tops""",
     "stateful_history": f"""
 with l as ({fx.in_sql(fx.LOG_SQL)}),
 c as (

@@ -24,7 +24,7 @@ from weirflow.sources import capture as cap
 from weirflow.sources import messages as msg
 from weirflow.sources import runs
 from weirflow.sources.snapshot import declared_columns, load_tables
-from weirflow.streaming import stateful, sync
+from weirflow.streaming import lag, stateful, sync
 from weirflow.streaming.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -678,6 +678,33 @@ def stream_apply(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(periods)
 
 
+LAG_CHUNKS = ((-1, 3), (3, 7), (7, 1 << 62))
+
+
+@query
+def stream_lag(spark: SparkSession, d: str) -> DataFrame:
+    """A running sync's lag after each of its batches, noted while it ran."""
+    folder, log = _new_folder(spark, "lag"), _log(spark, d)
+    for low, high in LAG_CHUNKS:
+        part = log.filter((F.col("poll_no") > low) & (F.col("poll_no") <= high))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/landed")
+    store = Store(spark, f"{folder}/store", [USERS])
+    notes = lag.LagNotes(spark, store.root, "reader")
+    stream = sync.landed_log(spark, f"{folder}/landed", log.schema, files_per_batch=1)
+    spark.streams.addListener(notes)
+    try:
+        sync.catch_up(
+            sync.start_sync(
+                lag.observed(stream, F.max("commit_lsn")), store, "reader",
+                lambda batch: {"users": _commit_changes(batch)}, F.max("commit_lsn"), f"{folder}/checkpoint",
+            )
+        )
+        lag.settled(notes, len(LAG_CHUNKS))
+    finally:
+        spark.streams.removeListener(notes)
+    return lag.lag_by_batch(spark, store.root, "reader", spark.read.schema(log.schema).parquet(f"{folder}/landed"))
+
+
 @query
 def stateful_history(spark: SparkSession, d: str) -> DataFrame:
     """The history of a streamed log from the copy on, open periods in the state store, over restarts of the stream."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow.model import DELETE, POS, POS_HI, POS_LO
 from weirflow.operators.history import SEEDED
 from weirflow.operators.ordered import OrderedGroups
+from weirflow.operators.ranks import values_at_ranks
 from weirflow.plans.replay import KEYS, METHOD_NAMES, classify
 
 
@@ -124,16 +124,11 @@ def consumer_lag(log: DataFrame, positions: Mapping[str, int]) -> DataFrame:
 def poll_statistics(sizes: DataFrame, value: str = "n_changes", by: Sequence[str] = ()) -> DataFrame:
     """``by.., polls, median, p95, total`` over one row per poll.
 
-    p95 is the sorted value at floor(0.95 * (n - 1)), no interpolation.
+    p95 is the sorted value at floor(0.95 * (n - 1)), no interpolation; the median of an even number is halfway
+    between the two in the middle. Polls are counted, not sorted, whatever their number.
     """
-    ranked = W.partitionBy(*by).orderBy(value, "poll_no")
-    whole = W.partitionBy(*by)
-    numbered = sizes.withColumn("_rank", F.row_number().over(ranked) - 1).withColumn(
-        "_pick", F.floor((F.count(F.lit(1)).over(whole) - 1) * F.lit(0.95))
-    )
-    return numbered.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("polls"),
-        F.median(value).alias("median"),
-        F.max(F.when(F.col("_rank") == F.col("_pick"), F.col(value))).alias("p95"),
-        F.sum(value).alias("total"),
-    )
+    last = F.col("n") - 1
+    ranks = {"p95": F.floor(last * F.lit(0.95)), "lower": F.floor(last / 2), "upper": F.ceil(last / 2)}
+    found = values_at_ranks(sizes, value, ranks, by)
+    middle = (F.col("lower").cast("double") + F.col("upper")) / 2
+    return found.select(*by, F.col("n").alias("polls"), middle.alias("median"), "p95", "total")

@@ -78,11 +78,13 @@ def start_sync(
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        def newest() -> str | None:
-            top = batch.agg(position.cast("string").alias("p")).first()["p"]
-            return top if top is not None else store.position(consumer)
-
-        applied = store.apply(to_changes(batch), consumer, newest, batch_id)
+        # Landed once, as it came: everything below reads that copy.
+        with store.land(consumer, batch, position=position.cast("string")) as landed:
+            changes = to_changes(landed.rows)
+            buckets = {n: df.agg(store.touched(store.specs[n])).first()[0] for n, df in changes.items()}
+            top = landed.facts.get("position")
+            saved = store.position(consumer) if top is None else top
+            applied = store.apply(changes, consumer, saved, batch_id, buckets=buckets)
         if applied and compact_every:
             tables = store.current()["tables"]
             due = [n for n in store.specs if len(tables.get(n, {"nets": ()})["nets"]) >= compact_every]
