@@ -444,6 +444,14 @@ select poll_no as batch_id, txid as xid, commit_lsn, max(changed_at) over (parti
        case when op = 'D' or (op = 'U' and seq % 11 = 0) then 0 else 1 end as amount_sent,
        case when op <> 'D' then updated_at end as updated_at,
        case when op = 'D' or (op = 'U' and seq % 5 = 0) then pk end as old_pk
+from l""",
+    "pgoutput_decode_ranges": f"""
+with {LOG}
+select cast(0 as bigint) as batch_id, txid as xid, commit_lsn, max(changed_at) over (partition by txid) as commit_ts,
+       tbl, op, pk, status, case when op = 'U' and seq % 11 = 0 then null else amount_cents end as amount_cents,
+       case when op = 'D' or (op = 'U' and seq % 11 = 0) then 0 else 1 end as amount_sent,
+       case when op <> 'D' then updated_at end as updated_at,
+       case when op = 'D' or (op = 'U' and seq % 5 = 0) then pk end as old_pk
 from l""",
     "decoded_transactions": f"""
 with {LOG}
@@ -456,6 +464,11 @@ with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")}
 select * from rows_left
 union all
 select null, printf('%X/%X', (max(commit_lsn) + 1) >> 32, (max(commit_lsn) + 1) & 4294967295), null, null from l""",
+    "message_source_stream": f"""
+with {LOG}, {FILLED}, {survivors("c", "pk", "status, amount_cents, updated_at")}
+select * from rows_left
+union all
+select null, printf('%X/%X', max(commit_lsn) >> 32, max(commit_lsn) & 4294967295), null, null from l""",
     "message_poll": f"""
 with {LOG}
 select case when op = 'D' then 'D' else 'U' end as op, pk, commit_lsn as pos_hi, status,

@@ -21,8 +21,9 @@ from weirflow.operators import upsert as up
 from weirflow.plans import audit, replay
 from weirflow.session import materialize, shared_folder
 from weirflow.sources import capture as cap
+from weirflow.sources import landed as landed_source
 from weirflow.sources import messages as msg
-from weirflow.sources import runs
+from weirflow.sources import ranges, runs
 from weirflow.sources.snapshot import declared_columns, load_tables
 from weirflow.streaming import lag, stateful, sync
 from weirflow.streaming.store import Store
@@ -538,7 +539,17 @@ def pg_epoch(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pgoutput_decode(spark: SparkSession, d: str) -> DataFrame:
-    decoded = msg.decode_messages(_messages(_log(spark, d)))
+    return _decoded_columns(msg.decode_messages(_messages(_log(spark, d))))
+
+
+@query
+def pgoutput_decode_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log as one poll, decoded by many tasks."""
+    messages = _messages(_log(spark, d)).withColumn("batch_id", F.lit(0).cast("bigint"))
+    return _decoded_columns(ranges.decode_ranges(messages, ranges=16))
+
+
+def _decoded_columns(decoded: DataFrame) -> DataFrame:
     new, old = F.col("new"), F.col("old")
     key = F.coalesce(F.try_element_at(new, F.lit("pk")), F.try_element_at(old, F.lit("pk")))
     return decoded.select(
@@ -601,6 +612,29 @@ def message_sync(spark: SparkSession, d: str) -> DataFrame:
     return store.table("users").select("pk", *IMAGE).unionByName(saved)
 
 
+@query
+def message_source_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows by a stream over the messages' own source, offsets being commit positions; two runs."""
+    folder, messages = _new_folder(spark, "source"), _messages(_log(spark, d))
+    store = Store(spark, f"{folder}/store", [USERS])
+    landed_source.register(spark)
+
+    def changes(batch: DataFrame) -> dict[str, DataFrame]:
+        typed = materialize(msg.decoded_changes(msg.decode_messages(batch), USERS), "decoded")
+        return {"users": msg.restored(typed, USERS, store.table("users"))}
+
+    for poll in SYNC_POLLS[1:]:
+        landed_source.land_polls(messages.filter(F.col("batch_id") <= poll), f"{folder}/messages")
+        stream = spark.readStream.format(landed_source.FORMAT).load(f"{folder}/messages")
+        newest = lsn.format_lsn(F.max(lsn.parse_lsn("lsn")))
+        sync.catch_up(sync.start_sync(stream, store, "messages", changes, newest, f"{folder}/checkpoint"))
+    saved = store.consumers().select(
+        F.lit(None).cast("bigint").alias("pk"), F.col("position").alias("status"),
+        F.lit(None).cast("bigint").alias("amount_cents"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+    )
+    return store.table("users").select("pk", *IMAGE).unionByName(saved)
+
+
 @query
 def message_poll(spark: SparkSession, d: str) -> DataFrame:
     """Messages visible at a poll, read above the position the poll before ended with."""

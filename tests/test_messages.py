@@ -19,6 +19,7 @@ from weirflow.sources.messages import (
     poll_messages,
     transactions,
 )
+from weirflow.sources.ranges import decode_ranges, last_relations
 from weirflow.streaming import sync
 from weirflow.streaming.store import Store
 
@@ -87,9 +88,9 @@ def test_other_message_kinds_are_skipped(spark):
 @pytest.mark.parametrize(
     "messages, text",
     [
-        ([wire.relation(), wire.insert("1", "x")], "outside a transaction"),
-        ([wire.commit()], "outside a transaction"),
-        ([wire.begin(), wire.relation(), wire.commit(), wire.insert("1", "x")], "outside"),
+        ([wire.relation(), wire.insert("1", "x")], "no Begin is open"),
+        ([wire.commit()], "no Begin is open"),
+        ([wire.begin(), wire.relation(), wire.commit(), wire.insert("1", "x")], "no Begin"),
         ([wire.begin(), wire.relation(), wire.insert("1", "x")], "without commit"),
         ([wire.begin(), wire.insert("1", "x"), wire.commit()], "not announced"),
         ([wire.begin(), wire.relation(), wire.insert("1", "x")[:-1], wire.commit()], "ends inside a value"),
@@ -131,6 +132,35 @@ def test_polls_too_big_for_one_task(spark, sf_dir):
     assert transactions(whole).agg({"n_changes": "sum"}).first()[0] == 1000
 
 
+@pytest.mark.parametrize("cut", [1, 7, 40])
+def test_ranges_give_what_windows_give(spark, sf_dir, cut):
+    messages = fx.message_table(fx.derive(spark, sf_dir, fx.LOG_SQL))
+    columns = ["batch_id", "msg_no", "xid", "commit_lsn", "lsn", "tbl", "op", "new", "old"]
+
+    def as_text(df):
+        return sorted(str(tuple(r)) for r in df.select(*columns).collect())
+
+    assert as_text(decode_ranges(messages, ranges=cut, commits=True)) == as_text(decode_messages(messages, commits=True))
+
+
+def test_ranges_fail_as_windows_do(spark):
+    for messages, text in (
+        ([wire.begin(), wire.commit(), wire.insert("1", "x"), wire.begin(), wire.commit()], "no Begin"),
+        ([wire.begin(), wire.relation(), wire.insert("1", "x")], "without commit"),
+        ([wire.begin(), wire.insert("1", "x"), wire.commit()], "not announced"),
+    ):
+        with pytest.raises(Exception, match=text):
+            decode_ranges(wire.landed(spark, *messages), ranges=3).collect()
+    assert decode_ranges(wire.landed(spark, wire.begin(), wire.commit()).limit(0)).collect() == []
+
+
+def test_relations_of_earlier_polls_are_known(spark):
+    first = wire.landed(spark, wire.begin(), wire.relation(), wire.insert("1", "x"), wire.commit())
+    second = wire.landed(spark, wire.begin(), wire.insert("2", "y"), wire.commit(), batch=2)
+    got = decode_ranges(second, last_relations(first), ranges=2).collect()
+    assert [(r.tbl, sorted(r.new.values())) for r in got] == [("orders", ["2", "y"])]
+
+
 SPEC = TableSpec("t", "id", (("id", "bigint"), ("a", "string"), ("b", "string")))
 
 

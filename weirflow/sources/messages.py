@@ -200,8 +200,8 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: b
 
     ``batch_id, msg_no, lsn, xid, commit_lsn, commit_ts, schema_name, tbl, op,
     new, old, key_columns``; ``lsn`` is the commit message's. Fails on a change or
-    commit outside a transaction, on a transaction without its commit in the
-    poll, and on a relation the poll did not announce before.
+    commit without a Begin, on a transaction without its commit in the
+    poll, and on a relation the poll did not announce before. See ``sources.ranges`` for polls of any size.
     """
     parsed = parse_messages(messages).withColumn("rel_id", F.col("body.rel_id"))
     groups = OrderedGroups(parsed, ["batch_id"], ["msg_no"], hot_rows)
@@ -216,6 +216,12 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: b
         looked, F.when(frame, F.struct("kind", "lsn", "commit_lsn", "commit_us")), "_commit"
     )
     looked = groups.with_previous(looked, relation, "_rel", within=["rel_id"])
+    return as_changes(groups.close(looked), commits)
+
+
+def as_changes(looked: DataFrame, commits: bool = False) -> DataFrame:
+    """Parsed messages that know their transaction and relation (``_begin, _commit, _rel``) as row changes."""
+    kind = F.col("kind")
     row = kind.isin(*ROW_KINDS)
 
     def fail(text: str) -> Column:
@@ -225,7 +231,7 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: b
     checked = (
         F.when(
             (row | (kind == COMMIT)) & ~F.col("_begin.kind").eqNullSafe(BEGIN),
-            fail("change or commit outside a transaction"),
+            fail("no Begin is open for a row or Commit"),
         )
         .when(row & ~F.col("_commit.kind").eqNullSafe(COMMIT), fail("transaction without commit"))
         .when(row & F.col("_rel").isNull(), fail("change of a table not announced in this poll"))
@@ -234,7 +240,7 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: b
     # A commit's own values, or those of the commit a row is followed by.
     ends = {c: F.when(kind == COMMIT, F.col(c)).otherwise(F.col(f"_commit.{c}")) for c in ("lsn", "commit_lsn", "commit_us")}
     own = {c: F.when(row, F.col(f"_rel.{c}")) for c in ("schema_name", "table_name")}
-    return groups.close(looked).filter(checked).select(
+    return looked.filter(checked).select(
         "batch_id",
         "msg_no",
         ends["lsn"].alias("lsn"),

@@ -7,10 +7,12 @@ appended to files by the stream; the open ones are read from the state (``open_f
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from weirflow.model import DELETE, POS, POS_HI, POS_LO
 
+# The processor travels with the job: executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # transformWithState keeps its state in this provider.
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
