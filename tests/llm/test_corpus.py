@@ -310,6 +310,50 @@ def test_a_page_of_comments_does_not_open_them_for_its_host(rows):
     assert extracted_pages(rows, [page.replace("{}", s, 1) for s in said]) == {i: [s] for i, s in enumerate(said)}
 
 
+def numbered(pattern, n=10):
+    return [re.sub(r"\{(\w+)\}", lambda m: f"{m[1]} of page {i}, with some words of its own {i * 7}", pattern) for i in range(n)]
+
+
+HANDWRITTEN = [
+    # A heading outside of the container that holds the text; a footer nobody marked, and a list of links.
+    (
+        "<body><h1>{Title}</h1><div class=content><p>{First}</p><p>{Second} " + "and more of it " * 20 + "</p></div>"
+        "<div class=bottom-line><p>All rights reserved by nobody.</p></div><div class=more><p><a href=x>{Linked}</a></p></div>",
+        ["{Title}", "{First}", "{Second} " + ("and more of it " * 20).strip()],
+    ),
+    # Lead, body and end in containers of their own, the body holding most of the text.
+    (
+        "<div class=top><p>The same on all pages, every time.</p></div><div class=post><div class=lead><p>{Lead}</p></div>"
+        "<div class=body><p>{Body} " + "going on and on " * 60 + "</p></div><div class=end><p>{End}</p></div></div>",
+        ["{Lead}", "{Body} " + ("going on and on " * 60).strip(), "{End}"],
+    ),
+    # An article made of table cells.
+    (
+        "<table><tr><td class=m>Home</td></tr></table><table class=text><tr><td>{One} " + "in a cell " * 10 + "</td><td>{Two} " + "in a cell " * 10
+        + "</td></tr></table>",
+        ["{One} " + ("in a cell " * 10).strip(), "{Two} " + ("in a cell " * 10).strip()],
+    ),
+    # Marked parts stay out, whatever they say.
+    ("<h2>{Head}</h2><div class=text><p>{Text} " + "of an article " * 20 + "</p></div><div class=comments><p>{Comment}</p></div>", ["{Head}", "{Text} " + ("of an article " * 20).strip()]),
+]
+
+
+@pytest.mark.parametrize("case", range(len(HANDWRITTEN)))
+def test_pages_without_an_article_element_keep_what_is_their_own(rows, case):
+    pattern, want = HANDWRITTEN[case]
+    got = extracted_pages(rows, numbered(pattern))
+    wanted = [numbered(w) for w in want]
+    assert got == {i: [w[i] for w in wanted] for i in range(10)}
+
+
+def test_two_templates_of_one_host_and_repeated_pages(rows):
+    pages = numbered(HANDWRITTEN[0][0]) + numbered(HANDWRITTEN[1][0]) + numbered(HANDWRITTEN[0][0], 3)
+    got = extracted_pages(rows, pages)
+    for case, offset, n in ((0, 0, 10), (1, 10, 10), (0, 20, 3)):
+        wanted = [numbered(w) for w in HANDWRITTEN[case][1]]
+        assert {i: got[offset + i] for i in range(n)} == {i: [w[i] for w in wanted] for i in range(n)}
+
+
 def test_pages_joined_by_shuffle_and_without_rows(rows, monkeypatch):
     monkeypatch.setattr(webtext, "BROADCAST_BYTES", -1)
     pages = rows([(1, "http://a.b/c", PAGE)], "page_id long, url string, html string")

@@ -4,7 +4,8 @@ Every page scores its containers by the running text inside of them, however dee
 known by its generalised path, the tags and classes from the body down with numbers taken out,
 and every page of a host votes for those that hold its text. Pages are then extracted again by the
 winners, each standing for all that is inside of it, so a page whose own text is short or odd still
-follows its site's template.
+follows its site's template. Pages also vote on blocks: what stands beside the winner (a heading, a lead, a last part) belongs
+to the article too, unless it is marked, mostly links, or said again on other pages of the host.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from weirflow.session import materialize
 WINNING_SHARE = 0.1
 # A container holds a page with at least this share of its running text; main and article are named by the page.
 HOLDS, WHOLE_HOLDS = 0.8, 0.51
+# A block that different pages of a host have is no page's own, from this share of its pages on.
+COMMON_SHARE = 0.01
 # The table of winning paths is broadcast up to so many bytes; beyond, pages are shuffled by host.
 BROADCAST_BYTES = 8 << 20
 
@@ -238,15 +241,44 @@ class Tree:
         return n == top
 
 
-def extracted(found: list[tuple[str, str, int, tuple[int, ...]]], winners: list[bytes] | None) -> str:
-    """All blocks inside the host's best container that the page has, else inside its own best one, joined by \n."""
+def _block_digest(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
+def _beside(tree: Tree, found: list[tuple[str, str, int, tuple[int, ...]]]) -> Iterator[tuple[str, int]]:
+    """(path, digest) of blocks that may belong to an article though its container does not hold them: unmarked and not links.
+
+    None on a page that names its article by an element.
+    """
+    for path, text, linked, _ in found if not tree.named else ():
+        if 2 * linked < len(text) and tree.inside(tree.at[path], 0):
+            yield path, _block_digest(text)
+
+
+def extracted(
+    found: list[tuple[str, str, int, tuple[int, ...]]],
+    winners: list[bytes] | None,
+    usual: list[dict] | None = None,
+    common: list[int] | None = None,
+) -> str:
+    """All blocks inside the host's best container that the page has, else inside its own best one, joined by \n.
+
+    With ``usual``, the host's containers and how many pages have them, and ``common``, the digests of its common blocks, also
+    blocks beside it that are none of the latter and stand in containers that half as many pages have as have that one.
+    """
     tree = Tree(found, winners or None)
     top = tree.followed(winners) if winners else None
     if top is None:
         tree = Tree(found)
         top = tree.own()
     kept = {path for path, n in tree.at.items() if tree.inside(n, top)}
-    return "\n".join(text for path, text, *_ in found if path in kept)
+    known, own = set(common or ()), set()
+    if usual is not None:
+        pages = {u["node"]: u["pages"] for u in usual}
+        least = pages.get(tree.keys[top], 1 << 62) / 2
+        placed = ((path, d, pages.get(tree.keys[tree.at[path]], 0)) for path, d in _beside(tree, found))
+        own = {(path, d) for path, d, n in placed if d not in known and n >= least}
+    return "\n".join(text for path, text, *_ in found if path in kept or (own and (path, _block_digest(text)) in own))
 
 
 def _host():
@@ -255,59 +287,77 @@ def _host():
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """(host, node, depth, held, pages): on how many pages of a host a container is, and on how many it holds the running text.
+    """(host, node, depth, held, pages, low, high): on how many pages of a host a container is, and on how many it holds the running text.
 
-    Summed in each task before they are shuffled. Pages without running text do not vote.
+    Rows of depth -1 are blocks that may stand beside a container, by their digest: ``held`` counts their pages. ``low`` and
+    ``high`` are the least and greatest digests of the pages, which tell pages from one page repeated. Summed in each task
+    before they are shuffled. Pages without running text do not vote.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[tuple[str, bytes, int], list[int]] = defaultdict(lambda: [0, 0])
+            total: dict[tuple[str, bytes, int], list[int]] = defaultdict(lambda: [0, 0, 1 << 63, -(1 << 63)])
             for host, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tree = Tree(blocks(html))
-                for n in range(len(tree.keys)) if tree.any else ():
-                    counts = total[host, tree.keys[n], tree.depths[n]]
-                    counts[0] += tree.holds(n) or n in tree.opened
-                    counts[1] += 1
+                found = blocks(html)
+                tree = Tree(found)
+                if not tree.any:
+                    continue
+                page = _block_digest("\n".join(text for _, text, *_ in found))
+                voted = [(tree.keys[n], tree.depths[n], tree.holds(n) or n in tree.opened) for n in range(len(tree.keys))]
+                voted += [(d.to_bytes(8, "big", signed=True), -1, True) for d in {d for _, d in _beside(tree, found)}]
+                for node, depth, held in voted:
+                    counts = total[host, node, depth]
+                    counts[:] = counts[0] + held, counts[1] + 1, min(counts[2], page), max(counts[3], page)
             kinds = (pa.string(), pa.binary(), pa.int64())
             columns = [pa.array([k[i] for k in total], t) for i, t in enumerate(kinds)]
-            columns += [pa.array([c[i] for c in total.values()], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "depth", "held", "pages"])
+            columns += [pa.array([c[i] for c in total.values()], pa.int64()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "node", "depth", "held", "pages", "low", "high"])
 
     rows = pages.select(_host().alias("host"), F.col("html").cast("string")).where("host != ''")
-    found = rows.mapInArrow(run, "host string, node binary, depth long, held long, pages long")
-    return found.groupBy("host", "node", "depth").agg(F.sum("held").alias("held"), F.sum("pages").alias("pages"))
+    found = rows.mapInArrow(run, "host string, node binary, depth long, held long, pages long, low long, high long")
+    counts = [F.sum("held").alias("held"), F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high")]
+    return found.groupBy("host", "node", "depth").agg(*counts)
 
 
 def winning_paths(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
-    """(host, winners): the containers that hold the text on at least ``share`` of a host's pages and on most pages that have them.
+    """(host, winners, usual, common): the containers that hold the text on at least ``share`` of a host's pages and on most pages that have them.
 
-    The most held come first; of equals the outer one.
+    The most held come first; of equals the outer one. usual has the containers that at least
+    ``share`` of its pages have and how many do, common the digests of blocks that different pages have. Both are null where all pages are one, which cannot tell.
     """
     cast = materialize(votes(pages), "votes")
-    total = cast.where("depth = 0").select("host", F.col("pages").alias("total"))
-    best = cast.join(total, "host").where((F.col("held") >= share * F.col("total")) & (2 * F.col("held") > F.col("pages")))
+    total = cast.where("depth = 0").select("host", F.col("pages").alias("total"), (F.col("low") < F.col("high")).alias("differ"))
+    best = cast.where("depth >= 0").join(total, "host").where((F.col("held") >= share * F.col("total")) & (2 * F.col("held") > F.col("pages")))
     ranked = F.sort_array(F.collect_list(F.struct(-F.col("held"), "depth", "node")))
-    return best.groupBy("host").agg(F.transform(ranked, lambda x: x["node"]).alias("winners"))
+    paths = best.groupBy("host").agg(F.transform(ranked, lambda x: x["node"]).alias("winners"))
+    often = cast.where("depth >= 0").join(total, "host").where("differ").where(F.col("pages") >= share * F.col("total")).where("low < high")
+    usual = often.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "pages"))).alias("usual"))
+    several = cast.where("depth = -1 and low < high").join(total, "host").where(F.col("held") >= COMMON_SHARE * F.col("total"))
+    digest = F.conv(F.hex("node"), 16, -10).cast("long")
+    blocks_of = several.groupBy("host").agg(F.sort_array(F.collect_list(digest)).alias("blocks"))
+    common = F.coalesce("blocks", F.array().cast("array<long>")).alias("common")
+    return paths.join(usual, "host", "left").join(blocks_of, "host", "left").select("host", "winners", "usual", common)
 
 
 def extract(pages: DataFrame, share: float = WINNING_SHARE) -> DataFrame:
     """(page_id, url, text): the main text of each row of pages; empty where there is none.
 
     A null html is empty. Pages without a host, and pages that have none of their host's paths, use their own best container.
+    Blocks beside the container that only this page of its host has are kept in page order, unless the page names its article by an element.
     Repeated rows stay; other columns are ignored. The table of winners is broadcast if its measured size is
     at most ``BROADCAST_BYTES``; else pages are joined to it by host, where the adaptive skew join splits large hosts.
     """
     winners = materialize(winning_paths(pages, share), "winners")
-    size = winners.agg(F.sum(F.length("host") + 16 * F.size("winners") + 64)).first()[0] or 0
+    bytes_of = F.length("host") + 16 * F.size("winners") + 24 * F.coalesce(F.size("usual"), F.lit(0)) + 8 * F.size("common") + 64
+    size = winners.agg(F.sum(bytes_of)).first()[0] or 0
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), _host().alias("host"))
     joined = rows.join(F.broadcast(winners) if size <= BROADCAST_BYTES else winners, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            texts = pa.array([extracted(blocks(html), winners) for html, winners in pairs], pa.string())
+            rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)
+            texts = pa.array([extracted(blocks(html), *host) for html, *host in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], names=["page_id", "url", "text"])
 
     schema = T.StructType([*rows.select("page_id", "url").schema, T.StructField("text", T.StringType())])
-    return joined.select("page_id", "url", "html", "winners").mapInArrow(run, schema)
+    return joined.select("page_id", "url", "html", "winners", "usual", "common").mapInArrow(run, schema)
