@@ -507,6 +507,7 @@ tops as (select batch_id, max(commit_lsn) as position from chunks group by batch
 select batch_id, position, (select max(commit_lsn) from l) as end_lsn, (select max(commit_lsn) from l) - position as lag_bytes,
        (select count(*) from l where commit_lsn > position) as unread
 from tops""",
+    "redelivered_batches": f"with {LOG}, {QUEUE_ORDER}, {periods('c', 'pk')} select * from periods",
     "stateful_history": f"""
 with l as ({fx.in_sql(fx.LOG_SQL)}),
 c as (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -19,7 +18,8 @@ from weirflow.operators import history as hist
 from weirflow.operators import quality as qc
 from weirflow.operators import upsert as up
 from weirflow.plans import audit, replay
-from weirflow.session import materialize, shared_folder
+from weirflow.session import materialize
+from weirflow.session import new_folder as _new_folder
 from weirflow.sources import capture as cap
 from weirflow.sources import landed as landed_source
 from weirflow.sources import messages as msg
@@ -653,10 +653,6 @@ def message_position(spark: SparkSession, d: str) -> DataFrame:
 # ---- store and stream --------------------------------------------------------------------
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/weirflow/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query
 def full_reload_counts(spark: SparkSession, d: str) -> DataFrame:
     store = Store(spark, _new_folder(spark, "reload"), [STORED_ORDERS, STORED_CUSTOMERS])
@@ -739,6 +735,20 @@ def stream_lag(spark: SparkSession, d: str) -> DataFrame:
     return lag.lag_by_batch(spark, store.root, "reader", spark.read.schema(log.schema).parquet(f"{folder}/landed"))
 
 
+@query
+def redelivered_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of a stream given to the store again, as after a crash: a batch number counts once."""
+    store, changes = Store(spark, _new_folder(spark, "again"), [USERS]), _queue_changes(_log(spark, d))
+    low = -1
+    for number, high in enumerate((3, 7, 1 << 62)):
+        batch = materialize(changes.filter((F.col(POS_HI) > low) & (F.col(POS_HI) <= high)), "batch")
+        for again in range(2):
+            applied = store.apply({"users": batch}, "reader", str(number), number)
+            assert applied == (again == 0)
+        low = high
+    return store.history("users")
+
+
 @query
 def stateful_history(spark: SparkSession, d: str) -> DataFrame:
     """The history of a streamed log from the copy on, open periods in the state store, over restarts of the stream."""

@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from weirflow.model import DELETE, POS
 from weirflow.operators.ordered import has_hot_groups, order_struct
-from weirflow.session import hot_group_rows, materialize
+from weirflow.session import hot_group_rows, input_bytes, materialize
 
 RESET = "reset"  # the batch deleted the key at some point: the stored row is void
 LIVE = "live"  # the batch leaves a row
+# Nets whose files have up to this many bytes are broadcast past the stored rows.
+SMALL_NET_BYTES = 8 << 20
 
 
 def _last_delete(order: Sequence[str]) -> Column:
@@ -183,9 +185,14 @@ def apply_changes(
     version: str = "updated_at",
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """The table after a batch: upserts checked by version, deletes unconditional."""
-    net = net_changes(changes, keys, columns, version, hot_rows=hot_rows)
-    return merge_net(base, net, keys, columns, version)
+    """The table after a batch: upserts checked by version, deletes unconditional.
+
+    The net is written first. If its files are small it is broadcast, and the stored rows are not
+    shuffled, however many they are.
+    """
+    net = materialize(net_changes(changes, keys, columns, version, hot_rows=hot_rows), "net")
+    size = input_bytes(net)
+    return merge_net(base, net, keys, columns, version, size is not None and size <= SMALL_NET_BYTES)
 
 
 def delete_keys(base: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -99,8 +99,13 @@ def _steps_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/weirflow/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own among this session's steps, for what a job writes besides them."""
+    return f"{_steps_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def drop_steps(spark: SparkSession) -> None:
-    """Delete what ``materialize`` has written in this session; for when its results are saved."""
+    """Delete what this session has written below ``new_folder`` and by ``materialize``; for when its results are saved."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(_steps_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -113,6 +118,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     the optimizer the true size. The files stay until ``drop_steps``, as lazy results
     go on reading them.
     """
-    path = f"{_steps_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

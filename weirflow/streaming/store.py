@@ -38,6 +38,7 @@ from weirflow.operators.history import SEEDED, bootstrap_periods, status_periods
 from weirflow.operators.upsert import (
     LIVE,
     RESET,
+    SMALL_NET_BYTES,
     fold_nets,
     merge_net,
     net_changes,
@@ -51,8 +52,6 @@ BUCKET = "bucket"
 # Buckets of a new store. A batch touches at most one bucket a key, and writes a file for each it touches.
 BUCKETS = 8
 KIND, NOW, CLOSED = "kind", "now", "closed"
-# Nets whose files have up to this many bytes are broadcast past the stored rows.
-SMALL_NET_BYTES = 8 << 20
 PARALLEL_WRITES = 4
 
 
