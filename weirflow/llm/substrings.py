@@ -30,7 +30,7 @@ _STARTS = 128
 _CHUNK = 1 << 20  # bytes of a document that are hashed at a time
 _PIECES_AT_ONCE = 1 << 14
 # Different pieces with one core that one task takes together; more are cut into shorter pieces.
-MOST_PIECES = 1 << 14
+MOST_PIECES = 1 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = (1 << 24) - 1
 
@@ -94,13 +94,13 @@ def pieces(data: bytes, first: int, last: int, anchor: int, length: int) -> Iter
 
 
 def repeated_starts(
-    texts: list[bytes], left: np.ndarray, right: np.ndarray, weight: np.ndarray, length: int, starts: int
+    texts: list[bytes], left: np.ndarray, right: np.ndarray, length: int, starts: int
 ) -> np.ndarray:
     """Which starts of which pieces begin a stretch that occurs more than once: booleans (piece, column).
 
     Column by column from the right, ``order`` is the order of all pieces by their suffix from there, and ``common`` what
-    each shares with the one before it. A piece with weight 2 or more stands for as many places. Only the order and the
-    common prefixes of the last column are held.
+    each shares with the one before it. A piece that stands at several places is given twice, so that it has itself as a
+    neighbour. Only the order and the common prefixes of the last column are held.
     """
     m, width = len(texts), starts + length - 1
     grid = np.full((width, m), 256, dtype=np.uint16)  # 256: no byte here
@@ -130,7 +130,7 @@ def repeated_starts(
         if column < starts:
             own = (left[order] <= column) & (column <= right[order])
             near = common >= length
-            twice = (weight[order] > 1) | near | np.append(near[1:], False)
+            twice = near | np.append(near[1:], False)
             found[order, column] = own & twice
     return found
 
@@ -206,9 +206,11 @@ def _built(parts: DataFrame, starts: int, length: int) -> DataFrame:
             yield order(held)
 
     def order(rows: list[tuple]) -> pa.RecordBatch:
-        left, right, weight = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
-        found = repeated_starts([r[5] for r in rows], left, right, weight, length, starts)
-        spans = [_spans(f) for f in found]
+        # A copy joins every piece that stands at two places or more; what holds of one holds of all.
+        every = [*rows, *(r for r in rows if r[4] > 1)]
+        left, right = (np.array([r[i] for r in every]) for i in (2, 3))
+        found = repeated_starts([r[5] for r in every], left, right, length, starts)
+        spans = [_spans(f) for f in found[: len(rows)]]
         some = [i for i, s in enumerate(spans) if s]
         columns = [pa.array([rows[i][c] for i in some], pa.int64()) for c in (0, 1)]
         columns.append(pa.array([spans[i] for i in some], pa.list_(pa.int32())))

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.session import materialize, shared_folder
+from weirflow.session import materialize, new_folder
 
 # A package is closed and the next one begun at so many records or bytes; bounds the index a task holds.
 RECORDS_PER_PACKAGE = 20_000
@@ -229,6 +229,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for path, start, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if path != now:
+                    if file is not None:
+                        file.close()
                     now, file = path, opened(path)
                 fields, http, payload = parsed(zlib.decompress(file.read_at(length, start), 31))
                 kind = fields["warc-type"]
@@ -247,8 +249,8 @@ def read_packages(packages: DataFrame) -> DataFrame:
 
 
 def archive_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes the pages to packages in ``folder`` (else in the session's shared folder) and reads them back."""
-    target = folder or f"{shared_folder(pages.sparkSession)}/weirflow/packages-{uuid.uuid4().hex[:12]}"
+    """Writes the pages to packages in ``folder`` (else among the session's steps, which ``drop_steps`` deletes) and reads them back."""
+    target = folder or new_folder(pages.sparkSession, "packages")
     target = target if "://" in target or target.startswith("file:") else f"file://{target}"
     system, root = fs.FileSystem.from_uri(target)
     system.create_dir(root, recursive=True)
