@@ -86,7 +86,7 @@ def links(classes: DataFrame, kind: str, least: float = 0.95, shared: int = SHAR
     (rep, root) connect the same vectors as all pairs do, so a group costs rows in proportion to its vectors. A pair that
     meets in several lists counts in the first of its common ones only; ``links`` are to be summed by rep.
     """
-    sample = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vec").collect()]
+    sample = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()]
     pivots = choose_pivots(_matrix(sample, kind))
     nearest = min(nearest, len(pivots))
     shared = min(shared, nearest)
@@ -158,15 +158,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
 
     Vectors are linked at a cosine of ``least`` or more, whatever their other columns say; n_links counts the linked
     rows, component_id is the smallest vec_id reachable, kept whether the row is that one. Equal vectors meet first and
-    stand in the index once. Vectors that are null, empty, zero or hold null or non-finite components, and rows
+    stand in the index once. Rows that share a vec_id are vectors of their own, each with its own links. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without vec_id, link with nothing; so do vectors of different dimensions. Every row is indexed.
     """
     packed, kind = _packed(vectors)
     rows = materialize(packed, "vectors")
     key = F.md5("vec")
     sound = rows.where("vec is not null and vec_id is not null").select("vec_id", "vec", key.alias("md5"))
-    classes = sound.groupBy("md5").agg(F.min("vec_id").alias("rep"), F.first("vec").alias("vec"), F.count("*").alias("size"))
-    classes = materialize(classes, "classes")
+    classes = sound.groupBy("md5").agg(F.min("vec_id").alias("first_id"), F.first("vec").alias("vec"), F.count("*").alias("size"))
+    # Different vectors may share their ids, so a class has a number of its own, written down with it.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     found = None
     for row in classes.select(F.length("vec").alias("n")).distinct().orderBy("n").collect():
         of_one = materialize(links(classes.where(F.length("vec") == row["n"]), kind, least), "found")
@@ -177,12 +178,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("root is not null").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     groups = (
-        classes.select("md5", "rep", "size")
+        classes.select("md5", "rep", "size", "first_id")
         .join(counted, "rep", "left")
         .join(joined, F.col("rep") == F.col("node"), "left")
-        .select("md5", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("md5", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root"), "first_id")
     )
     groups = materialize(groups, "groups")
+    smallest = groups.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    groups = groups.join(smallest, "root").select("md5", "n_links", "component_id")
     marked = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), key).alias("md5")).join(groups, "md5", "left")
     component = F.coalesce("component_id", "vec_id")
     return marked.select(
