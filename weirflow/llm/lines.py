@@ -3,12 +3,14 @@
 One filter holds the hashes of lines seen once, the other those seen twice. Filters
 are built where the texts are read and merged page by page; only lines that the second one
 suspects are shuffled, to be confirmed by their text. A filter can only suspect too much,
-never too little, so its size decides the work and not the result.
+never too little, so its size decides the work and not the result. A corpus with more lines than a filter has
+room for is looked at in several rounds, each for a share of the hashes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from pyspark.sql import types as T
 from weirflow.session import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
-# Bits a filter has per line of the corpus, and the most it has in all: 2**28 bits are 32 MiB,
-# the bound of what is broadcast. A larger corpus gets more false suspects, all of which are checked.
+# Bits a filter has per line it may meet, and the most it has in all: 2**28 bits are 32 MiB,
+# the bound of what is broadcast. More lines take more rounds, so the share of false suspects stays.
 BITS_PER_LINE = 16
 MAX_BITS = 1 << 28
 _PAGE = 1 << 16  # bits of a page, the unit in which filters are merged
@@ -38,10 +40,12 @@ def _keys(text: str | None, shortest: int) -> set[str]:
     return {k for line in (text or "").split("\n") if (k := line_key(line, shortest)) is not None}
 
 
-def _probes(keys: Sequence[str], bits: int) -> np.ndarray:
-    """Bit numbers of each key, one column per probe."""
-    h = np.array([xxhash.xxh64_intdigest(k.encode()) for k in keys], dtype=np.uint64).reshape(-1, 1)
-    return ((h >> (np.arange(_PROBES, dtype=np.uint64) * np.uint64(32))) % np.uint64(bits)).astype(np.int64)
+def _probes(keys: Sequence[str], bits: int, part: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys belong to one of the parts of all hashes, and their bit numbers, one column per probe."""
+    h = np.array([xxhash.xxh64_intdigest(k.encode()) for k in keys], dtype=np.uint64)
+    own = np.flatnonzero((h >> np.uint64(16)) % np.uint64(parts) == part)
+    shifts = np.arange(_PROBES, dtype=np.uint64) * np.uint64(32)
+    return own, ((h[own].reshape(-1, 1) >> shifts) % np.uint64(bits)).astype(np.int64)
 
 
 def _get(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -66,8 +70,8 @@ def _page(data: bytes) -> np.ndarray:
     return page
 
 
-def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
-    """Packed bits that are set at every probe of a line key held by two documents or more.
+def repeat_filter(docs: DataFrame, bits: int, shortest: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """Packed bits that are set at every probe of a line key of one part that two documents or more hold.
 
     A task marks a key's bits in its own ``once`` filter, and in ``twice`` when they were
     marked before; merging two tasks' filters adds what both have marked once. At most
@@ -78,12 +82,12 @@ def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
         once, twice = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                probes = _probes(list(_keys(text, shortest)), bits)
+                _, probes = _probes(list(_keys(text, shortest)), bits, part, parts)
                 _put(twice, probes[_get(once, probes).all(axis=1)].ravel())
                 _put(once, probes.ravel())
         for page in np.flatnonzero(once.reshape(-1, _PAGE // 8).any(axis=1)).tolist():
-            part = slice(page * _PAGE // 8, (page + 1) * _PAGE // 8)
-            columns = [pa.array([page]), pa.array([_packed(once[part])]), pa.array([_packed(twice[part])])]
+            of_page = slice(page * _PAGE // 8, (page + 1) * _PAGE // 8)
+            columns = [pa.array([page]), pa.array([_packed(once[of_page])]), pa.array([_packed(twice[of_page])])]
             yield pa.RecordBatch.from_arrays(columns, names=["page", "once", "twice"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,25 +117,31 @@ def repeat_filter(docs: DataFrame, bits: int, shortest: int) -> np.ndarray:
 
 
 def suspects(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, key) for every line key of a document that the filter suspects in another document."""
+    """(doc_id, key) for every line key of a document that a filter suspects in another document."""
     lines = docs.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0]
     wanted = BITS_PER_LINE * (lines or 1)
-    bits = min(MAX_BITS, max(_PAGE, 1 << (wanted - 1).bit_length()))
-    seen = docs.sparkSession.sparkContext.broadcast(repeat_filter(docs, bits, shortest))
+    parts = -(-wanted // MAX_BITS)
+    bits = max(_PAGE, 1 << (-(-wanted // parts) - 1).bit_length())
+    ided = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = [_suspected(ided, repeat_filter(docs, bits, shortest, k, parts), bits, shortest, k, parts) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _suspected(ided: DataFrame, filled: np.ndarray, bits: int, shortest: int, part: int, parts: int) -> DataFrame:
+    seen = ided.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, found = [], []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 keys = list(_keys(text, shortest))
-                probes = _probes(keys, bits)
-                at = np.flatnonzero(_get(seen.value, probes).all(axis=1)).tolist()
+                own, probes = _probes(keys, bits, part, parts)
+                at = own[_get(seen.value, probes).all(axis=1)].tolist()
                 ids.extend([doc_id] * len(at))
                 found.extend(keys[i] for i in at)
             columns = [pa.array(ids, pa.int64()), pa.array(found, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key"])
 
-    ided = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     return ided.mapInArrow(run, "doc_id long, key string")
 
 
