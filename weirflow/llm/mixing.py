@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,14 +22,16 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def with_sizes(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, source, *carry, size): size counts the words of the text, none in a null text."""
+    """(doc_id, source, *carry, size, digest): size counts the words of the text, none in a null text; digest tells texts apart."""
     named = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *carry]
-    schema = T.StructType([*docs.select(*named).schema, T.StructField("size", T.LongType())])
+    schema = T.StructType([*docs.select(*named).schema, T.StructField("size", T.LongType()), T.StructField("digest", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.array([len((t or "").encode().split()) for t in batch.column(0).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes], names=schema.names)
+            texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
+            sizes = pa.array([len(t.split()) for t in texts], pa.int64())
+            digests = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], sizes, digests], names=schema.names)
 
     words = F.col("text").cast("string")
     return docs.select(words.alias("_words"), *named).mapInArrow(run, schema)
@@ -114,6 +117,31 @@ def sainte_lague_of_all(parties: DataFrame, party: str, votes: str, seats: int)
     return joined.select(party, (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota"))
 
 
+def sainte_lague_of_groups(parties: DataFrame, group: str, party: str, votes: str, seats: str) -> DataFrame:
+    """(group, party, quota) as ``sainte_lague`` gives it, for groups of any number of parties.
+
+    The quotients of all groups are ranked in one order over all tasks; a group's own ranks begin where it begins.
+    """
+    sums = parties.groupBy(F.col(group).alias("_g")).agg(F.sum(votes).alias("_votes"), F.count("*").alias("_n"))
+    joined = parties.join(sums, F.col(group) == F.col("_g"))
+    share, k, n = F.try_divide(F.col(votes), F.col("_votes")), F.col(seats), F.col("_n")
+    sure = F.greatest(F.lit(0), F.floor(share * (k - n / 2) + 0.5) - 1)
+    most = F.when(F.col(votes) > 0, F.floor(share * (k + n / 2) + 0.5) + 1).otherwise(0)
+    bounds = joined.select(group, party, votes, seats, F.coalesce(sure, F.lit(0)).cast("long").alias("sure"), most.cast("long").alias("most"))
+    bounds = materialize(bounds, "bounds")
+    candidates = bounds.where(F.col("most") > F.col("sure")).select(
+        group, party, votes, F.explode(F.sequence(F.col("sure") + 1, F.col("most"))).alias("seat")
+    )
+    places = candidates.select(group, party, (-F.col(votes) / (2 * F.col("seat") - 1)).alias("place"))
+    ranked = materialize(numbered(places, F.struct(group, "place", party), "rank"), "ranked")
+    left = bounds.groupBy(F.col(group).alias("_g")).agg((F.first(seats) - F.sum("sure")).alias("left"))
+    start = ranked.groupBy(F.col(group).alias("_s")).agg(F.min("rank").alias("start"))
+    limits = left.join(start, F.col("_g") == F.col("_s")).select("_g", (F.col("start") + F.col("left")).alias("limit"))
+    won = ranked.join(limits, F.col(group) == F.col("_g")).where("rank < limit").groupBy(group, party).agg(F.count("*").alias("won"))
+    quota = (F.col("sure") + F.coalesce("won", F.lit(0))).alias("quota")
+    return bounds.join(won, [group, party], "left").select(group, party, quota)
+
+
 def _seeded(text: Column, seed: int) -> Column:
     """A whole number below 2**60 from a seed and a text, the same in every engine that has MD5."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 15), 16, 10).cast("long")
@@ -135,7 +163,7 @@ def mix(
     q / b times and the rest spread evenly from a seeded start. ``taken`` counts the words so taken, repeats included; it is at
     most ``repeats`` times the size. The columns ``whole, first_word, extra, blocks, turn`` say which words:
     see ``taken_text``. The same rows give the same mix. Null texts have size 0, null sources are one source,
-    rows without doc_id take part under the id -1.
+    rows without doc_id are placed by their text, so they are dealt to all shards. Rows that share an id are told apart by their text.
     """
     narrow = materialize(with_sizes(docs), "sizes")
     sources = materialize(source_targets(narrow, weights, repeats), "targets")
@@ -144,7 +172,8 @@ def mix(
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("n_docs") / SHARD_DOCS))
     sources = materialize(sources.join(quotas, "sid").withColumn("shards", shards.cast("long")), "quotas")
 
-    place = _seeded(F.coalesce("doc_id", F.lit(-1)).cast("string"), seed)
+    named = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("digest").cast("string")))
+    place = _seeded(named, seed)
 
     def dealt(rows: DataFrame) -> DataFrame:
         s = sources.select(F.col("source").alias("s"), "sid", "source_size", "target", "source_quota", "shards")
@@ -153,7 +182,7 @@ def mix(
 
     words = dealt(narrow).groupBy("sid", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("seats"))
     words = materialize(words, "shards")
-    shares = sainte_lague(words, ["sid"], "shard", "words", "seats").join(words, ["sid", "shard"])
+    shares = sainte_lague_of_groups(words, "sid", "shard", "words", "seats").join(words, ["sid", "shard"])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("words") / block_words)).cast("long")
     quota = F.least("quota", repeats * F.col("blocks"))
     shares = shares.withColumn("blocks", blocks).select(
@@ -163,7 +192,7 @@ def mix(
         F.pmod(_seeded(F.concat_ws("/", "sid", "shard"), seed), "blocks").alias("turn"),
     )
     shares = materialize(shares, "shares")
-    order = Window.partitionBy("sid", "shard").orderBy("place", "doc_id", "size")
+    order = Window.partitionBy("sid", "shard").orderBy("place", "doc_id", "size", "digest")
     first = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = dealt(with_sizes(docs, carry) if carry else narrow).join(shares, ["sid", "shard"]).withColumn("first_word", first)
 
