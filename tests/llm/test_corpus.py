@@ -189,7 +189,10 @@ def test_seats_go_to_the_highest_quotients(rows):
     r = np.random.default_rng(2)
     parties = [(g, p, int(v), seats) for g, seats in ((0, 1), (1, 7), (2, 500), (3, 0)) for p, v in enumerate(r.integers(0, 1000, 9))]
     parties += [(4, 0, 10, 3), (4, 1, 10, 3), (5, 0, 0, 2)]
-    got = mixing.sainte_lague(rows(parties, "g long, p long, votes long, seats long"), ["g"], "p", "votes", "seats")
+    table = rows(parties, "g long, p long, votes long, seats long")
+    got = mixing.sainte_lague(table, ["g"], "p", "votes", "seats")
+    grouped = mixing.sainte_lague_of_groups(table, "g", "p", "votes", "seats")
+    assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, got.select("g", "p", "quota").collect()))
     want = {(g, p): 0 for g, p, _, _ in parties}
     for g in range(5):
         own = [x for x in parties if x[0] == g]
