@@ -489,6 +489,38 @@ def test_scores_of_odd_texts(rows, frequent, monkeypatch):
         assert r["base_score"] == pytest.approx(base) and -math.inf < r["score"] < 0
 
 
+@pytest.mark.parametrize("frequent", [hmm.FREQUENT, 4])
+def test_score_is_the_likelihood_of_the_whole_text(rows, frequent, monkeypatch):
+    """The forward recursion over every word's class, times the word's share of its class, one text at a time."""
+    monkeypatch.setattr(hmm, "FREQUENT", frequent)
+    trained = []
+    train = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: (trained.append((train(*a), a[1])), trained[-1][0])[1])
+    docs = list(enumerate([*ODD[:9], "b a c A zz", "Z z é ß a", "unseen words here", "a a a b b zz zz c"]))
+    got = {r["doc_id"]: r["score"] for r in hmm.score(rows(docs, "doc_id long, text string")).collect()}
+    [(model, class_n)] = trained
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
+    tokens = {i: [w.encode() for w in brute.WORD.findall((t or "").translate(brute.UPPER))] for i, t in docs}
+    c = Counter(w for i, x in tokens.items() if not held[i] for w in x)
+    steps = sorted({math.floor(8 * math.log2(n)) for n in c.values()}, reverse=True)
+    top: list[bytes] = []
+    for step in steps:
+        more = [w for w, n in c.items() if math.floor(8 * math.log2(n)) == step]
+        if len(top) + len(more) > frequent:
+            break
+        top += more
+    top.sort(key=lambda w: (-c[w], w.decode()))
+    class_of = {w: i if i < hmm.OWN_CLASS else hmm.shared_class(w) for i, w in enumerate(top)}
+    kinds = Counter(class_of.get(w, hmm.shared_class(w)) for w in c)
+    for i, words in tokens.items():
+        classes = [class_of.get(w, hmm.shared_class(w)) for w in words]
+        want = forward(model, [*classes, hmm.END])
+        for w, k in zip(words, classes, strict=True):
+            if k >= hmm.OWN_CLASS:
+                want += math.log10((c[w] + 1) / (class_n[k] + kinds[k] + 1))
+        assert got[i] == pytest.approx(want, rel=1e-6), i
+
+
 def test_score_query_beats_the_base_on_held_out_texts(spark, sf_dir):
     got = queries.QUERIES["op6_hmm_scores"](spark, sf_dir).toPandas()
     docs = duckdb.sql(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall()
