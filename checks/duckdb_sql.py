@@ -296,6 +296,9 @@ select * from rows_left""",
 with {LOG}, {QUEUE_ORDER}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
     "scd2_history": f"with {LOG}, {COMMIT_ORDER}, {periods('c', 'pk')} select * from periods",
     "scd2_history_busy_keys": f"with {HOT_LOG}, {COMMIT_ORDER}, {periods('c', 'pk')} select * from periods",
+    "scd2_history_split": f"with {HOT_LOG}, {COMMIT_ORDER}, {periods('c', 'pk')} select * from periods",
+    "net_of_hot_keys": f"""
+with {HOT_LOG}, {QUEUE_ORDER}, {survivors("c", "pk", "status, amount_cents, updated_at")} select * from rows_left""",
     "open_periods": f"""
 with {LOG}, {COMMIT_ORDER}, {periods('c', 'pk')}
 select pk, status, valid_from from periods where valid_to is null""",
@@ -394,6 +397,18 @@ with {LOG}, {SURFACED}, {POLLS}, {MARKS},
 numbered as (
   select *, row_number() over (partition by tbl, pk, poll_no order by commit_lsn desc, seq desc) as r from l
 )
+select l.pk, l.seq, l.poll_no,
+       case when op = 'D' then 'delete' when r > 1 then 'superseded'
+            when m.prev_mark is not null and updated_at <= m.prev_mark then 'late' else 'captured' end
+         as high_watermark,
+       case when p.prev_max_seq is not null and seq <= p.prev_max_seq then 'late' else 'captured' end as sequence,
+       'captured' as queue, 'captured' as commit_order
+from numbered l join prev_seq p on l.poll_no = p.poll_no join prev_mark m on l.poll_no = m.poll_no""",
+    "capture_miss_audit_split": f"""
+with {HOT_LOG}, {SURFACED}, {POLLS}, {MARKS},
+numbered as (
+  select *, row_number() over (partition by tbl, pk, poll_no order by commit_lsn desc, seq desc) as r from l
+)
 select l.pk, l.seq, l.poll_no,
        case when op = 'D' then 'delete' when r > 1 then 'superseded'
             when m.prev_mark is not null and updated_at <= m.prev_mark then 'late' else 'captured' end

@@ -313,6 +313,24 @@ def scd2_history_busy_keys(spark: SparkSession, d: str) -> DataFrame:
     return hist.status_periods(changes, ["pk"]).drop("seeded")
 
 
+# Rows from which on a group counts as hot in the queries below, so that small inputs take that way too.
+HOT_ROWS = 50
+
+
+@query
+def scd2_history_split(spark: SparkSession, d: str) -> DataFrame:
+    """Busy keys cut in reading order, as if each were too big for one task."""
+    changes = _commit_changes(_log(spark, d, hot=True))
+    return hist.status_periods(changes, ["pk"], hot_rows=HOT_ROWS).drop("seeded")
+
+
+@query
+def net_of_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Upserts of busy keys, reduced behind a broadcast last delete."""
+    net = up.net_changes(_queue_changes(_log(spark, d, hot=True)), ["pk"], COLUMNS, hot_rows=HOT_ROWS)
+    return up.net_rows(net, ["pk"], IMAGE)
+
+
 @query
 def open_periods(spark: SparkSession, d: str) -> DataFrame:
     return hist.still_open(scd2_history(spark, d)).drop("valid_to")
@@ -479,6 +497,11 @@ def capture_miss_audit(spark: SparkSession, d: str) -> DataFrame:
     return audit.capture_audit(_log(spark, d)).drop("tbl")
 
 
+@query
+def capture_miss_audit_split(spark: SparkSession, d: str) -> DataFrame:
+    return audit.capture_audit(_log(spark, d, hot=True), hot_rows=HOT_ROWS).drop("tbl")
+
+
 @query
 def capture_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return audit.audit_counts(audit.capture_audit(_log(spark, d)))

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tests.sequential import fold_periods
 from weirflow.functions.documents import (
     clock_text,
     document_fields,
@@ -33,23 +34,18 @@ from weirflow.operators.quality import (
 )
 
 
-def test_three_moves_and_a_delete_in_one_batch(spark):
-    steps = [("U", "pending"), ("U", "shipped"), ("U", "delivered"), ("D", None)]
-    rows = [
-        (10**9, op, i, 0, datetime(2026, 1, 1, i + 1), status)
-        for i, (op, status) in enumerate(steps)
-    ]
-    changes = spark.createDataFrame(
-        rows, "order_id bigint, op string, pos_hi bigint, pos_lo bigint, ts timestamp, status string"
-    )
-    got = status_periods(changes, ["order_id"]).orderBy("valid_from").select(
-        "status", clock_text("valid_from", "+00:00"), clock_text("valid_to", "+00:00")
-    )
-    assert [tuple(r) for r in got.collect()] == [
-        ("pending", "01:00:00", "02:00:00"),
-        ("shipped", "02:00:00", "03:00:00"),
-        ("delivered", "03:00:00", "04:00:00"),
-    ]
+# An order that moves three times and is deleted within one batch.
+MOVES = [("U", "pending"), ("U", "shipped"), ("U", "delivered"), ("D", None)]
+
+
+def test_moves_and_a_delete_in_one_batch_equal_a_fold(spark):
+    events = [(10**9, op, datetime(2026, 1, 1, hour), status) for hour, (op, status) in enumerate(MOVES, 1)]
+    rows = [(pk, op, place, 0, ts, status) for place, (pk, op, ts, status) in enumerate(events)]
+    schema = "order_id bigint, op string, pos_hi bigint, pos_lo bigint, ts timestamp, status string"
+    got = status_periods(spark.createDataFrame(rows, schema), ["order_id"]).drop("seeded")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == fold_periods(events)
+    ends = got.filter("status = 'delivered'").select(clock_text("valid_from", "+00:00"), clock_text("valid_to", "+00:00"))
+    assert tuple(ends.first()) == ("03:00:00", "04:00:00")
 
 
 # Positions as text and number.

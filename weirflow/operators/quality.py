@@ -25,18 +25,19 @@ def null_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "column_name", "null_rows")
 
 
-# Fields a reading method needs in the log it reads.
+_LOG_FIELDS = ("seq", "tbl", "op", "pk", "row_data", "changed_at")
+# Fields a reading method needs in the log it reads; one that reads tables needs what their declarations name.
 REQUIRED_FIELDS = {
-    "high_watermark": ("updated_at",),
-    "sequence": ("seq", "op", "pk"),
-    "queue": ("seq", "op", "pk"),
-    "commit_order": ("commit_lsn", "op", "pk"),
+    "high_watermark": (),
+    "sequence": _LOG_FIELDS,
+    "queue": _LOG_FIELDS,
+    "commit_order": (*_LOG_FIELDS, "commit_lsn"),
 }
 
 
-def require_fields(df: DataFrame, method: str) -> DataFrame:
-    """Fail before the job starts when the log cannot serve a reading method."""
-    absent = [c for c in REQUIRED_FIELDS[method] if c not in df.columns]
+def require_fields(df: DataFrame, method: str, more: Sequence[str] = ()) -> DataFrame:
+    """Fail before the job starts when the log or table cannot serve a reading method."""
+    absent = [c for c in (*REQUIRED_FIELDS[method], *more) if c not in df.columns]
     if absent:
-        raise ValueError(f"{method} needs {', '.join(absent)} in the log")
+        raise ValueError(f"{method} needs {', '.join(absent)} in what it reads")
     return df
