@@ -31,7 +31,7 @@ REQUIRED_FIELDS = {
     "high_watermark": (),
     "sequence": _LOG_FIELDS,
     "queue": _LOG_FIELDS,
-    "commit_order": (*_LOG_FIELDS, "commit_lsn"),
+    "commit_order": ("commit_lsn", *_LOG_FIELDS),
 }
 
 
