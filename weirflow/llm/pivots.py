@@ -21,9 +21,11 @@ from weirflow.llm.graph import components, spanning_links
 from weirflow.llm.postings import BLOCK, pairs, units, whole_units
 from weirflow.session import materialize
 
-# Pivots are drawn from a sample of so many different vectors, the only thing the index is fitted on.
+# Pivots grow with the root of the number of different vectors, as lists stand under pairs of them: so lists keep their
+# length. The last bound is that of what is broadcast.
+PIVOTS, PIVOTS_BY_ROOT, MOST_PIVOTS = 256, 4, 1 << 14
+# They are drawn from a sample of so many different vectors, or of two a pivot: the only thing the index is fitted on.
 SAMPLE = 4096
-PIVOTS = 256
 APART = 0.6  # pivots are less similar than this, else a large group of copies would take most of them
 NEAREST = 8
 SHARED = 4
@@ -86,8 +88,9 @@ def links(classes: DataFrame, kind: str, least: float = 0.95, shared: int = SHAR
     (rep, root) connect the same vectors as all pairs do, so a group costs rows in proportion to its vectors. A pair that
     meets in several lists counts in the first of its common ones only; ``links`` are to be summed by rep.
     """
-    sample = [bytes(r["vec"]) for r in classes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()]
-    pivots = choose_pivots(_matrix(sample, kind))
+    most = min(MOST_PIVOTS, max(PIVOTS, int(PIVOTS_BY_ROOT * classes.count() ** 0.5)))
+    drawn = classes.orderBy(F.xxhash64("vec"), "vec").limit(max(SAMPLE, 2 * most)).select("vec").collect()
+    pivots = choose_pivots(_matrix([bytes(r["vec"]) for r in drawn], kind), most)
     nearest = min(nearest, len(pivots))
     shared = min(shared, nearest)
     index = materialize(described(classes, pivots, kind, nearest), "described")
