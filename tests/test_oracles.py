@@ -28,7 +28,9 @@ SPLITTING = [
     "capture_miss_audit",
     "messages_to_replica",
     "replay_four_policies",
+    "replay_from_snapshot",
     "scd2_history_busy_keys",
+    "truth_after_snapshot",
     "truth_counts",
 ]
 

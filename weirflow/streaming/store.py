@@ -302,6 +302,8 @@ class Store:
         for consumer, position in (positions or {}).items():
             self._put_position(manifest, consumer, position, None)
         for consumer, numbers in (taken or {}).items():
+            if consumer not in manifest["consumers"]:
+                self._put_position(manifest, consumer, None, None)
             manifest["consumers"][consumer]["taken"] = self._write_taken(manifest, consumer, numbers, None)
         self._publish(manifest)
         return counts
