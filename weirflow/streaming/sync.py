@@ -84,7 +84,7 @@ def start_sync(
             buckets = {n: df.agg(store.touched(store.specs[n])).first()[0] for n, df in changes.items()}
             top = landed.facts.get("position")
             saved = store.position(consumer) if top is None else top
-            applied = store.apply(changes, consumer, saved, batch_id, buckets=buckets)
+            applied = store.apply(changes, consumer, saved, batch_id, None, buckets)
         if applied and compact_every:
             tables = store.current()["tables"]
             due = [n for n in store.specs if len(tables.get(n, {"nets": ()})["nets"]) >= compact_every]
