@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from checks.spark_queries import COLUMNS, QUERIES, USERS
 from weirflow.functions.documents import row_document
-from weirflow.plans.replay import latest_images
+from weirflow.plans.replay import METHOD_NAMES, latest_images
 from weirflow.session import build_session, drop_steps, shared_folder
 from weirflow.sources.capture import METHODS, Source, visible
 from weirflow.streaming.store import Store
