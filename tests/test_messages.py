@@ -19,6 +19,8 @@ from weirflow.sources.messages import (
     poll_messages,
     transactions,
 )
+from weirflow.session import materialize
+from weirflow.sources import ranges
 from weirflow.sources.ranges import decode_ranges, last_relations
 from weirflow.streaming import sync
 from weirflow.streaming.store import Store
@@ -154,6 +156,31 @@ def test_ranges_fail_as_windows_do(spark):
     assert decode_ranges(wire.landed(spark, wire.begin(), wire.commit()).limit(0)).collect() == []
 
 
+def test_ranges_are_no_longer_than_they_should_be_and_held_by_no_python(spark, sf_dir, monkeypatch):
+    messages = fx.message_table(fx.derive(spark, sf_dir, fx.LOG_SQL)).withColumn("batch_id", F.lit(0).cast("bigint"))
+    whole = decode_ranges(messages, ranges=2)
+    assert "MapInArrow" not in whole._jdf.queryExecution().toString()
+    written = []
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 100)
+    monkeypatch.setattr(ranges, "materialize", lambda df, name: written.append(materialize(df, name)) or written[-1])
+    cut = decode_ranges(messages, ranges=2)
+    assert written[0].select("part").distinct().count() > 8
+    as_text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert as_text(cut) == as_text(whole) and cut.count() == 1000
+
+
+def test_own_announcements_replace_known_ones(spark):
+    first = wire.landed(spark, wire.begin(), wire.relation(), wire.commit())
+    wider = (("order_id", 1), ("status", 0), ("channel", 0))
+    second = wire.landed(
+        spark, wire.begin(), wire.insert("2", "y"), wire.commit(),
+        wire.begin(200, 8), wire.relation(columns=wider), wire.insert("3", "x", "web"), wire.commit(200), batch=2,
+    )
+    for n in (1, 3, 7):
+        got = rows(decode_ranges(second, last_relations(first), ranges=n))
+        assert [sorted(r.new.values()) for r in got] == [["2", "y"], ["3", "web", "x"]]
+
+
 def test_relations_of_earlier_polls_are_known(spark):
     first = wire.landed(spark, wire.begin(), wire.relation(), wire.insert("1", "x"), wire.commit())
     second = wire.landed(spark, wire.begin(), wire.insert("2", "y"), wire.commit(), batch=2)

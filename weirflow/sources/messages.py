@@ -157,8 +157,8 @@ def _signed(data: Column, at: int, size: int) -> Column:
     return F.conv(F.hex(F.substring(data, at, size)), 16, -10).cast("bigint")
 
 
-def parse_messages(messages: DataFrame) -> DataFrame:
-    """One row per message that matters, each parsed by itself.
+def parse_messages(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per message that matters, each parsed by itself; ``keep`` are columns that stay beside it.
 
     Begin and Commit are read with built-in functions; only relation and row
     bodies cross to Python, in Arrow batches.
@@ -180,6 +180,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             F.when(F.col("kind") == COMMIT, _signed(data, 3, 8)).alias("commit_lsn"),
             F.when(F.col("kind") == COMMIT, _signed(data, 19, 8)).alias("commit_us"),
             _bodies(F.when(with_body, data)).alias("body"),
+            *keep,
         )
     )
 

@@ -3,85 +3,66 @@
 ``decode_messages`` looks back and ahead with windows over a poll. Here messages are cut into ranges of their order, whatever
 poll they belong to. One pass sums every range up: its first and last Begin or Commit, and its last
 announcement of each relation. A scan over these summaries tells each range what is open where it
-begins and which Commit follows where it ends. A second pass then attaches transactions and relations range by range.
+begins and which Commit follows where it ends. These stand as rows of their own before and behind the range's share of
+a poll, so the same windows then run inside the shares.
 """
 
 from __future__ import annotations
 
 import math
-import sys
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from weirflow.session import materialize
 from weirflow.sources.messages import BEGIN, BODY_SCHEMA, COMMIT, RELATION, as_changes, parse_messages
 
-# The second pass travels with the job: executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Messages a range should have; one range is held by a task at a time.
+# Most messages a range should have.
 RANGE_ROWS = 100_000
 
 _REL = T.StructType([f for f in BODY_SCHEMA if f.name in ("schema_name", "table_name", "columns", "key_columns")])
-_BEGIN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("xid", T.LongType())])
-_COMMIT = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("lsn", T.StringType()),
-        T.StructField("commit_lsn", T.LongType()),
-        T.StructField("commit_us", T.LongType()),
-    ]
-)
-_KNOWN = T.ArrayType(T.StructType([T.StructField("rel_id", T.LongType()), T.StructField("rel", _REL)]))
+_SHARE = ["batch_id", "part"]
+
+
+def _relation() -> Column:
+    return F.struct(*[F.col(f"body.{f.name}").alias(f.name) for f in _REL])
 
 
 def last_relations(messages: DataFrame) -> DataFrame:
     """``rel_id, rel``: every relation as it was announced last, to be kept and given to later polls."""
     said = parse_messages(messages).filter(F.col("kind") == RELATION)
-    rel = F.struct(*[F.col(f"body.{f.name}").alias(f.name) for f in _REL])
-    return said.groupBy(F.col("body.rel_id").alias("rel_id")).agg(F.max_by(rel, F.struct("batch_id", "msg_no")).alias("rel"))
+    return said.groupBy(F.col("body.rel_id").alias("rel_id")).agg(F.max_by(_relation(), F.struct("batch_id", "msg_no")).alias("rel"))
 
 
-def _carried(ranged: DataFrame, known: DataFrame | None) -> DataFrame:
-    """``part, batch_id, _before, _after, _known``: what each range's share of a poll takes over from its neighbours.
+def _carried(marked: DataFrame, known: DataFrame | None) -> DataFrame:
+    """What each range's share of a poll takes over from its neighbours, as rows before (``side`` -1) and behind it (1).
 
-    One row per range and poll goes through the window, and one per range and announced relation through the join.
+    A window sees one row per range and poll, another one row per range and relation of its poll.
     """
-    frame = F.col("kind").isin(BEGIN, COMMIT)
-    place = F.when(frame, F.col("msg_no"))
-    begin = F.struct(*[F.col(f.name) for f in _BEGIN])
-    commit = F.struct(*[F.col(f.name) for f in _COMMIT])
-    ends = ranged.groupBy("batch_id", "part").agg(
-        F.max_by(begin, place).alias("last"), F.min_by(commit, place).alias("first")
-    )
+    place = F.when(F.col("kind").isin(BEGIN, COMMIT), F.col("msg_no"))
+    ends = marked.groupBy(*_SHARE).agg(F.max_by("begin", place).alias("last"), F.min_by("commit", place).alias("first"))
     order = W.partitionBy("batch_id").orderBy("part")
-    ends = ends.select(
-        "batch_id",
-        "part",
-        F.last("last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("first", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+    before = F.last("last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+    after = F.expr("lead(first) ignore nulls over (partition by batch_id order by part)")
+    ends = ends.select(*_SHARE, before.alias("begin"), after.alias("commit"))
+    frames = ends.select(*_SHARE, F.lit(-1).alias("side"), "begin").unionByName(
+        ends.select(*_SHARE, F.lit(1).alias("side"), "commit"), allowMissingColumns=True
     )
-    rel = F.struct(*[F.col(f"body.{f.name}").alias(f.name) for f in _REL])
-    said = ranged.filter(F.col("kind") == RELATION).select("batch_id", "part", F.col("body.rel_id").alias("rel_id"), "msg_no", rel.alias("rel"))
-    said = said.groupBy("batch_id", "part", "rel_id").agg(F.max_by("rel", "msg_no").alias("rel"))
-    earlier = said.select("batch_id", F.col("part").alias("at"), "rel_id", "rel")
-    seen = ends.select("batch_id", "part").join(earlier, "batch_id").filter(F.col("at") < F.col("part"))
-    newest = seen.groupBy("batch_id", "part", "rel_id").agg(F.max_by("rel", "at").alias("rel"))
-    lists = newest.groupBy("batch_id", "part").agg(F.collect_list(F.struct("rel_id", "rel")).alias("_known"))
-    carried = ends.join(lists, ["batch_id", "part"], "left")
-    if known is None:
-        return carried
-    # What was known before comes first, so that a poll's own announcements replace it.
-    old = known.agg(F.collect_list(F.struct("rel_id", "rel"))).scalar()
-    return carried.withColumn("_known", F.concat(old, F.coalesce("_known", F.array().cast(_KNOWN))))
+    said = marked.filter(F.col("kind") == RELATION).groupBy(*_SHARE, "rel_id").agg(F.max_by("rel", "msg_no").alias("rel"))
+    shares, rels = ends.select(*_SHARE), said.select("batch_id", "rel_id").distinct()
+    if known is not None:
+        rels = rels.union(shares.select("batch_id").distinct().crossJoin(known.select("rel_id"))).distinct()
+    grid = shares.join(rels, "batch_id").join(said, [*_SHARE, "rel_id"], "left")
+    earlier = W.partitionBy("batch_id", "rel_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    grid = grid.withColumn("rel", F.last("rel", ignorenulls=True).over(earlier))
+    if known is not None:
+        # A poll's own announcements replace what was known before.
+        old = known.select("rel_id", F.col("rel").alias("_old"))
+        grid = grid.join(old, "rel_id", "left").withColumn("rel", F.coalesce("rel", "_old")).drop("_old")
+    heads = grid.filter(F.col("rel").isNotNull()).withColumn("side", F.lit(-1))
+    return frames.unionByName(heads, allowMissingColumns=True)
 
 
 def decode_ranges(
@@ -90,86 +71,30 @@ def decode_ranges(
     """What ``decode_messages`` gives, for polls of any size; with the same failures.
 
     ``known`` (rel_id, rel) are relations announced in earlier polls (``last_relations``): a sender
-    announces a relation once, so the polls of one connection need them.
+    announces a relation once, so the polls of one connection need them. There are at least ``ranges`` ranges, and
+    more if they would have more than some ``RANGE_ROWS`` messages.
     """
-    parsed = parse_messages(messages)
-    if ranges is None:
-        rows = messages.count()
-        ranges = max(1, math.ceil(rows / RANGE_ROWS))
-    cut = parsed.repartitionByRange(ranges, "batch_id", "msg_no").withColumn("part", F.spark_partition_id())
-    ranged = materialize(cut, "ranged")
-    carried = materialize(_carried(ranged, known), "carried")
-    # Shares of a poll that take the carry over: one row per message, sorted within its range.
-    fields = ["batch_id", "msg_no", "lsn", "kind", "xid", "commit_lsn", "commit_us", "body", "part"]
-    shares = ranged.select(*fields).join(carried.hint("merge"), ["batch_id", "part"])
-    dealt = shares.repartition(ranges, "part").sortWithinPartitions("part", "batch_id", "msg_no")
-    out = T.StructType(
-        [
-            *[f for f in ranged.schema if f.name != "part"],
-            T.StructField("rel_id", T.LongType()),
-            T.StructField("_begin", _BEGIN),
-            T.StructField("_commit", _COMMIT),
-            T.StructField("_rel", _REL),
-        ]
+    ranges = max(ranges or 1, math.ceil(messages.count() / RANGE_ROWS))
+    # Parsed once dealt: the sample that finds the borders then reads messages only.
+    dealt = messages.repartitionByRange(ranges, "batch_id", "msg_no").withColumn("part", F.spark_partition_id())
+    ranged = materialize(parse_messages(dealt, keep=["part"]), "ranged")
+    frame = F.col("kind").isin(BEGIN, COMMIT)
+    marked = ranged.withColumns(
+        {
+            "side": F.lit(0),
+            "rel_id": F.col("body.rel_id"),
+            "begin": F.when(frame, F.struct("kind", "xid")),
+            "commit": F.when(frame, F.struct("kind", "lsn", "commit_lsn", "commit_us")),
+            "rel": F.when(F.col("kind") == RELATION, _relation()),
+        }
     )
-    return as_changes(dealt.mapInArrow(_attach(out), out), commits)
-
-
-def _attach(out: T.StructType):
-    schema = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            at = 0
-            keys = np.stack([batch.column(c).to_numpy() for c in ("part", "batch_id")]) if batch.num_rows else np.empty((2, 0))
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            if held and batch.num_rows and any(batch.column(c)[0] != held[-1].column(c)[0] for c in ("part", "batch_id")):
-                yield share(held)
-                held = []
-            for cut in cuts.tolist():
-                yield share([*held, batch.slice(at, cut - at)])
-                held, at = [], cut
-            if batch.num_rows > at:
-                held.append(batch.slice(at))
-        if held:
-            yield share(held)
-
-    def share(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        """The messages of one poll in one range, with what lies before and after each."""
-        table = pa.Table.from_batches(parts).combine_chunks()
-        column = {c: table.column(c).combine_chunks() for c in table.column_names}
-        kinds, n = np.array(column["kind"].to_pylist()), table.num_rows
-        frames = np.flatnonzero((kinds == "B") | (kinds == "C"))
-        # The frame before a message and the one after it; the carried ones stand behind the last message.
-        before = np.append(-1, frames)[np.searchsorted(frames, np.arange(n), side="left")]
-        after = np.append(frames, -1)[np.searchsorted(frames, np.arange(n), side="right")]
-        begin = _picked(column, _BEGIN, before, column["_before"][0])
-        commit = _picked(column, _COMMIT, after, column["_after"][0])
-        body = column["body"]
-        ids = body.field("rel_id")
-        announced = pa.StructArray.from_arrays([body.field(f.name) for f in _REL], fields=list(to_arrow_schema(_REL)))
-        rel = _relations(kinds, ids, announced, column["_known"][0].as_py() or [])
-        own = [column[f] for f in schema.names[:8]]
-        return pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip([*own, ids, begin, commit, rel], schema.types, strict=True)], schema=schema)
-
-    def _picked(column: dict[str, pa.Array], kind: T.StructType, at: np.ndarray, carried: pa.Scalar) -> pa.Array:
-        fields = list(to_arrow_schema(kind))
-        own = pa.StructArray.from_arrays([column[f.name].cast(f.type) for f in fields], fields=fields)
-        last = pa.array([carried.as_py()], pa.struct(fields))
-        return pa.concat_arrays([own, last]).take(pa.array(np.where(at < 0, len(own), at)))
-
-    def _relations(kinds: np.ndarray, ids: pa.Array, announced: pa.Array, known: list[dict]) -> pa.Array:
-        number = ids.fill_null(-1).to_numpy()
-        first = pa.array([k["rel"] for k in known] + [None], announced.type)
-        place = {k["rel_id"]: len(announced) + i for i, k in enumerate(known)}
-        nothing = len(announced) + len(known)
-        at = np.full(len(number), nothing)
-        said = kinds == "R"
-        for rel in np.unique(number[number >= 0]).tolist():
-            own = np.flatnonzero(number == rel)
-            news = own[said[own]]
-            at[own] = np.append(place.get(rel, nothing), news)[np.searchsorted(news, own, side="left")]
-        return pa.concat_arrays([announced, first]).take(pa.array(at))
-
-    return run
+    shares = marked.unionByName(materialize(_carried(marked, known), "carried"), allowMissingColumns=True)
+
+    def look(function: str, value: str, by: str) -> Column:
+        return F.expr(f"{function}({value}) ignore nulls over (partition by {by} order by side, msg_no)")
+
+    # The shuffle by share serves both partitionings.
+    looked = shares.withColumns({"_begin": look("lag", "begin", "batch_id, part"), "_commit": look("lead", "commit", "batch_id, part")})
+    looked = looked.withColumn("_rel", look("lag", "rel", "batch_id, part, rel_id"))
+    # What was taken over is no message, so its kind is none that is checked or selected.
+    return as_changes(looked.withColumn("kind", F.when(F.col("side") == 0, F.col("kind"))), commits)
