@@ -19,7 +19,7 @@ from weirflow.sources.messages import (
     poll_messages,
     transactions,
 )
-from weirflow.session import materialize
+from weirflow.session import ONE_TASK_CONF, materialize
 from weirflow.sources import ranges
 from weirflow.sources.ranges import decode_ranges, last_relations
 from weirflow.streaming import sync
@@ -169,6 +169,21 @@ def test_ranges_are_no_longer_than_they_should_be_and_held_by_no_python(spark, s
     assert as_text(cut) == as_text(whole) and cut.count() == 1000
 
 
+def test_polls_above_one_task_are_decoded_by_ranges(spark, sf_dir, monkeypatch):
+    messages = fx.message_table(fx.derive(spark, sf_dir, fx.LOG_SQL))
+    whole = decode_messages(messages, commits=True)
+    assert "part#" not in whole._jdf.queryExecution().toString()
+    spark.conf.set(ONE_TASK_CONF, "0")
+    try:
+        monkeypatch.setattr(ranges, "RANGE_ROWS", 100)
+        cut = decode_messages(messages, commits=True)
+    finally:
+        spark.conf.unset(ONE_TASK_CONF)
+    assert "part#" in cut._jdf.queryExecution().toString()
+    as_text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert as_text(cut) == as_text(whole)
+
+
 def test_own_announcements_replace_known_ones(spark):
     first = wire.landed(spark, wire.begin(), wire.relation(), wire.commit())
     wider = (("order_id", 1), ("status", 0), ("channel", 0))

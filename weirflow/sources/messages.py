@@ -25,6 +25,7 @@ from weirflow.functions.documents import map_fields, row_document_of
 from weirflow.functions.positions import format_lsn, parse_lsn, server_micros_to_timestamp
 from weirflow.model import DELETE, MESSAGE_SCHEMA, POS_HI, POS_LO, UPSERT, TableSpec, struct_of
 from weirflow.operators.ordered import OrderedGroups
+from weirflow.session import fits_one_task
 from weirflow.sources.capture import METHODS, Poll, Source
 
 # The parser travels with the job: executors need not have this package installed.
@@ -202,8 +203,13 @@ def decode_messages(messages: DataFrame, hot_rows: int | None = None, commits: b
     ``batch_id, msg_no, lsn, xid, commit_lsn, commit_ts, schema_name, tbl, op,
     new, old, key_columns``; ``lsn`` is the commit message's. Fails on a change or
     commit without a Begin, on a transaction without its commit in the
-    poll, and on a relation the poll did not announce before. See ``sources.ranges`` for polls of any size.
+    poll, and on a relation the poll did not announce before. A window here keeps a poll in one task, so
+    what one task should not take is decoded by ranges (``sources.ranges``), unless ``hot_rows`` says where to cut.
     """
+    if hot_rows is None and not fits_one_task(messages):
+        from weirflow.sources.ranges import decode_ranges  # which needs this module
+
+        return decode_ranges(messages, commits=commits)
     parsed = parse_messages(messages).withColumn("rel_id", F.col("body.rel_id"))
     groups = OrderedGroups(parsed, ["batch_id"], ["msg_no"], hot_rows)
     kind = F.col("kind")
